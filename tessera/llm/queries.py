@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, sharding
+from tessera.llm import decontam, langid, packing, sharding
 from tessera.sources.storage import table
 
 
@@ -19,6 +19,21 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.judged(decontam.find(docs, table(spark, sf_dir, "benchmark")))
+    ids = F.sha2(F.array_join("item_ids", ","), 256)
+    return found.select("row.doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated", "spans")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = langid.held_out(F.col("doc_id"), 4, 2)
+    scorer = langid.fit(docs.filter(~held & F.col("doc_id").isNotNull()))
+    found = langid.predict(docs.select("doc_id", "text"), scorer)
+    return found.select("row.doc_id", "lang_pred", "score", "accepted", "bits_per_char", "margin").withColumn("held_out", held)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer())
 
@@ -30,6 +45,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_decontamination": op3_decontamination,
+    "op6_language": op6_language,
     "op8_packing": op8_packing,
     "op10_sharding": op10_sharding,
 }

@@ -42,6 +42,8 @@ ORDER = 2
 START, END = np.uint64(1), np.uint64(2)
 CHUNK_BYTES = 6 << 20
 CHUNK_ROWS = 3_000_000
+#: Text for each range of hashes.
+BUCKET_BYTES = 8 << 20
 BLOCK = "kind string, level int, bucket int, block binary"
 SCORE = "n_tokens long, n_known long, base_score double, score double"
 U = np.uint64
@@ -319,7 +321,9 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", buckets: int
     """Count all of `docs` and write the model's arrays."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or 2 * partitions
+    if buckets is None:
+        size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+        buckets = max(1, -(-size // BUCKET_BYTES))
     uri = folder or new_dir(spark, "lm")
     path = uri.removeprefix("file://").removeprefix("file:") if uri.startswith("file:") else uri
     if "://" in path:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, kneser_ney, langid, packing, sharding, simhash
+from tessera.llm import decontam, kneser_ney, langid, ordinal, packing, sharding, simhash
 from tessera.sources.storage import table
 
 
@@ -48,6 +48,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "lang_pred", "score", "accepted", "bits_per_char", "margin").withColumn("held_out", held)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = ordinal.fit(docs, table(spark, sf_dir, "labels"), ordinal.passed())
+    found = ordinal.grade_documents(docs, model)
+    return found.select("row.doc_id", "expected_grade", "p_top", "p_above_worst", "selected")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer())
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op6_language": op6_language,
+    "op7_quality": op7_quality,
     "op8_packing": op8_packing,
     "op10_sharding": op10_sharding,
 }

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, kneser_ney, langid, ordinal, packing, sharding, simhash
-from tessera.sources.storage import table
+from tessera.llm import decontam, kneser_ney, langid, linededup, ordinal, packing, rules, sharding, simhash, urls
+from tessera.sources.storage import materialize, table
 
 
 def tokenizer() -> tuple[str, str]:
@@ -40,6 +40,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", "n_items", ids.alias("items_sha256"), "contaminated", "spans")
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a page are those of its id: bad if toxic or of low quality."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    mined = materialize(urls.mine(urls.labelled(pages, table(spark, sf_dir, "labels"), bad)), "urlrules")
+    return urls.judge(pages, mined).select("row.page_id", "host", "path", "rule", "verdict", "mined")
+
+
+def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup_lines(docs).select("row.doc_id", "n_lines", "n_removed", F.col("clean_text").alias("text"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = langid.held_out(F.col("doc_id"), 4, 2)
@@ -59,6 +72,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op9_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialize(rules.statistics(table(spark, sf_dir, "documents")), "stats")
+    found = rules.learn(stats, table(spark, sf_dir, "labels"), F.col("quality") == 0)
+    columns = ["doc_id", *rules.STATS[:5], "base_failed", "kept", "rule"]
+    return rules.judged(stats, found).select(*columns)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_no"
@@ -69,9 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
+    "op4_urls": op4_urls,
+    "op5_linededup": op5_linededup,
     "op6_language": op6_language,
     "op7_quality": op7_quality,
     "op8_packing": op8_packing,
+    "op9_rules": op9_rules,
     "op10_sharding": op10_sharding,
 }
 

@@ -324,6 +324,7 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", buckets: int
     if buckets is None:
         size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
         buckets = max(1, -(-size // BUCKET_BYTES))
+    partitions = max(partitions, buckets)
     uri = folder or new_dir(spark, "lm")
     path = uri.removeprefix("file://").removeprefix("file:") if uri.startswith("file:") else uri
     if "://" in path:

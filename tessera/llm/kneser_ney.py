@@ -333,9 +333,17 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", buckets: int
     blocks = count(docs, order, buckets, text)
     for _ in range(order):
         blocks = reduce(blocks, path, buckets, partitions)
-    sums: dict[int, np.ndarray] = {}
-    for r in blocks.filter("kind = 'summary'").select("level", "block").toLocalIterator():
-        sums[r["level"]] = sums.get(r["level"], 0) + _unpack(bytes(r["block"]), 1)[0]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for level, block in zip(batch.column("level").to_pylist(), batch.column("block").to_pylist(), strict=True):
+                own[level] = own.get(level, 0) + _unpack(block, 1)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([v.tolist() for v in own.values()], pa.list_(pa.int64()))], ["level", "v"])
+
+    found = blocks.filter("kind = 'summary'").select("level", "block").mapInArrow(add, "level int, v array<long>")
+    columns = [F.sum(F.get("v", F.lit(k))).alias(f"v{k}") for k in range(6)]
+    sums = {r["level"]: np.array([r[f"v{k}"] for k in range(2 if r["level"] == 0 else 6)]) for r in found.groupBy("level").agg(*columns).collect()}
     return Model(path, order, buckets, sums)
 
 

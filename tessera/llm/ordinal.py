@@ -43,6 +43,8 @@ LEAST = 5
 FLOOR = 5e-3
 SELECT = 0.7
 BATCH_BYTES = 3 << 20
+#: Tasks of a step at most: the sample is bounded, and each sends the driver one vector.
+TASKS = 24
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -146,7 +148,7 @@ def _moments(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()], pa.binary()) for x in (df, sq)], ["df", "sq"])
 
     df, sq = np.zeros(DIM), np.zeros(DIM)
-    for r in blocks.select("idx", "val").mapInArrow(work, "df binary, sq binary").toLocalIterator():
+    for r in blocks.select("idx", "val").mapInArrow(work, "df binary, sq binary").collect():
         df, sq = df + np.frombuffer(bytes(r["df"]), np.float32), sq + np.frombuffer(bytes(r["sq"]), np.float32)
     return df, sq
 
@@ -181,7 +183,7 @@ def _job(blocks: DataFrame, w: np.ndarray, t: np.ndarray) -> tuple[float, np.nda
         yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gw.astype(np.float32).tobytes()], pa.binary()), pa.array([gt.tobytes()], pa.binary())], ["loss", "gw", "gt"])
 
     loss, gw, gt = 0.0, np.zeros(len(w)), np.zeros(len(t))
-    for r in blocks.mapInArrow(work, "loss double, gw binary, gt binary").toLocalIterator():
+    for r in blocks.mapInArrow(work, "loss double, gw binary, gt binary").collect():
         loss, gw, gt = loss + r["loss"], gw + np.frombuffer(bytes(r["gw"]), np.float32), gt + np.frombuffer(bytes(r["gt"]))
     shared.unpersist()
     return loss, gw, gt
@@ -198,12 +200,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: int = 3, samp
     rated = rated.filter(drawn)
     texts = docs.select(F.col(key).alias("_d"), F.col(text).cast("string").alias("text"))
     rows = texts.join(bounded(rated), F.col("_d") == F.col("_k")).select("text", "grade")
-    blocks = materialize(_blocks(rows), "rated")
+    blocks = materialize(_blocks(rows), "rated").coalesce(TASKS)
     free = lambda x: (x[: -grades + 1], np.cumsum(np.concatenate([x[-grades + 1 : -grades + 2], np.exp(np.clip(x[len(x) - grades + 2 :], -8, 8))])))
     df, sq = _moments(blocks)
     total = max(1, blocks.select(F.sum(F.length("y") / 8)).first()[0] or 1)
     scale = np.where(df >= LEAST, 1 / np.sqrt(sq / total + FLOOR), 0.0)
-    blocks = materialize(_scaled(blocks, scale), "rated")
+    blocks = materialize(_scaled(blocks, scale), "rated").coalesce(TASKS)
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         w, t = free(x)

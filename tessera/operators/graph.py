@@ -7,22 +7,35 @@ from pyspark.sql import functions as F
 
 from tessera.sources.storage import materialize
 
+#: Steps of a frontier between two writes.
+HOPS = 4
+
 
 def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, depth): nodes reachable from `start` (node), with their least number of steps.
 
-    A frontier moves by one distributed join a round; each round is written to shared storage.
-    Nodes already seen are dropped by an anti join, so every edge is walked once.
+    A frontier moves `HOPS` steps a round by distributed joins; each round is written to shared
+    storage. Nodes already seen are dropped by an anti join, so that edges are walked again only
+    within a round.
     """
     step = edges.select(F.col("src"), F.col("dst")).distinct()
     seen = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
-    frontier = seen
-    for depth in range(1, max_rounds + 1):
-        new = frontier.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        frontier = materialize(new.withColumn("depth", F.lit(depth)), "reached")
+    frontier, done = seen, 0
+    while done < max_rounds:
+        layers, current = [], frontier
+        for hop in range(1, min(HOPS, max_rounds - done) + 1):
+            next_nodes = current.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
+            current = next_nodes.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(done + hop))
+            layers.append(current)
+        found = layers[0]
+        for layer in layers[1:]:
+            found = found.unionByName(layer)
+        found = materialize(found.groupBy("node").agg(F.min("depth").alias("depth")), "reached")
+        done += len(layers)
+        seen = seen.unionByName(found)
+        frontier = found.filter(F.col("depth") == done)
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
     return seen
 
 

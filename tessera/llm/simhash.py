@@ -30,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import space_words
+from tessera.llm.words import small_batches, space_words
 from tessera.operators.components import components
 from tessera.sources.joins import bounded
 from tessera.sources.storage import materialize
 
 SHINGLE, BITS, LIST = 3, 2, 64
+#: Bytes of text and rows of hashes that a task works on at a time.
+BATCH_BYTES, ROWS = 1 << 20, 1 << 14
 _ONES = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
 
 
@@ -56,7 +58,10 @@ def shingle_hashes(words: list[bytes], size: int, seed: int = 42) -> np.ndarray:
 def majority(hashes: np.ndarray) -> np.ndarray:
     """The bytes of the fingerprint(s): a bit is 1 if set in over half the rows of (n, bytes)."""
     n, width = hashes.shape
-    counts = np.bincount((hashes.astype(np.int64) + 256 * np.arange(width)).ravel(), minlength=256 * width).reshape(width, 256) @ _ONES
+    tally = np.zeros(256 * width, np.int64)
+    for i in range(0, n, ROWS):
+        tally += np.bincount((hashes[i : i + ROWS] + 256 * np.arange(width)).ravel(), minlength=256 * width)
+    counts = tally.reshape(width, 256) @ _ONES
     return np.packbits(2 * counts > n, axis=1, bitorder="little").ravel()
 
 
@@ -70,7 +75,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, text: str = "text", key:
     """(doc_id, fp): one row per document, fp the fingerprint as a signed long."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             fps = np.array([fingerprint(t, size) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
@@ -170,7 +175,7 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest:
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("t"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             words = [space_words(t) for t in batch.column("text").to_pylist()]
             h = [xxhash.xxh128_digest(b" ".join(w)) for w in words]
             wide = pa.array([_wide(w) for w in words], pa.binary())
@@ -192,7 +197,7 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest:
     likely = materialize(pairs.join(of("a"), "a").join(of("b"), "b").filter(sum(tally[1:], tally[0]) >= MIN_SHARED).select("a", "b"), "candidates")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             words = [space_words(t) for t in batch.column("text").to_pylist()]
             h = [xxhash.xxh128_digest(b" ".join(w)) for w in words]
             s = [np.unique(shingle_hashes(w, size)).tobytes() for w in words]

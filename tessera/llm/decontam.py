@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tessera.llm.words import ALNUM, alnum_words, small_batches
 
 WINDOW = 13
-SHARD_WORDS = 1_500_000
+SHARD_WORDS = 500_000
 BLOCK_BYTES = 8 << 20
 SAMPLE = 8
 FOUND = "n_words long, spans array<struct<start:long,length:long>>, item_ids array<string>"
@@ -227,7 +227,7 @@ def _pass(rows: DataFrame, text: str, phrases: Phrases, shard_words: int) -> Dat
         kept, words, total = [], [], 0
         for batch in batches:
             flat = pa.RecordBatch.from_arrays([*batch.columns, batch.column("row").field(text)], [*batch.schema.names, "_text"])
-            for part in small_batches(iter([flat]), "_text", 4 << 20):
+            for part in small_batches(iter([flat]), "_text", 1 << 20):
                 own = [np.array([get(w, 0) for w in alnum_words(t)], np.int64) for t in part.column("_text").to_pylist()]
                 kept.append(part.drop_columns(["_text"]))
                 words += own

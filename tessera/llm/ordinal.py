@@ -42,7 +42,7 @@ LEAST = 5
 #: Added to a feature's mean square, so that rare ones aren't blown up.
 FLOOR = 5e-3
 SELECT = 0.7
-BATCH_BYTES = 3 << 20
+BATCH_BYTES = 1 << 20
 #: Tasks of a step at most: the sample is bounded, and each sends the driver one vector.
 TASKS = 24
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())

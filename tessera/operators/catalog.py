@@ -79,6 +79,7 @@ def used(rows: DataFrame, users: DataFrame, key: str, user_key: str, unused: boo
 
 
 def pivot_by(rows: DataFrame, key: str, kind: Column, value: str, kinds: Iterable[str]) -> DataFrame:
-    """key and, for each kind, the sorted array of its values."""
-    aggs = [F.array_sort(F.collect_list(F.when(kind == k, F.col(value)))).alias(k) for k in kinds]
+    """key and, for each kind, the number of its values and the last: bounded states, so a key may hold
+    any share of the rows."""
+    aggs = [a for k in kinds for a in (F.count(F.when(kind == k, 1)).alias(f"n_{k}"), F.max(F.when(kind == k, F.col(value))).alias(f"last_{k}"))]
     return rows.groupBy(key).agg(*aggs)

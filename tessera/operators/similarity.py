@@ -57,6 +57,14 @@ def group_pairs(files: DataFrame, group: str, key: str, cap: int | None = None)
     return x.join(y, on).select("x", "y")
 
 
+def master_pairs(files: DataFrame, group: str, key: str) -> DataFrame:
+    """Pairs x, m (structs): every file but the master with its group's master, the one of the least key.
+    Linear in the files; the master is an aggregate, so a group of any size is combined first."""
+    whole = F.struct(*files.columns)
+    masters = files.groupBy(F.col(group).alias("_g")).agg(F.min_by(whole, key).alias("m"))
+    return files.select(F.col(group).alias("_h"), whole.alias("x")).join(masters, F.col("_h") == F.col("_g")).filter(F.col(f"x.{key}") != F.col(f"m.{key}")).select("x", "m")
+
+
 def structure_similarity(x: str, y: str, fields=("functions", "classes", "imports")) -> Column:
     """Mean Jaccard of the name sets that one side has; 0.5 if no side has any."""
     return F.coalesce(mean_of(*[jaccard(F.col(f"{x}.{f}"), F.col(f"{y}.{f}")) for f in fields]), F.lit(0.5))

@@ -206,11 +206,11 @@ def set_except(spark, d):
     return table(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_custkey").alias("k")).exceptAll(a.distinct()).distinct()
 
 
-@query("""SELECT user_id, list_sort(list(event_id) FILTER (event_type IN ('view', 'click'))) AS reads, list_sort(list(event_id) FILTER (event_type NOT IN ('view', 'click'))) AS writes
-    FROM events WHERE user_id < 20 GROUP BY user_id""")
+@query("""SELECT user_id, count(*) FILTER (event_type IN ('view', 'click')) AS n_reads, max(event_id) FILTER (event_type IN ('view', 'click')) AS last_reads,
+    count(*) FILTER (event_type NOT IN ('view', 'click')) AS n_writes, max(event_id) FILTER (event_type NOT IN ('view', 'click')) AS last_writes FROM events GROUP BY user_id""")
 def data_flow_pivot(spark, d):
     kind = F.when(F.col("event_type").isin("view", "click"), "reads").otherwise("writes")
-    return catalog.pivot_by(table(spark, d, "events").filter("user_id < 20"), "user_id", kind, "event_id", ["reads", "writes"])
+    return catalog.pivot_by(table(spark, d, "events"), "user_id", kind, "event_id", ["reads", "writes"])
 
 
 @query("""SELECT user_id, min(ts) FILTER (event_type NOT IN ('view', 'click')) AS first_write, max(ts) FILTER (event_type IN ('view', 'click')) AS last_read, count(*) AS n FROM events GROUP BY user_id""")

@@ -1,5 +1,5 @@
 """Queries of the code operators. The tables hold no source code, so small programs are made from their
-rows: every order becomes a module whose functions are its line items."""
+rows: every part becomes a Python module of two functions."""
 
 from __future__ import annotations
 
@@ -12,44 +12,52 @@ from tessera.sources.storage import materialize, table
 
 
 def modules(spark, d):
-    """(path, text): one Python module per order below 500; names and bodies follow its line items."""
-    body = F.concat_ws(
+    """(path, text): one Python module per part; names and bodies follow its columns."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    brand = F.regexp_replace(F.lower("p_brand"), "[^a-z0-9]", "_")
+    priced = F.concat_ws(
         "\n",
-        F.concat(F.lit("def part_"), F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") < 6, "(price, tax):").otherwise("(price, tax, a, b, c, e):")),
-        F.concat(F.lit('    """Line '), F.col("l_linenumber").cast("string"), F.lit('."""')),
-        F.concat(F.lit("    total = price * "), F.col("l_quantity").cast("int").cast("string")),
-        F.when(F.col("l_returnflag") == "R", "    if tax > 0 and price > 0:\n        total = total - tax"),
-        F.when(F.col("l_linestatus") == "F", "    for i in range(3):\n        if i:\n            total += i"),
+        F.concat(F.lit("def price_"), brand, F.when(F.col("p_size") < 40, "(price, tax):").otherwise("(price, tax, a, b, c, e):")),
+        F.concat(F.lit('    """Size '), size, F.lit('."""')),
+        F.concat(F.lit("    total = price * "), size),
+        F.when(F.col("p_size") < 20, "    if tax > 0 and price > 0:\n        total = total - tax"),
+        F.when(F.col("p_size") > 10, "    for i in range(3):\n        if i:\n            total += i"),
         F.lit("    return total\n"),
     )
-    head = F.concat(F.lit("import os\nfrom order_"), ((F.col("l_orderkey") + 1) % 500).cast("string"), F.lit(" import part_1\n"))
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 500").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", body.alias("b")))).alias("l"))
-    text = F.concat_ws("\n", head, F.array_join(F.col("l.b"), "\n"))
-    return rows.select(F.concat(F.lit("src/order_"), F.col("l_orderkey").cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    named = F.concat(F.lit("def name_"), key, F.lit("(price):\n    return '"), F.regexp_replace("p_name", "[^A-Za-z0-9 ]", " "), F.lit("'\n"))
+    head = F.concat(F.lit("import os\nfrom part_"), (F.col("p_partkey") + 1).cast("string"), F.lit(" import make\n"))
+    text = F.concat_ws("\n", head, priced, named)
+    return table(spark, d, "part").select(F.concat(F.lit("src/part_"), key, F.lit(".py")).alias("path"), text.alias("text"))
 
 
 def entities(spark, d):
     return materialize(python_source.parse(modules(spark, d)), "entities")
 
 
-@query("""SELECT 'src/order_' || l_orderkey || '.py' AS path, count(*) AS n_functions, 0::BIGINT AS n_classes, 2::BIGINT AS n_imports, 0::BIGINT AS n_errors FROM lineitem WHERE l_orderkey < 500 GROUP BY l_orderkey""")
+@query("SELECT 'src/part_' || p_partkey || '.py' AS path, 2::BIGINT AS n_functions, 0::BIGINT AS n_classes, 2::BIGINT AS n_imports, 0::BIGINT AS n_errors FROM part")
 def python_entities(spark, d):
     return code.file_metrics(entities(spark, d)).select("path", "n_functions", "n_classes", "n_imports", "n_errors")
 
 
-@query("""SELECT complexity, count(*) AS n FROM (SELECT 1 + CASE WHEN l_returnflag = 'R' THEN 2 ELSE 0 END + CASE WHEN l_linestatus = 'F' THEN 2 ELSE 0 END AS complexity FROM lineitem WHERE l_orderkey < 500) GROUP BY 1""")
+@query("""SELECT complexity, count(*) AS n FROM (SELECT 1 + CASE WHEN p_size < 20 THEN 2 ELSE 0 END + CASE WHEN p_size > 10 THEN 2 ELSE 0 END AS complexity FROM part
+    UNION ALL SELECT 1 FROM part) GROUP BY 1""")
 def cyclomatic_complexity(spark, d):
     return entities(spark, d).filter("kind = 'function'").groupBy("complexity").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'src/order_' || l_orderkey || '.py' AS path, 'import' AS kind, name, 0.95 AS confidence FROM (SELECT DISTINCT l_orderkey, unnest(['os', 'part_1']) AS name FROM lineitem WHERE l_orderkey < 500)""")
+@query("SELECT 'src/part_' || p_partkey || '.py' AS path, 'import' AS kind, unnest(['os', 'make']) AS name, 0.95 AS confidence FROM part")
 def dead_imports(spark, d):
     return code.dead_code(entities(spark, d)).filter("kind = 'import'").select("path", "kind", "name", "confidence")
 
 
-@query()
+@query("""SELECT 'src/part_' || p_partkey || '.py' AS path, 'function' AS kind, unnest(['price_' || regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g'), 'name_' || p_partkey]) AS name, 0.7 AS confidence FROM part""")
+def dead_functions(spark, d):
+    return code.dead_code(entities(spark, d)).filter("kind = 'function'").select("path", "kind", "name", "confidence")
+
+
+@query("""SELECT 'src/part_' || p_partkey || '.py' AS path, 'price_' || regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') AS scope, 'total' AS variable, 6 AS first_write FROM part""")
 def data_flow_rows(spark, d):
-    return code.data_flow(entities(spark, d)).select("path", "scope", "variable", "first_write", "last_read", F.size("operations").alias("n"))
+    return code.data_flow(entities(spark, d)).filter("variable = 'total'").select("path", "scope", "variable", "first_write")
 
 
 @query()
@@ -67,8 +75,8 @@ def clone_groups(spark, d):
     return code.clone_groups(materialize(code.clones(materialize(code.fragments(entities(spark, d), min_lines=3, min_tokens=8), "fragments")), "links"))
 
 
-@query("""SELECT 'src/order_' || l_orderkey || '.py' AS path, 'many_parameters' AS rule, 'part_' || l_partkey AS name, 6 AS value, 'medium' AS severity
-    FROM lineitem WHERE l_orderkey < 500 AND l_linenumber >= 6""")
+@query("""SELECT 'src/part_' || p_partkey || '.py' AS path, 'many_parameters' AS rule, 'price_' || regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') AS name, 6 AS value, 'medium' AS severity
+    FROM part WHERE p_size >= 40""")
 def code_smells(spark, d):
     return code.smells(entities(spark, d)).select("path", "rule", "name", "value", "severity")
 
@@ -80,23 +88,47 @@ def code_quality(spark, d):
 
 @query()
 def semantic_pairs(spark, d):
-    return code.semantic_pairs(entities(spark, d).filter("path < 'src/order_2'"))
+    return code.semantic_pairs(entities(spark, d))
 
 
-@query("""SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN l_linestatus = 'F' THEN ['function', 'variable'] ELSE ['arrow', 'variable', 'variable'] END) AS kind FROM lineitem WHERE l_orderkey < 500) GROUP BY 1""")
+@query("""SELECT kind, count(*) AS n FROM (SELECT unnest(CASE WHEN l_linestatus = 'F' THEN ['function', 'variable'] ELSE ['arrow', 'variable', 'variable'] END) AS kind FROM lineitem) GROUP BY 1""")
 def js_entities(spark, d):
     k = F.col("l_partkey").cast("string")
     one = F.concat(F.lit("function f"), k, F.lit("(a) {\n  const x = a;\n}\n"))
     two = F.concat(F.lit("const g"), k, F.lit(" = (a) => a;\nlet y = 2;\n"))
-    files = table(spark, d, "lineitem").filter("l_orderkey < 500").select(F.lit("x.js").alias("path"), F.when(F.col("l_linestatus") == "F", one).otherwise(two).alias("text"))
+    files = table(spark, d, "lineitem").select(F.lit("x.js").alias("path"), F.when(F.col("l_linestatus") == "F", one).otherwise(two).alias("text"))
     return markup.rows(files, "javascript").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT p_partkey AS path, 'heading' AS kind, p_name AS name FROM part WHERE p_partkey < 300 UNION ALL SELECT p_partkey, 'list_item', p_brand FROM part WHERE p_partkey < 300
-    UNION ALL SELECT p_partkey, 'link', p_type FROM part WHERE p_partkey < 300""")
+@query("""SELECT kind, count(*) AS n FROM (SELECT unnest(['interface', 'type', 'enum', 'class', 'import', 'variable', 'export']) AS kind FROM part) GROUP BY 1""")
+def ts_entities(spark, d):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(
+        F.lit("import { a } from './m"), k, F.lit("';\ninterface I"), k, F.lit(" { x: number }\ntype T"), k, F.lit(" = string;\nenum E"), k, F.lit(" { A }\nexport class C"), k, F.lit(" {}\nlet v"), k, F.lit(" = 1;\n")
+    )
+    return markup.rows(table(spark, d, "part").select(F.lit("x.ts").alias("path"), text.alias("text")), "typescript").groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT s_suppkey AS path, unnest([('table', 't' || s_suppkey), ('foreign_key', 'nation'), ('view', 'v' || s_suppkey), ('read', 't' || s_suppkey), ('write', 'audit')]::STRUCT(kind VARCHAR, name VARCHAR)[], recursive := true) FROM supplier""")
+def sql_entities(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    text = F.concat(
+        F.lit("CREATE TABLE t"), k, F.lit(" (id INT, n INT REFERENCES nation(id));\nCREATE VIEW v"), k, F.lit(" AS SELECT id FROM t"), k, F.lit(";\nINSERT INTO audit VALUES (1);\n")
+    )
+    return markup.rows(table(spark, d, "supplier").select(F.col("s_suppkey").alias("path"), text.alias("text")), "sql")
+
+
+@query("""SELECT c_custkey AS path, unnest([('key', 'name'), ('key', 'segment'), ('anchor', 'base'), ('alias', 'base'), ('env', 'HOME')]::STRUCT(kind VARCHAR, name VARCHAR)[], recursive := true) FROM customer""")
+def yaml_entities(spark, d):
+    text = F.concat(F.lit("name: &base "), F.col("c_custkey").cast("string"), F.lit("\nsegment: *base\n# ${HOME}\n"))
+    return markup.rows(table(spark, d, "customer").select(F.col("c_custkey").alias("path"), text.alias("text")), "yaml")
+
+
+@query("""SELECT p_partkey AS path, 'heading' AS kind, p_name AS name FROM part UNION ALL SELECT p_partkey, 'list_item', p_brand FROM part
+    UNION ALL SELECT p_partkey, 'link', p_type FROM part""")
 def md_entities(spark, d):
     text = F.concat(F.lit("# "), F.col("p_name"), F.lit("\n\n- "), F.col("p_brand"), F.lit("\n\nsee [x]("), F.col("p_type"), F.lit(")\n"))
-    return markup.rows(table(spark, d, "part").filter("p_partkey < 300").select(F.col("p_partkey").alias("path"), text.alias("text")), "markdown")
+    return markup.rows(table(spark, d, "part").select(F.col("p_partkey").alias("path"), text.alias("text")), "markdown")
 
 
 @query("SELECT event_id AS path, true AS valid, 1 AS n_keys, 'OBJECT<k: BIGINT>' AS schema FROM events")

@@ -46,12 +46,12 @@ def oldest_newest(spark, d):
 PATH = "('/' || CASE WHEN event_id % 7 = 0 THEN 'backup/' WHEN event_id % 5 = 0 THEN 'src/core/' ELSE 'app/' END || event_id)"
 
 
-@query(f"""WITH v AS (SELECT user_id, ts, {PATH} AS path FROM events WHERE user_id < 50), s AS (SELECT user_id, path, CASE WHEN ts = min(ts) OVER (PARTITION BY user_id) THEN 30 ELSE 0 END
+@query(f"""WITH v AS (SELECT user_id, ts, {PATH} AS path FROM events), s AS (SELECT user_id, path, CASE WHEN ts = min(ts) OVER (PARTITION BY user_id) THEN 30 ELSE 0 END
     + CASE WHEN len(string_split(path, '/')) = min(len(string_split(path, '/'))) OVER (PARTITION BY user_id) THEN 15 ELSE 0 END
     + CASE WHEN contains(path, 'src/') OR contains(path, 'lib/') OR contains(path, 'core/') THEN 10 ELSE 0 END - CASE WHEN contains(path, 'backup') THEN 20 ELSE 0 END AS score FROM v)
     SELECT user_id, path, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, path) AS rn FROM s) WHERE rn = 1""")
 def likely_original(spark, d):
-    e = table(spark, d, "events").filter("user_id < 50")
+    e = table(spark, d, "events")
     folder = F.when(F.col("event_id") % 7 == 0, "backup/").when(F.col("event_id") % 5 == 0, "src/core/").otherwise("app/")
     return evolution.likely_original(e.select("user_id", "ts", F.concat(F.lit("/"), folder, "event_id").alias("path")), "user_id", "path", "ts")
 
@@ -66,25 +66,35 @@ def best_per_name(spark, d):
     return evolution.best_per_name(table(spark, d, "part"), ["p_brand"], [F.col("p_size"), (-F.col("p_partkey")).alias("k")], "p_partkey")
 
 
-@query("""WITH u AS (SELECT user_id, list_distinct(list(event_type)) AS kinds FROM events WHERE user_id < 40 GROUP BY 1)
-    SELECT a.user_id AS a, b.user_id AS b, round(len(list_intersect(a.kinds, b.kinds)) / len(list_distinct(list_concat(a.kinds, b.kinds))), 6) AS jaccard FROM u a JOIN u b ON a.user_id < b.user_id""")
-def jaccard_structure(spark, d):
-    u = table(spark, d, "events").filter("user_id < 40").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds")).withColumn("g", F.lit(1))
-    pairs = similarity.group_pairs(u, "g", "user_id")
-    return pairs.select(F.col("x.user_id").alias("a"), F.col("y.user_id").alias("b"), F.round(fn.jaccard(F.col("x.kinds"), F.col("y.kinds")), 6).alias("jaccard"))
+MASTER_SQL = "SELECT p_brand AS g, min(p_partkey) AS m FROM part GROUP BY 1"
 
 
-@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS cosine FROM embeddings a JOIN embeddings b
-    ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 60 AND b.vec_id < 60""")
-def cosine_pairs(spark, d):
-    pairs = similarity.group_pairs(table(spark, d, "embeddings").filter("vec_id < 60"), "label", "vec_id")
-    return pairs.select(F.col("x.vec_id").alias("a"), F.col("y.vec_id").alias("b"), F.round(fn.cosine(F.col("x.embedding"), F.col("y.embedding")), 5).alias("cosine"))
+@query(f"""WITH m AS ({MASTER_SQL}), p AS (SELECT p_partkey, p_brand, list_distinct(string_split(p_name, ' ') || [p_type]) AS words FROM part)
+    SELECT a.p_partkey AS sibling, m.m AS master, round(len(list_intersect(a.words, b.words)) / len(list_distinct(list_concat(a.words, b.words))), 6) AS jaccard
+    FROM p a JOIN m ON a.p_brand = m.g JOIN p b ON b.p_partkey = m.m WHERE a.p_partkey <> m.m""")
+def jaccard_to_master(spark, d):
+    """Every sibling against its group's master: one pair per row, no pairs among siblings."""
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", F.array_union(F.split("p_name", " "), F.array("p_type")).alias("words"))
+    pairs = similarity.master_pairs(rows, "p_brand", "p_partkey")
+    return pairs.select(F.col("x.p_partkey").alias("sibling"), F.col("m.p_partkey").alias("master"), F.round(fn.jaccard(F.col("x.words"), F.col("m.words")), 6).alias("jaccard"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem WHERE l_orderkey < 400)
+@query("""SELECT q, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS id,
+    round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 5""")
+def cosine_search(spark, d):
+    """The five nearest vectors of one label for the query vectors, the ids divisible by 20, against all rows."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("l"), F.col("embedding").alias("e"))
+    both = rows.join(queries, (F.col("label") == F.col("l")) & (F.col("q") != F.col("vec_id")))
+    scored = both.select("q", F.col("vec_id").alias("id"), F.round(fn.cosine(F.col("embedding"), F.col("e")), 6).alias("cosine"))
+    return catalog.top_per_group(scored, ["q"], [F.col("cosine").desc(), F.col("id")], 5)
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
     SELECT a.l_orderkey AS g, count(*) AS n FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND b.i * (b.i - 1) / 2 + a.i < 10 GROUP BY 1""")
 def sibling_pairs_capped(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey < 400").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k"))
+    """The stated number of compared pairs per group is this operator's own limit."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k"))
     pairs = similarity.group_pairs(rows, "l_orderkey", "k", cap=10)
     return pairs.groupBy(F.col("x.l_orderkey").alias("g")).agg(F.count("*").alias("n"))
 
@@ -98,14 +108,14 @@ def maintainability_index(spark, d):
     return table(spark, d, "part").select("p_partkey", fn.maintainability(F.col("p_retailprice"), F.col("p_size"), F.lit(0.1)).alias("mi"), fn.risk_level(F.col("p_size")).alias("risk"))
 
 
-EDGE_SQL = """e AS (SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem WHERE l_orderkey <= 600) WHERE dst IS NOT NULL)"""
+EDGE_SQL = """e AS (SELECT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS dst FROM lineitem) WHERE dst IS NOT NULL)"""
 
 
 def edges(spark, d):
     from pyspark.sql import Window
 
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
-    rows = table(spark, d, "lineitem").filter("l_orderkey <= 600").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     return rows.filter("dst is not null")
 
 
@@ -140,10 +150,9 @@ def coupling(spark, d):
     return graph.coupling(edges(spark, d))
 
 
-@query(f"""WITH RECURSIVE {EDGE_SQL}, b AS (SELECT src AS x, dst AS y FROM e WHERE src < 200 AND dst < 200 UNION SELECT dst, src FROM e WHERE src < 200 AND dst < 200),
-    r(node, seen) AS (SELECT x, x FROM b UNION SELECT node, y FROM r JOIN b ON x = seen) SELECT node, min(seen) AS component FROM (SELECT * FROM r UNION ALL SELECT x, y FROM b) GROUP BY node""")
+@query()
 def component_labels(spark, d):
-    return components(edges(spark, d).filter("src < 200 and dst < 200 and src <> dst"), "src", "dst").select("node", "component")
+    return components(edges(spark, d).filter("src <> dst"), "src", "dst").select("node", "component")
 
 
 @query(f"""WITH {EDGE_SQL}, n AS (SELECT p_partkey AS node FROM part), u AS (SELECT DISTINCT src, dst FROM e)
@@ -216,17 +225,19 @@ def event_session(spark, d):
     return changes.debounced(table(spark, d, "events"), "user_id", "ts", "30 minutes")
 
 
-@query("""WITH a AS (SELECT user_id AS k, count(*)::VARCHAR AS h FROM events WHERE event_id % 3 = 0 GROUP BY 1), b AS (SELECT user_id AS k, count(*)::VARCHAR AS h FROM events WHERE event_id % 2 = 0 GROUP BY 1)
+@query("""WITH a AS (SELECT user_id AS k, count(*)::VARCHAR AS h FROM events WHERE ts < TIMESTAMP '2024-01-15' GROUP BY 1), b AS (SELECT user_id AS k, count(*)::VARCHAR AS h FROM events WHERE ts >= TIMESTAMP '2024-01-15' GROUP BY 1)
     SELECT coalesce(a.k, b.k) AS path, CASE WHEN a.k IS NULL THEN 'created' WHEN b.k IS NULL THEN 'deleted' ELSE 'modified' END AS change, a.h AS old_hash, b.h AS new_hash FROM a FULL JOIN b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h""")
 def change_feed(spark, d):
-    state = lambda m: table(spark, d, "events").filter(F.col("event_id") % m == 0).groupBy(F.col("user_id").alias("path")).agg(F.count("*").cast("string").alias("hash"))
-    return changes.snapshot_diff(state(3), state(2))
+    """Each user's activity before and after the middle of the month, as two snapshots."""
+    early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
+    state = lambda when: table(spark, d, "events").filter(when).groupBy(F.col("user_id").alias("path")).agg(F.count("*").cast("string").alias("hash"))
+    return changes.snapshot_diff(state(early), state(~early))
 
 
 @query("""WITH u AS (SELECT user_id, max(ts) AS ts FROM events GROUP BY 1) SELECT e.user_id, e.event_id FROM events e JOIN u ON e.user_id = u.user_id AND e.ts = u.ts""")
 def incremental_upsert(spark, d):
     rows = table(spark, d, "events").select("user_id", "event_id", "ts")
-    half = F.col("event_id") % 2 == 0
+    half = F.col("ts") < F.lit("2024-01-15").cast("timestamp")
     old = changes.upsert(rows.filter(half), rows.limit(0), "user_id", "ts")
     new = changes.upsert(rows.filter(~half), rows.limit(0), "user_id", "ts")
     late = new.join(old.select(F.col("user_id").alias("u"), F.col("ts").alias("t")), F.col("user_id") == F.col("u"), "left").filter("t is null or ts > t").select(rows.columns)
@@ -234,11 +245,10 @@ def incremental_upsert(spark, d):
 
 
 @query()
-def content_ratio_pairs(spark, d):
-    """Near files of one project and type: matching-blocks ratio of the pairs of each group, 20 pairs at most."""
-    docs = table(spark, d, "documents").filter("n_chars between 50 and 600").withColumn("g", F.concat_ws(":", "source", "lang"))
-    pairs = similarity.group_pairs(docs.select("doc_id", "g", "text"), "g", "doc_id", cap=20)
-    return pairs.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.round(similarity.sequence_ratio(F.col("x.text"), F.col("y.text")), 4).alias("ratio"))
+def ratio_to_master(spark, d):
+    """Matching-blocks ratio of every part's name and its brand's master's name."""
+    pairs = similarity.master_pairs(table(spark, d, "part").select("p_partkey", "p_brand", "p_name"), "p_brand", "p_partkey")
+    return pairs.select(F.col("x.p_partkey").alias("sibling"), F.col("m.p_partkey").alias("master"), F.round(similarity.sequence_ratio(F.col("x.p_name"), F.col("m.p_name")), 4).alias("ratio"))
 
 
 @query()

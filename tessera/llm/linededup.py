@@ -51,7 +51,8 @@ def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     pair = F.when(before("pos") == F.col("pos") - 1, F.xxhash64(before("h"), "h"))
     rows = rows.withColumn("pair", pair)
     pairs = rows.filter("pair is not null").groupBy("pair").agg(F.count("*").alias("together"))
-    rows = rows.join(pairs, "pair", "left")
+    # Lines without a pair are spread by their place; they start a run whatever they meet.
+    rows = rows.withColumn("pair", F.coalesce("pair", F.xxhash64("i", "t", "pos"))).join(pairs, "pair", "left")
     apart = F.col("together") < TOGETHER * F.greatest("times", before("times"))
     starts = before("pos").isNull() | (before("pos") != F.col("pos") - 1) | (F.col("words") > long) | (before("words") > long) | apart
     rows = rows.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int"))

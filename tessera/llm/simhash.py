@@ -22,6 +22,7 @@ component's name unless no other is there; empty tables give no rows.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -132,80 +133,88 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, text
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near copies by shingle sets: wide fingerprints find the pairs, the sets decide.
+# Near copies by shingle sets: a prefix filter finds the pairs, the sets decide.
 
-WIDE = 32
-FEATURE = 2
-KEYS, KEY_BYTES = 72, 3
-MIN_SHARED = 5
+#: Buckets of the table that tells common shingles from rare ones.
+BUCKETS = 1 << 20
 
 
-def _wide(words: list[bytes]) -> bytes:
-    """A 256-bit SimHash of the text's distinct two-word shingles, of which near copies share more than
-    of longer ones: 32 bytes from four mixes of each shingle's hash."""
-    h = np.unique(shingle_hashes(words, FEATURE))
-    if not len(h):
-        return bytes(WIDE)
-    with np.errstate(over="ignore"):
-        many = np.stack([(h ^ (h >> np.uint64(31))) * np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)], 1)
-        many ^= many >> np.uint64(32)
-        many = many * np.uint64(0x9FB21C651E98DF25)
-        many ^= many >> np.uint64(29)
-    return majority(many.view(np.uint8).reshape(len(h), WIDE)).tobytes()
+def _common(texts: DataFrame, size: int) -> np.ndarray:
+    """How common the shingles of each bucket are, by the buckets that stand out in a task. The counts
+    only set the order of shingles: any order finds the same pairs, a good one makes short lists."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BUCKETS, np.int32)
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            for t in batch.column("text").to_pylist():
+                buckets = np.unique(shingle_hashes(space_words(t), size)) % np.uint64(BUCKETS)
+                np.add.at(counts, buckets.astype(np.int64), 1)
+        mean = counts.mean()
+        found = np.flatnonzero(counts > max(1, mean + 2 * mean**0.5))
+        for i in range(0, len(found), ROWS):
+            part = found[i : i + ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part].astype(np.int64))], ["bucket", "n"])
 
-def _combinations() -> list[list[int]]:
-    """`KEYS` sets of `KEY_BYTES` positions, every position in as many as any other."""
-    rng = np.random.default_rng(7)
-    out: list[list[int]] = []
-    while len(out) < KEYS:
-        p = rng.permutation(WIDE)
-        out += [sorted(p[i : i + KEY_BYTES].tolist()) for i in range(0, WIDE - KEY_BYTES + 1, KEY_BYTES)]
-    return out[:KEYS]
+    rows = texts.mapInArrow(work, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    return out
 
 
 def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest: int = LIST, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay: one of each group of texts linked by a Jaccard similarity of
     `similarity` or more of their sets of `size`-word shingles. Texts of equal words are copies.
 
+    Candidates are complete: of n shingles in one order of all shingles, rare ones first, two such sets
+    share one of their first n - ceil(similarity n) + 1. A posting list is one shingle of these
+    prefixes; pairs that can't have the similarity by their sizes and shared shingles are left out.
+
     The row of the group's least id stays (null ids last, then by hashes of the texts); of rows equal
     in id and text any one stays.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("t"))
+    least = lambda n: F.ceil(similarity * n - 1e-9)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            words = [space_words(t) for t in batch.column("text").to_pylist()]
-            h = [xxhash.xxh128_digest(b" ".join(w)) for w in words]
-            wide = pa.array([_wide(w) for w in words], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(h, pa.binary()), wide], ["doc_id", "t", "h", "wide"])
+            h = [xxhash.xxh128_digest(b" ".join(space_words(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(h, pa.binary())], ["doc_id", "t", "h"])
 
-    prints = materialize(slim.mapInArrow(read, "doc_id long, t long, h binary, wide binary"), "prints")
+    prints = materialize(slim.mapInArrow(read, "doc_id long, t long, h binary"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
-    nodes = materialize(prints.groupBy("h").agg(first, F.min("wide").alias("wide")), "nodes")
-    keys = [F.xxhash64(F.lit(k), *[F.substring("wide", i + 1, 1) for i in c]) for k, c in enumerate(_combinations())]
-    index = nodes.select("h", F.explode(F.array(*keys)).alias("k"))
-    lists = index.groupBy("k").agg(F.count("*").alias("n"), F.min("h").alias("first")).filter("n > 1")
+    nodes = materialize(prints.groupBy("h").agg(first).select(F.monotonically_increasing_id().alias("node_id"), "first"), "nodes")
+
+    def texts(wanted: DataFrame) -> DataFrame:
+        """(node_id, text) of the nodes `wanted`; rows equal in id and text all come."""
+        keys = bounded(wanted.select("node_id", F.col("first.doc_id").alias("i"), F.col("first.t").alias("u")))
+        return slim.join(keys, slim["doc_id"].eqNullSafe(keys["i"]) & (slim["t"] == keys["u"])).select("node_id", "text")
+
+    order = docs.sparkSession.sparkContext.broadcast(_common(texts(nodes), size))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            ids, ks, ns = [], [], []
+            for i, t in zip(batch.column("node_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                h = np.unique(shingle_hashes(space_words(t), size))
+                n = len(h)
+                own = h[np.argsort(order.value[(h % np.uint64(BUCKETS)).astype(np.int64)], kind="stable")][: n - math.ceil(similarity * n - 1e-9) + 1]
+                ids.append(np.full(len(own), i, np.int64))
+                ks.append(own.view(np.int64))
+                ns.append(np.full(len(own), n, np.int32))
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ks, ns)], ["id", "k", "n"])
+
+    index = materialize(texts(nodes).mapInArrow(prefixes, "id long, k long, n int"), "prefixes")
+    lists = index.groupBy("k").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).filter("members > 1")
     listed = materialize(index.join(lists, "k"), "postings")
-    short = listed.filter(F.col("n").between(3, longest)).select("k", "h")
-    every = short.alias("x").join(short.alias("y"), (F.col("x.k") == F.col("y.k")) & (F.col("x.h") < F.col("y.h"))).select(F.col("x.h").alias("a"), F.col("y.h").alias("b"))
-    stars = listed.filter((F.col("h") != F.col("first")) & ((F.col("n") == 2) | (F.col("n") > longest))).select(F.col("first").alias("a"), F.col("h").alias("b"))
-    pairs = every.union(stars).distinct()
-    of = lambda side: nodes.select(F.col("h").alias(side), F.col("wide").alias(f"w{side}"))
-    tally = [(F.substring("wa", i + 1, 1) == F.substring("wb", i + 1, 1)).cast("int") for i in range(WIDE)]
-    likely = materialize(pairs.join(of("a"), "a").join(of("b"), "b").filter(sum(tally[1:], tally[0]) >= MIN_SHARED).select("a", "b"), "candidates")
+    short = listed.filter(F.col("members") <= longest).select("k", "id", "n")
+    long = listed.filter(F.col("members") > longest).select("k", "id", "n", "hub")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            words = [space_words(t) for t in batch.column("text").to_pylist()]
-            h = [xxhash.xxh128_digest(b" ".join(w)) for w in words]
-            s = [np.unique(shingle_hashes(w, size)).tobytes() for w in words]
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(s, pa.binary())], ["h", "s"])
-
-    wanted = likely.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(nodes, "h").select(F.col("first.doc_id").alias("i"), F.col("first.t").alias("u"))
-    chosen = slim.join(bounded(wanted), slim["doc_id"].eqNullSafe(wanted["i"]) & (slim["t"] == wanted["u"]), "left_semi")
-    held = materialize(chosen.mapInArrow(sets, "h binary, s binary").groupBy("h").agg(F.min("s").alias("s")), "sets")
+            s = [np.unique(shingle_hashes(space_words(t), size)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node_id"), pa.array(s, pa.binary())], ["id", "s"])
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,10 +225,28 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest:
                 keep.append(both >= similarity * (len(p) + len(q) - both) - 1e-9)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    of_set = lambda side: held.select(F.col("h").alias(side), F.col("s").alias(f"s{side}"))
-    links = likely.join(of_set("a"), "a").join(of_set("b"), "b").mapInArrow(alike, "a binary, b binary")
+    def verified(likely: DataFrame) -> DataFrame:
+        """The pairs (a, b) of `likely` that have the similarity."""
+        likely = materialize(likely, "candidates")
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("node_id")).distinct().join(nodes, "node_id")
+        held = materialize(texts(wanted).mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.min("s").alias("s")), "sets")
+        of_set = lambda side: held.select(F.col("id").alias(side), F.col("s").alias(f"s{side}"))
+        return materialize(likely.join(of_set("a"), "a").join(of_set("b"), "b").mapInArrow(alike, "a long, b long"), "links")
+
+    fits = lambda x, y: F.least(x, y) >= least(F.greatest(x, y))
+    # Shingles that two sets share beyond the shorter prefix are at most the rest of one of them.
+    shared = lambda met, n, m: met + F.greatest(least(n), least(m)) - 1 >= F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+    in_long = long.groupBy("id").agg(F.count("*").alias("longs"))
+    x, y = short.alias("x"), short.alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & fits(F.col("x.n"), F.col("y.n")))
+    met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
+    of_long = lambda side: in_long.select(F.col("id").alias(side), F.col("longs").alias(f"l{side}"))
+    met = met.join(of_long("a"), "a", "left").join(of_long("b"), "b", "left").na.fill(0, ["la", "lb"])
+    every = met.filter(shared(F.col("c") + F.least("la", "lb"), F.col("n"), F.col("m"))).select("a", "b")
+    stars = long.filter((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
+    links = verified(every.union(stars).distinct())
     found = components(links)
-    named = nodes.join(found, nodes["h"] == found["node"], "left").select("first", F.coalesce("component", "h").alias("component"))
+    named = nodes.join(found, nodes["node_id"] == found["node"], "left").select("first", F.coalesce("component", "node_id").alias("component"))
     stay = materialize(named.groupBy("component").agg(F.min("first").alias("m")).select(F.col("m.doc_id").alias("i"), F.col("m.t").alias("u")), "stay")
     keys = prints.groupBy("doc_id", "t").agg(F.count("*").alias("n"))
     on = keys["doc_id"].eqNullSafe(stay["i"]) & (keys["t"] == stay["u"])

@@ -91,6 +91,27 @@ def test_near_texts_keep_one_of_each_group(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(first.values())
 
 
+def brute_kept(texts, similarity=0.8):
+    sets = [set(simhash.shingle_hashes(space_words(t), 5).tolist()) for t in texts]
+    n = len(texts)
+    roots = union(n, [(i, j) for i in range(n) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])])
+    return {i for i in range(n) if roots[i] == i}
+
+
+def test_near_texts_find_block_edits_at_the_threshold(spark):
+    """Texts with a block of new words at the end or inside, similarities from 0.8 to 0.82."""
+    rnd = random.Random(11)
+    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for g in range(80):
+        t = words(124)
+        at = rnd.randrange(20, 100)
+        texts += [" ".join(t), " ".join(t + words(30 - g % 4)) if g % 2 else " ".join(t[:at] + words(9) + t[at + 9 :])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = {r["doc_id"] for r in simhash.near_texts(docs).collect()}
+    assert kept == brute_kept(texts) == set(range(0, 160, 2))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0

@@ -12,7 +12,8 @@ compared in full. Longer lists are never expanded into pairs:
 - `near_fingerprints` (at most two bits) gives their nodes to exact stars: nodes at most two bits
   apart have a common point at most one bit from both, so every node is dealt to its 65 points and
   linked to the least node of each. No link is lost.
-- `near_texts` compares each node of the list with its least node.
+- `near_texts` compares each node of the list with its least node, then all pairs of the list that are
+  still in different components. No link is lost.
 
 Cases: a text without words has fingerprint zero and is linked like any other; null is empty;
 rows with equal ids are each fingerprinted; a null id takes part and is never chosen as the
@@ -246,6 +247,23 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest:
     stars = long.filter((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
     links = verified(every.union(stars).distinct())
     found = components(links)
+    if not long.isEmpty():
+        # What the stars left open: the pairs of a long list in different components. The members of its
+        # largest component aren't paired among themselves, so a group of near copies stays linear.
+        placed = long.join(found, long["id"] == found["node"], "left").select("k", "id", "n", F.coalesce("component", "id").alias("c"))
+        placed = materialize(placed, "placed")
+        parts = placed.groupBy("k", "c").agg(F.count("*").alias("held")).groupBy("k").agg(F.max_by("c", F.struct("held", "c")).alias("major"), F.count("*").alias("parts"))
+        split = materialize(placed.join(parts.filter("parts > 1"), "k"), "split")
+        x, y = split.filter("c <> major").alias("x"), split.alias("y")
+        open_ = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
+        met = x.join(y, (F.col("x.k") == F.col("y.k")) & open_ & fits(F.col("x.n"), F.col("y.n")))
+        met = met.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("x.n", "y.n")).alias("n"), F.max(F.greatest("x.n", "y.n")).alias("m"))
+        in_short = short.groupBy("id").agg(F.count("*").alias("shorts"))
+        of_short = lambda side: in_short.select(F.col("id").alias(side), F.col("shorts").alias(f"l{side}"))
+        met = met.join(of_short("a"), "a", "left").join(of_short("b"), "b", "left").na.fill(0, ["la", "lb"])
+        rest = verified(met.filter(shared(F.col("c") + F.least("la", "lb"), F.col("n"), F.col("m"))).select("a", "b"))
+        if not rest.isEmpty():
+            found = components(links.union(rest))
     named = nodes.join(found, nodes["node_id"] == found["node"], "left").select("first", F.coalesce("component", "node_id").alias("component"))
     stay = materialize(named.groupBy("component").agg(F.min("first").alias("m")).select(F.col("m.doc_id").alias("i"), F.col("m.t").alias("u")), "stay")
     keys = prints.groupBy("doc_id", "t").agg(F.count("*").alias("n"))

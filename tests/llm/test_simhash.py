@@ -112,6 +112,24 @@ def test_near_texts_find_block_edits_at_the_threshold(spark):
     assert kept == brute_kept(texts) == set(range(0, 160, 2))
 
 
+def test_near_texts_lose_no_link_in_long_lists(spark):
+    """Pairs whose shared rare shingles all stand in many texts that are unlike them, and version chains."""
+    rnd = random.Random(12)
+    words = lambda n: ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    texts = []
+    for _ in range(3):
+        base, more = words(104), words(56)
+        texts += [" ".join(base + words(10)) for _ in range(2)]
+        texts += [" ".join(half + more + words(4)) for half in (base[:56], base[48:]) for _ in range(30)]
+        t = words(120)
+        for _ in range(8):
+            texts.append(" ".join(t))
+            at, n = rnd.randrange(100), rnd.randrange(4, 12)
+            t = t[:at] + words(n) + t[at + n :]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in simhash.near_texts(docs, longest=4).collect()} == brute_kept(texts)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).count() == 0

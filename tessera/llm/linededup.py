@@ -5,6 +5,8 @@ repeated chunk, so runs of such lines are cut into chunks, and only hashes are s
 - a run ends at lines that occur once, around lines of more than `LONG` words (each a chunk of its
   own), and between lines that stand together less than `TOGETHER` times as often as the more
   frequent of them occurs (a common line beside a passage);
+- common lines inside a passage, such as blank ones, end no run: the lines on both sides and those
+  between are counted as one bridge, and stay together if it is as frequent as `TOGETHER` asks;
 - inside a run, a rolling hash over each line and the one before it sets the other boundaries: a
   chunk ends at a local minimum of it, but never leaves a single line over.
 Boundaries depend on the lines around them alone, so an inserted line moves no others.
@@ -53,9 +55,28 @@ def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     pairs = rows.filter("pair is not null").groupBy("pair").agg(F.count("*").alias("together"))
     # Lines without a pair are spread by their place; they start a run whatever they meet.
     rows = rows.withColumn("pair", F.coalesce("pair", F.xxhash64("i", "t", "pos"))).join(pairs, "pair", "left")
+    after = lambda c: F.lead(c).over(by_doc)
+    hard = before("pos").isNull() | (before("pos") != F.col("pos") - 1) | (F.col("words") > long) | (before("words") > long)
     apart = F.col("together") < TOGETHER * F.greatest("times", before("times"))
-    starts = before("pos").isNull() | (before("pos") != F.col("pos") - 1) | (F.col("words") > long) | (before("words") > long) | apart
-    rows = rows.withColumn("starts", F.coalesce(starts, F.lit(True)).cast("int"))
+    rows = rows.withColumns({"hard": hard, "apart": F.coalesce(~hard & apart, F.lit(False))})
+    common = (F.col("apart") & (F.col("times") > before("times"))) | (after("apart") & (F.col("times") > after("times")))
+    rows = rows.withColumns({"common": F.coalesce(common, F.lit(False)), "stretch": F.sum(F.col("hard").cast("int")).over(by_doc)})
+    # A bridge is a line that isn't common, the common ones before it and the last one before those.
+    in_stretch = Window.partitionBy("i", "t", "stretch").orderBy("pos")
+    last = lambda c: F.last(F.when(~F.col("common"), F.col(c)), True)
+    rows = rows.withColumn("from", last("pos").over(in_stretch))
+    gap = F.bit_xor(F.when(F.col("common"), F.xxhash64("h", F.col("pos") - F.col("from")))).over(Window.partitionBy("i", "t", "stretch", "from").orderBy("pos"))
+    rows = rows.withColumns({"gap": gap, "ends_times": F.greatest("times", last("times").over(in_stretch.rowsBetween(Window.unboundedPreceding, -1)))})
+    over = lambda c: F.lag(c).over(in_stretch)
+    first = last("h").over(in_stretch.rowsBetween(Window.unboundedPreceding, -1))
+    bridge = F.when(~F.col("common") & over("common") & first.isNotNull(), F.xxhash64(first, over("gap"), F.col("pos") - over("from"), "h"))
+    rows = materialize(rows.withColumn("bridge", bridge).select("i", "t", "pos", "h", "words", "hard", "apart", "common", "stretch", "ends_times", "bridge"), "runs")
+    bridges = rows.filter("bridge is not null").groupBy("bridge").agg(F.count("*").alias("crossed")).filter("crossed > 1")
+    rows = rows.withColumn("bridge", F.coalesce("bridge", F.xxhash64("i", "t", "pos"))).join(bounded(bridges), "bridge", "left")
+    rows = rows.withColumn("whole", F.coalesce(F.col("crossed") >= TOGETHER * F.col("ends_times"), F.lit(False)))
+    back = Window.partitionBy("i", "t", "stretch").orderBy(F.col("pos").desc())
+    inside = F.when(F.col("common"), last("whole").over(back)).otherwise(F.col("whole"))
+    rows = rows.withColumn("starts", (F.col("hard") | (F.col("apart") & ~F.coalesce(inside, F.lit(False)))).cast("int"))
     rows = rows.withColumn("run", F.sum("starts").over(by_doc))
     in_run = Window.partitionBy("i", "t", "run").orderBy("pos")
     rows = rows.withColumn("roll", F.xxhash64(F.lag("h").over(in_run), "h"))

@@ -34,6 +34,23 @@ def test_shared_passages_stay_once(spark):
     assert left <= 1.6 * sum(map(len, passages))
 
 
+def test_common_lines_inside_a_passage(spark):
+    """Paragraphs of one line parted by blank lines, and two passages with a line in common."""
+    rnd = random.Random(6)
+    paragraphs = [line(rnd, 30) for _ in range(3)]
+    both = line(rnd, 8)
+    passages = ["\n\n".join(paragraphs), "\n".join([line(rnd, 20), both, line(rnd, 20)]), "\n".join([line(rnd, 20), both, "", line(rnd, 20)])]
+    copied = "\n\n".join(line(rnd, 25) for _ in range(4))
+    rows = [(i, "\n".join([line(rnd, 9), passages[i % 3], line(rnd, 9)]), "x") for i in range(60)]
+    rows += [(i, "\n\n".join(line(rnd, 5) for _ in range(9)), "x") for i in range(60, 120)]
+    rows += [(200, copied, "x"), (201, copied, "x")]
+    got = run(spark, rows)
+    for p in passages:
+        assert sum(x in t.split("\n") for x in p.split("\n") if len(x) > 60 for t, _, _ in got.values()) == sum(len(x) > 60 for x in p.split("\n"))
+    assert got[200] == (copied, 7, 0) and got[201] == ("", 7, 7)
+    assert all(got[i] == (t, 17, 0) for i, t, _ in rows[60:120])
+
+
 def test_copies_and_cases(spark):
     t = "one two\nthree four\nfive"
     rows = [(3, t, "a"), (1, t, "b"), (None, t, "c"), (2, None, "d"), (4, "", "e"), (5, "alone", "f"), (6, t + "\n" + t, "g")]

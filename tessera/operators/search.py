@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import split_name, tokens
+from tessera.operators.catalog import top_per_group
 
 #: Points of a hit in a name, in a text, and of a partial hit in a name.
 POINTS = {"name": 10.0, "doc": 5.0, "partial": 3.0}
@@ -44,3 +48,42 @@ def score(index: DataFrame, words: Sequence[str]) -> DataFrame:
 
 def document_frequency(index: DataFrame) -> DataFrame:
     return index.groupBy("token").agg(F.count_distinct("id").alias("n_entries"))
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """(q, id, cosine, rank): the `k` vectors of `rows` (id, e) nearest to each of `queries` (q, e), but for
+    itself; cosine to 6 places, 0 if one has no length, ties by id. Queries are broadcast in blocks of about
+    `block`; each task keeps `k` rows a query before the shuffle. Null vectors take no part; a block's
+    vectors have one length."""
+    spark = rows.sparkSession
+    rows, queries = rows.filter("e is not null"), queries.filter("e is not null")
+    blocks = max(1, -(-queries.count() // block))
+    parts = []
+    for i in range(blocks):
+        some = queries.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).select(F.col("q").cast("long"), F.col("e").cast("array<double>")).toArrow()
+        if not some.num_rows:
+            continue
+        shared = spark.sparkContext.broadcast((some.column("q").to_numpy(), np.array(some.column("e").to_pylist(), float)))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, vectors = shared.value
+            lengths = np.linalg.norm(vectors, axis=1)
+            ids, cos = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            for batch in batches:
+                own = batch.column("id").to_numpy(zero_copy_only=False)
+                e = np.array(batch.column("e").to_pylist(), float)
+                for at in range(0, len(own), 1024):
+                    part, some = e[at : at + 1024], own[at : at + 1024]
+                    size = lengths[:, None] * np.linalg.norm(part, axis=1)
+                    c = np.round(np.divide(vectors @ part.T, size, out=np.zeros_like(size), where=size > 0), 6)
+                    c[names[:, None] == some] = -np.inf
+                    ids, cos = np.hstack([ids, np.broadcast_to(some, c.shape)]), np.hstack([cos, c])
+                    best = np.lexsort((ids, -cos))[:, :k]
+                    ids, cos = np.take_along_axis(ids, best, 1), np.take_along_axis(cos, best, 1)
+            found = np.isfinite(cos)
+            yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(names[:, None], ids.shape)[found]), pa.array(ids[found]), pa.array(cos[found])], ["q", "id", "cosine"])
+
+        parts.append(rows.select(F.col("id").cast("long"), F.col("e").cast("array<double>")).mapInArrow(work, "q long, id long, cosine double"))
+    if not parts:
+        return spark.createDataFrame([], "q long, id long, cosine double, rank int")
+    return top_per_group(reduce(DataFrame.union, parts), ["q"], [F.col("cosine").desc(), F.col("id")], k)

@@ -82,7 +82,7 @@ def jaccard_to_master(spark, d):
 @query("""SELECT q, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS id,
     round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 5""")
 def cosine_search(spark, d):
-    """The five nearest vectors of one label for the query vectors, the ids divisible by 20, against all rows."""
+    """The five nearest vectors of the same label for the query vectors, the ids divisible by 20."""
     rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
     queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("l"), F.col("embedding").alias("e"))
     both = rows.join(queries, (F.col("label") == F.col("l")) & (F.col("q") != F.col("vec_id")))
@@ -90,6 +90,14 @@ def cosine_search(spark, d):
     return catalog.top_per_group(scored, ["q"], [F.col("cosine").desc(), F.col("id")], 5)
 
 
+@query("""SELECT q, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS id,
+    round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 5""")
+def cosine_search_all(spark, d):
+    """The five nearest vectors of any label for the query vectors, the ids divisible by 20."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"))
+    return search.nearest(rows, rows.filter("id % 20 = 0").withColumnRenamed("id", "q"), 5)
+
+
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
     SELECT a.l_orderkey AS g, count(*) AS n FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND b.i * (b.i - 1) / 2 + a.i < 10 GROUP BY 1""")
 def sibling_pairs_capped(spark, d):

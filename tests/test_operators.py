@@ -202,3 +202,12 @@ def test_reports(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).first().asDict() == {"name": "n", "affinity": "0.5000", "paths": "x; y"}
     assert sinks.markdown_rows(groups, "name", ["affinity"]).first()["value"] == "## n\n- affinity: 0.5"
     assert sinks.json_lines(groups).first()["value"] == '{"name":"n","affinity":0.5,"paths":["x","y"]}'
+
+
+def test_nearest_of_all_rows(spark):
+    """Neighbours of other labels count; blocks of queries don't matter."""
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (3, [2.0, 0.0]), (4, [0.0, 0.0]), (5, None)], "id long, e array<double>").repartition(3)
+    queries = rows.filter("id in (0, 2)").withColumnRenamed("id", "q")
+    for block in (1, 100):
+        got = sorted((r["q"], r["rank"], r["id"]) for r in search.nearest(rows, queries, 2, block).collect())
+        assert got == [(0, 1, 3), (0, 2, 1), (2, 1, 1), (2, 2, 0)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.joins import LEAST, spread_join
 from tessera.sources.storage import materialize
 
 
@@ -19,22 +20,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Every round links a node's larger neighbours to its least neighbour (large star), then its
     smaller neighbours to the least (small star); rounds grow with the logarithm of the longest
-    path. Each round is written to shared storage, which cuts the lineage. Repeated edges don't
+    path. The edges of a hub are spread over tasks (`spread_join`). Each round is written to shared storage, which cuts the lineage. Repeated edges don't
     matter; self-loops and null ends are dropped; no edges give no rows. `node` and `component` have
     the type of the ends.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a is not null and b is not null and a <> b")
     current = materialize(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if current.isEmpty():
+    state = lambda: tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state()
+    if not before[0]:
         return current.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
     for _ in range(max_rounds):
         both = current.union(current.select("b", "a"))
-        large = both.join(_minima(current), F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        minima = _minima(current).withColumnRenamed("u", "a")
+        large = (spread_join(both, minima, ["a"]) if before[0] >= LEAST else both.join(minima, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
         small = large.filter("a <> b").join(least, "a").select(F.col("b").alias("x"), "m").union(least.select(F.col("a").alias("x"), "m"))
         current = materialize(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
-        now = tuple(current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        now = state()
         if now == before:
             break
         before = now

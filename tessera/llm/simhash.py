@@ -3,21 +3,23 @@
 A fingerprint is a row of bytes. Two fingerprints that differ in at most r bits differ in at most
 r bytes, so they share at least `bytes` - r positional bytes: the count filter's minimum. One
 positional byte alone has only 256 values and its posting lists would grow with the square of the
-corpus; the index is therefore kept under combinations of positional bytes, chosen so that a pair
-above the minimum shares at least one. Pairs that meet in a posting list get the tally of all
-their shared positional bytes, must reach the minimum, and are then verified.
-
-Equal fingerprints are one node, so copies make no pairs. A posting list of up to `LIST` nodes is
-compared in full. Longer lists are never expanded into pairs:
-- `near_fingerprints` (at most two bits) gives their nodes to exact stars: nodes at most two bits
-  apart have a common point at most one bit from both, so every node is dealt to its 65 points and
-  linked to the least node of each. No link is lost.
-- `near_texts` compares each node of the list with its least node, then all pairs of the list that are
-  still in different components. No link is lost.
+corpus. The positions are therefore cut into r + 2 blocks, of which such a pair shares two at least,
+and a posting list stands under two blocks and one further positional byte. Pairs that meet are
+tallied by a count of the lists, which is the number of shared bytes beyond the two blocks; pairs
+with fewer than the minimum go, and the rest are verified.
+
+Equal fingerprints are one node, so copies make no pairs. No list is expanded into all of its
+pairs: each list's nodes are compared with one hub first, components are contracted, and only pairs
+of a list that are still in different components are tallied (`near_fingerprints`) or compared
+(`near_texts`); the members of a list's largest component aren't paired among themselves. That
+holds for lists of every length, and loses no link: a pair that is never compared is connected
+already.
 
 Cases: a text without words has fingerprint zero and is linked like any other; null is empty;
 rows with equal ids are each fingerprinted; a null id takes part and is never chosen as the
-component's name unless no other is there; empty tables give no rows.
+component's name unless no other is there; very long texts are hashed `ROWS` shingles at a time;
+ties of hubs go to the larger fingerprint (texts: the least row), which changes no component; other
+columns aren't read (`near_texts` passes them on, clashing names included); empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -34,10 +36,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.words import small_batches, space_words
 from tessera.operators.components import components
-from tessera.sources.joins import bounded
+from tessera.sources.joins import bounded, spread_join
 from tessera.sources.storage import materialize
 
-SHINGLE, BITS, LIST = 3, 2, 64
+SHINGLE, BITS = 3, 2
 #: Bytes of text and rows of hashes that a task works on at a time.
 BATCH_BYTES, ROWS = 1 << 20, 1 << 14
 _ONES = (np.arange(256)[:, None] >> np.arange(8) & 1).astype(np.int64)
@@ -90,54 +92,98 @@ def shared_bytes(x: Column, width: int = 8) -> Column:
     return sum(same[1:], same[0])
 
 
-def byte_keys(fp: Column, bits: int) -> list[Column]:
-    """Index keys: the 8 positions in `bits` + 2 blocks; any two blocks together are a key."""
-    masks = [sum(255 << 8 * int(i) for i in b) for b in np.array_split(np.arange(8), bits + 2)]
-    signed = lambda m: m - (1 << 64) if m >= 1 << 63 else m
-    return [F.struct(F.lit(k).alias("c"), fp.bitwiseAND(F.lit(signed(a | b)).cast("long")).alias("v")) for k, (a, b) in enumerate(itertools.combinations(masks, 2))]
+def _blocks(bits: int) -> list[list[int]]:
+    """Positions of each index key: of `bits` + 2 blocks of the 8 bytes, any two together."""
+    blocks = np.array_split(np.arange(8), bits + 2)
+    return [sorted(int(i) for i in (*x, *y)) for x, y in itertools.combinations(blocks, 2)]
 
 
-def near_fingerprints(nodes: DataFrame, bits: int = BITS, longest: int = LIST) -> DataFrame:
+def _signed(mask: int) -> Column:
+    return F.lit(mask - (1 << 64) if mask >= 1 << 63 else mask).cast("long")
+
+
+def _by_key(bits: int, of) -> Column:
+    """`of` (positions -> column) of the row's key `c`."""
+    keys = _blocks(bits)
+    out = of(keys[0])
+    for c, own in enumerate(keys[1:], 1):
+        out = F.when(F.col("c") == c, of(own)).otherwise(out)
+    return out
+
+
+def postings(nodes: DataFrame, bits: int = BITS) -> DataFrame:
+    """(fp, copies, c, v, p, b): fingerprint `fp` stands in the list of key `c` with the bytes `v` and the
+    further position `p` with the byte `b`. Nodes alone under their key are left out."""
+    whole = [F.struct(F.lit(c).alias("c"), F.col("fp").bitwiseAND(_signed(sum(255 << 8 * i for i in own))).alias("v")) for c, own in enumerate(_blocks(bits))]
+    first = nodes.select("fp", "copies", F.explode(F.array(*whole)).alias("k")).select("fp", "copies", "k.c", "k.v")
+    met = first.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1").select("c", "v")
+    byte = lambda i: F.struct(F.lit(i).alias("p"), F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)).alias("b"))
+    rest = _by_key(bits, lambda own: F.array(*[byte(i) for i in range(8) if i not in own]))
+    return first.join(met, ["c", "v"]).select("fp", "copies", "c", "v", F.explode(rest).alias("k")).select("fp", "copies", "c", "v", "k.p", "k.b")
+
+
+def tallied(pairs: DataFrame, bits: int = BITS) -> DataFrame:
+    """The pairs (a, b) of `pairs` (c, a, b; one row per list they meet in) that share the guaranteed minimum
+    of positional bytes: those of their key and one for each list."""
+    needed = _by_key(bits, lambda own: F.lit(8 - bits - len(own)))
+    return pairs.groupBy("c", "a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= needed).select("a", "b").distinct()
+
+
+def near_fingerprints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fp` of `nodes`, whose components are those of all
-    pairs at most `bits` (0 to 2) bits apart."""
-    if not 0 <= bits <= 2:
-        raise ValueError("bits must be 0, 1 or 2")
-    index = nodes.select("fp", F.explode(F.array(*byte_keys(F.col("fp"), bits))).alias("k")).select("fp", "k.c", "k.v")
-    lists = index.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1")
-    listed = materialize(index.join(lists, ["c", "v"]), "postings")
-    short = listed.filter(F.col("n") <= longest)
-    x, y = short.alias("x"), short.alias("y")
-    d = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
-    on = (F.col("x.c") == F.col("y.c")) & (F.col("x.v") == F.col("y.v")) & (F.col("x.fp") < F.col("y.fp"))
-    pairs = x.join(y, on & (shared_bytes(d) >= 8 - bits) & (F.bit_count(d) <= bits)).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    long = listed.filter(F.col("n") > longest).select("fp").distinct()
+    pairs at most `bits` (0 to 6) bits apart. A list's hub is the fingerprint of the most `copies`."""
+    if not 0 <= bits <= 6:
+        raise ValueError("bits must be 0 to 6")
     if bits == 0:
-        return pairs.distinct()
-    flips = [1 << i for i in range(63)] + [-(1 << 63)]
-    points = F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(m).cast("long")) for m in flips])
-    stars = long.select("fp", F.explode(points).alias("point"))
-    hubs = stars.groupBy("point").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    spokes = stars.join(hubs, "point").filter("fp <> hub")
-    if bits == 1:
-        spokes = spokes.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("hub"))) <= 1)
-    return pairs.union(spokes.select(F.col("hub").alias("a"), F.col("fp").alias("b"))).distinct()
+        return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("a <> b")
+    if "copies" not in nodes.columns:
+        nodes = nodes.withColumn("copies", F.lit(1).cast("long"))
+    key = ["c", "v", "p", "b"]
+    index = materialize(postings(nodes, bits), "index")
+    lists = index.groupBy(*key).agg(F.count("*").alias("members"), F.max(F.struct("copies", "fp")).alias("hub")).filter("members > 1")
+    listed = materialize(spread_join(index, lists, key).select("fp", *key, F.col("hub.fp").alias("hub")), "postings")
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
+    stars = listed.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
+    links = materialize(stars.filter((shared_bytes(F.col("a").bitwiseXOR(F.col("b"))) >= 8 - bits) & near("a", "b")), "links")
+    split = unsettled(listed, components(links), "fp", key)
+    x, y = split.filter("component <> major").alias("x"), split.alias("y")
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in key]
+    met = x.join(y, (same[0] & same[1] & same[2] & same[3]) & _open("fp"))
+    pairs = met.select("x.c", F.least("x.fp", "y.fp").alias("a"), F.greatest("x.fp", "y.fp").alias("b"))
+    return links.union(tallied(pairs, bits).filter(near("a", "b")))
+
+
+def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) -> DataFrame:
+    """The rows of the lists under `key` whose nodes are in more than one component, with their
+    `component` and the list's largest one, `major`."""
+    placed = materialize(listed.join(found, listed[node] == found["node"], "left").select(*listed.columns, F.coalesce("component", node).alias("component")), "placed")
+    held = placed.groupBy(*key, "component").agg(F.count("*").alias("held"))
+    parts = held.groupBy(*key).agg(F.max(F.struct("held", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    return materialize(spread_join(placed, parts.select(*key, F.col("m.component").alias("major")), key), "unsettled")
+
+
+def _open(node: str) -> Column:
+    """Each pair (x, y) of a list in different components once, x not in the largest one."""
+    return (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col(f"x.{node}") < F.col(f"y.{node}")))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id): 16 hex digits; the least id that is reachable."""
     fps = materialize(fingerprints(docs, size, text, key), "fingerprints")
-    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     found = components(near_fingerprints(nodes, bits))
-    named = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = named.join(ids, "component").select("fp", "component_id")
-    return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = spread_join(named, ids, ["component"]).select("fp", "component_id")
+    return spread_join(fps, classes, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near copies by shingle sets: a prefix filter finds the pairs, the sets decide.
 
 #: Buckets of the table that tells common shingles from rare ones.
 BUCKETS = 1 << 20
+#: Sizes of a band differ by this share.
+BAND = 0.03
 
 
 def _common(texts: DataFrame, size: int) -> np.ndarray:
@@ -162,13 +208,15 @@ def _common(texts: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest: int = LIST, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay: one of each group of texts linked by a Jaccard similarity of
     `similarity` or more of their sets of `size`-word shingles. Texts of equal words are copies.
 
     Candidates are complete: of n shingles in one order of all shingles, rare ones first, two such sets
-    share one of their first n - ceil(similarity n) + 1. A posting list is one shingle of these
-    prefixes; pairs that can't have the similarity by their sizes and shared shingles are left out.
+    share one of their first n - ceil(similarity n) + 1, and where the first shared one stands tells how
+    many they can share at most. A posting list is one shingle of these prefixes, with places; pairs whose
+    sizes and places rule the similarity out are never made. A text with so many shingles of its
+    own that nothing can be similar to it therefore meets no other text of its list.
 
     The row of the group's least id stays (null ids last, then by hashes of the texts); of rows equal
     in id and text any one stays.
@@ -195,7 +243,7 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            ids, ks, ns = [], [], []
+            ids, ks, ns, at = [], [], [], []
             for i, t in zip(batch.column("node_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = np.unique(shingle_hashes(space_words(t), size))
                 n = len(h)
@@ -203,14 +251,14 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest:
                 ids.append(np.full(len(own), i, np.int64))
                 ks.append(own.view(np.int64))
                 ns.append(np.full(len(own), n, np.int32))
+                at.append(np.arange(len(own), dtype=np.int32))
             if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ks, ns)], ["id", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, ks, ns, at)], ["id", "k", "n", "place"])
 
-    index = materialize(texts(nodes).mapInArrow(prefixes, "id long, k long, n int"), "prefixes")
-    lists = index.groupBy("k").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("hub")).filter("members > 1")
-    listed = materialize(index.join(lists, "k"), "postings")
-    short = listed.filter(F.col("members") <= longest).select("k", "id", "n")
-    long = listed.filter(F.col("members") > longest).select("k", "id", "n", "hub")
+    index = materialize(texts(nodes).mapInArrow(prefixes, "id long, k long, n int, place int"), "prefixes")
+    # The hub of a list is the text with the fewest shingles rarer than the list's.
+    lists = index.groupBy("k").agg(F.count("*").alias("members"), F.min(F.struct("place", "id", "n")).alias("hub")).filter("members > 1")
+    listed = materialize(spread_join(index, lists.select("k", "hub"), ["k"]), "postings")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
@@ -234,36 +282,23 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, longest:
         of_set = lambda side: held.select(F.col("id").alias(side), F.col("s").alias(f"s{side}"))
         return materialize(likely.join(of_set("a"), "a").join(of_set("b"), "b").mapInArrow(alike, "a long, b long"), "links")
 
-    fits = lambda x, y: F.least(x, y) >= least(F.greatest(x, y))
-    # Shingles that two sets share beyond the shorter prefix are at most the rest of one of them.
-    shared = lambda met, n, m: met + F.greatest(least(n), least(m)) - 1 >= F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
-    in_long = long.groupBy("id").agg(F.count("*").alias("longs"))
-    x, y = short.alias("x"), short.alias("y")
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.id") < F.col("y.id")) & fits(F.col("x.n"), F.col("y.n")))
-    met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.max("x.n").alias("n"), F.max("y.n").alias("m"))
-    of_long = lambda side: in_long.select(F.col("id").alias(side), F.col("longs").alias(f"l{side}"))
-    met = met.join(of_long("a"), "a", "left").join(of_long("b"), "b", "left").na.fill(0, ["la", "lb"])
-    every = met.filter(shared(F.col("c") + F.least("la", "lb"), F.col("n"), F.col("m"))).select("a", "b")
-    stars = long.filter((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    links = verified(every.union(stars).distinct())
+    # What two sets of n and m shingles must share, and can share at most if their first shared ones stand at i and j.
+    fits = lambda n, i, m, j: (F.least(n, m) >= least(F.greatest(n, m))) & (F.least(n - i, m - j) >= F.ceil(similarity / (1 + similarity) * (n + m) - 1e-9))
+    spokes = listed.filter((F.col("id") != F.col("hub.id")) & fits(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place")))
+    links = verified(spokes.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct())
     found = components(links)
-    if not long.isEmpty():
-        # What the stars left open: the pairs of a long list in different components. The members of its
-        # largest component aren't paired among themselves, so a group of near copies stays linear.
-        placed = long.join(found, long["id"] == found["node"], "left").select("k", "id", "n", F.coalesce("component", "id").alias("c"))
-        placed = materialize(placed, "placed")
-        parts = placed.groupBy("k", "c").agg(F.count("*").alias("held")).groupBy("k").agg(F.max_by("c", F.struct("held", "c")).alias("major"), F.count("*").alias("parts"))
-        split = materialize(placed.join(parts.filter("parts > 1"), "k"), "split")
-        x, y = split.filter("c <> major").alias("x"), split.alias("y")
-        open_ = (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.major")) | (F.col("x.id") < F.col("y.id")))
-        met = x.join(y, (F.col("x.k") == F.col("y.k")) & open_ & fits(F.col("x.n"), F.col("y.n")))
-        met = met.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("x.n", "y.n")).alias("n"), F.max(F.greatest("x.n", "y.n")).alias("m"))
-        in_short = short.groupBy("id").agg(F.count("*").alias("shorts"))
-        of_short = lambda side: in_short.select(F.col("id").alias(side), F.col("shorts").alias(f"l{side}"))
-        met = met.join(of_short("a"), "a", "left").join(of_short("b"), "b", "left").na.fill(0, ["la", "lb"])
-        rest = verified(met.filter(shared(F.col("c") + F.least("la", "lb"), F.col("n"), F.col("m"))).select("a", "b"))
-        if not rest.isEmpty():
-            found = components(links.union(rest))
+    # What the stars left open, by bands of sizes: a row looks only into those it can be similar to.
+    split = unsettled(listed.drop("hub"), found, "id", ["k"])
+    band = lambda n: F.floor(F.log(n.cast("double")) / math.log(1 + BAND))
+    n, i = F.col("n"), F.col("place")
+    low, high = F.greatest(least(n), F.lit(1)), F.least(F.floor(n / similarity + 1e-9), F.floor((n - i) * ((1 + similarity) / similarity) - n + 1e-6))
+    x = split.filter("component <> major").withColumns({"low": low, "high": high}).filter("low <= high")
+    x = x.withColumn("band", F.explode(F.sequence(band(F.col("low")), band(F.col("high"))))).alias("x")
+    y = split.withColumn("band", band(n)).alias("y")
+    met = x.join(y, (F.col("x.k") == F.col("y.k")) & (F.col("x.band") == F.col("y.band")) & _open("id") & fits(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place")))
+    rest = verified(met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    if not rest.isEmpty():
+        found = components(links.union(rest))
     named = nodes.join(found, nodes["node_id"] == found["node"], "left").select("first", F.coalesce("component", "node_id").alias("component"))
     stay = materialize(named.groupBy("component").agg(F.min("first").alias("m")).select(F.col("m.doc_id").alias("i"), F.col("m.t").alias("u")), "stay")
     keys = prints.groupBy("doc_id", "t").agg(F.count("*").alias("n"))

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tessera.llm import simhash
 from tessera.llm.words import space_words
@@ -58,12 +59,26 @@ def test_long_posting_lists_lose_no_link(spark):
     fps = sorted({b ^ sum(1 << i for i in rnd.sample(range(64), rnd.randrange(6))) for b in base for _ in range(80)})
     signed = np.array(fps, np.uint64).view(np.int64).tolist()
     nodes = spark.createDataFrame([Row(fp=x) for x in signed], "fp long")
-    want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 2])
-    for longest in (2, 8, 64):
-        edges = [(signed.index(r["a"]), signed.index(r["b"])) for r in simhash.near_fingerprints(nodes, 2, longest).collect()]
+    for bits in (1, 2, 3):
+        want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= bits])
+        edges = [(signed.index(r["a"]), signed.index(r["b"])) for r in simhash.near_fingerprints(nodes, bits).collect()]
+        assert all(bin(fps[i] ^ fps[j]).count("1") <= bits for i, j in edges)
         assert union(len(fps), edges) == want
 
 
+def test_count_filter_drops_pairs_that_meet_too_seldom(spark):
+    """Two fingerprints that share five of eight positional bytes meet in lists, but not in enough of them."""
+    a = 0x0102030405060708
+    fps = {"five": a ^ 0x010101, "six": a ^ 0x0100000100000000, "same block": a ^ 0x0101}
+    nodes = spark.createDataFrame([(x, 1) for x in (a, *fps.values())], "fp long, copies long")
+    index = simhash.postings(nodes).filter(F.col("fp") != a)
+    key = ["c", "v", "p", "b"]
+    hub = simhash.postings(nodes).filter(F.col("fp") == a).select(*key, F.col("fp").alias("a"))
+    met = index.join(hub, key).select("c", "a", F.col("fp").alias("b"))
+    assert {r["b"] for r in met.collect()} == set(fps.values())
+    assert {r["b"] for r in simhash.tallied(met).collect()} == {fps["six"], fps["same block"]}
+
+
 def test_near_texts_keep_one_of_each_group(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
@@ -127,7 +142,31 @@ def test_near_texts_lose_no_link_in_long_lists(spark):
             at, n = rnd.randrange(100), rnd.randrange(4, 12)
             t = t[:at] + words(n) + t[at + n :]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    assert {r["doc_id"] for r in simhash.near_texts(docs, longest=4).collect()} == brute_kept(texts)
+    assert {r["doc_id"] for r in simhash.near_texts(docs).collect()} == brute_kept(texts)
+
+
+def test_near_texts_in_a_group_of_two_thousand(spark):
+    """Near copies of one text with up to ten changed words each: some are linked, many aren't; brute
+    force over all pairs, and far fewer candidates than pairs."""
+    rnd = random.Random(13)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    base = [word() for _ in range(150)]
+    texts = [" ".join(base)]
+    for _ in range(1999):
+        t = list(base)
+        for at in rnd.sample(range(150), rnd.randrange(1, 11)):
+            t[at] = word()
+        texts.append(" ".join(t))
+    sets = [np.unique(simhash.shingle_hashes(space_words(t), 5)) for t in texts]
+    places = {h: k for k, h in enumerate(np.unique(np.concatenate(sets)).tolist())}
+    held = np.zeros((len(texts), len(places)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [places[h] for h in s.tolist()]] = 1
+    both, n = held @ held.T, held.sum(1)
+    links = np.argwhere(np.triu(both >= 0.8 * (n[:, None] + n[None, :] - both) - 1e-6, 1)).tolist()
+    roots = union(len(texts), links)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r["doc_id"] for r in simhash.near_texts(docs).collect()} == {i for i in range(len(texts)) if roots[i] == i}
 
 
 def test_empty(spark):

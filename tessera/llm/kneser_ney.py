@@ -2,7 +2,7 @@
 
 Counting runs in Spark. Words are 64-bit hashes; an n-gram is a row of `order` of them. Tasks
 count n-grams of their own rows in memory-bounded chunks and send them on as sorted numpy blocks,
-split by ranges of the n-gram's own hash, so that one frequent word, pair or context is spread
+split by ranges of the n-gram's own hash (each block with its own list of words), so that one frequent word, pair or context is spread
 over all ranges. Each range adds its blocks up, writes one sorted array of hashes with counts to
 the shared folder, and passes on two pre-aggregated kinds of blocks: sums by context (total and
 how many n-grams occur once, twice, more often) and by suffix (the continuation counts that are
@@ -40,8 +40,9 @@ from tessera.sources.storage import new_dir
 
 ORDER = 2
 START, END = np.uint64(1), np.uint64(2)
-CHUNK_BYTES = 6 << 20
-CHUNK_ROWS = 3_000_000
+CHUNK_BYTES = 3 << 20
+#: Tokens that a task counts at a time; each text is counted whole, however long.
+CHUNK_TOKENS = 1_000_000
 #: Text for each range of hashes.
 BUCKET_BYTES = 8 << 20
 BLOCK = "kind string, level int, bucket int, block binary"
@@ -76,22 +77,24 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, sizes
 
 
-def ngrams(ids: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
-    """(tokens, order): every token after the tokens before it in its text; the start is padded."""
-    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+def ngrams(ids: np.ndarray, sizes: np.ndarray, order: int, start=START) -> list[np.ndarray]:
+    """`order` columns: every token after the tokens before it in its text; the start is padded."""
+    place = np.arange(len(ids), dtype=np.int64) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     columns = [ids]
     for k in range(1, order):
-        before = np.concatenate([np.zeros(k, np.uint64), ids[:-k]]) if k < len(ids) else np.zeros(len(ids), np.uint64)
-        columns.append(np.where(place >= k, before, START))
-    return np.stack(columns[::-1], 1)
+        before = np.full(len(ids), start, ids.dtype)
+        before[k:] = ids[:-k]
+        before[place < k] = start
+        columns.append(before)
+    return columns[::-1]
 
 
-def fold(words: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of word hashes."""
-    h = np.full(len(words), 0x51ED270B, np.uint64)
+def fold(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of word hashes, given in columns."""
+    h = np.full(len(columns[0]), 0x51ED270B, np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(words.shape[1]):
-            h = (h ^ words[:, k]) * U(0x9E3779B97F4A7C15)
+        for x in columns:
+            h = (h ^ x) * U(0x9E3779B97F4A7C15)
             h = (h ^ (h >> U(32))) * U(0xD6E8FEB86659FD93)
             h ^= h >> U(29)
     return h
@@ -102,14 +105,29 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
 
 
-def _summed(h: np.ndarray, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of equal hash added up, sorted by hash. counts: (rows, columns)."""
-    if not len(h):
-        return h, words, counts
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[first], words[order[first]], np.add.reduceat(counts[order], first, axis=0)
+def _distinct(codes: list[np.ndarray], size: int, counts: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Equal rows of `codes` (numbers below `size`, in columns) added up; without `counts` each row is one."""
+    bits = max(1, (size - 1).bit_length())
+    if bits * len(codes) > 64:
+        # A vocabulary beyond the key: number the rows' beginnings first.
+        head, back = np.unique(np.stack(codes[:-1]), axis=1, return_inverse=True)
+        two, sums = _distinct([back.ravel().astype(np.uint64), codes[-1].astype(np.uint64)], max(head.shape[1], size), counts)
+        return [*(x[two[0].astype(np.int64)] for x in head), two[1]], sums
+    key = np.zeros(len(codes[0]), np.uint64)
+    for c in codes:
+        key = (key << U(bits)) | c.astype(np.uint64)
+    if counts is None:
+        key, n = np.unique(key, return_counts=True)
+        sums = [n]
+    elif len(key):
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, sums = key[first], [np.add.reduceat(c[order], first, dtype=np.int64) for c in counts]
+    else:
+        sums = [c.astype(np.int64) for c in counts]
+    mask = U((1 << bits) - 1)
+    return [(key >> U(bits * k)) & mask for k in range(len(codes) - 1, -1, -1)], sums
 
 
 def _narrow(a: np.ndarray) -> np.ndarray:
@@ -129,43 +147,25 @@ def _unpack(block: bytes, n: int) -> list[np.ndarray]:
     return [np.lib.format.read_array(f, allow_pickle=False) for _ in range(n)]
 
 
-def _blocks(kind: str, level: int, words: np.ndarray, counts: np.ndarray, buckets: int, h: np.ndarray | None = None) -> Iterator[tuple]:
-    """One block for each range of the hash. Words travel in columns, the first as runs (rows are
-    sorted by it inside a block), counts in the narrowest type."""
-    h = fold(words) if h is None else h
-    b = _bucket(h, buckets)
-    order = np.lexsort([words[:, k] for k in range(words.shape[1] - 1, -1, -1)] + [b]) if words.shape[1] else np.argsort(h, kind="stable")
-    words, counts, b, h = words[order], counts[order], b[order], h[order]
-    edges = np.searchsorted(b, np.arange(buckets + 1))
+def _blocks(kind: str, level: int, words: np.ndarray, codes: list[np.ndarray], counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
+    """One block for each range of the hash: its distinct words, the rows as numbers of them in columns,
+    and the counts, all in the narrowest type."""
+    codes = [c.astype(np.int64) for c in codes]
+    b = _bucket(fold([words[c] for c in codes]), buckets)
+    order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
+    edges = np.searchsorted(b[order], np.arange(buckets + 1))
     for k in range(buckets):
-        i, j = edges[k], edges[k + 1]
-        if i == j:
-            continue
-        c = [_narrow(counts[i:j, x]) for x in range(counts.shape[1])]
-        if words.shape[1] > 1:
-            first = np.flatnonzero(np.concatenate([[True], words[i + 1 : j, 0] != words[i : j - 1, 0]]))
-            runs = _narrow(np.diff(np.append(first, j - i)))
-            block = _pack(words[i:j, 0][first], runs, words[i:j, 1:].T, *c)
-        else:
-            block = _pack(words[i:j, 0] if words.shape[1] else h[i:j], *c)
-        yield kind, level, k, block
-
-
-def _read(kind: str, level: int, block: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, words, counts) of a block."""
-    n_counts = 4 if kind == "context" else 1
-    if kind == "context":
-        h, *c = _unpack(block, 1 + n_counts)
-        words = np.zeros((len(h), 0), np.uint64)
-    elif level > 1:
-        first, runs, rest, *c = _unpack(block, 3 + n_counts)
-        words = np.concatenate([np.repeat(first, runs)[:, None], rest.T], 1)
-        h = fold(words)
-    else:
-        w, *c = _unpack(block, 1 + n_counts)
-        words = w[:, None]
-        h = fold(words)
-    return h, words, np.stack([x.astype(np.int64) for x in c], 1)
+        rows = order[edges[k] : edges[k + 1]]
+        if len(rows):
+            own, back = np.unique(np.concatenate([c[rows] for c in codes]), return_inverse=True)
+            yield kind, level, k, _pack(words[own], *(_narrow(x) for x in back.reshape(len(codes), -1)), *(_narrow(c[rows]) for c in counts))
+
+
+def _read(kind: str, level: int, block: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(distinct words, rows as numbers of them, counts) of a block."""
+    width = level - 1 if kind == "context" else level
+    words, *rest = _unpack(block, 1 + width + (4 if kind == "context" else 1))
+    return words, rest[:width], rest[width:]
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -178,24 +178,21 @@ def count(docs: DataFrame, order: int, buckets: int, text: str = "text") -> Data
     """Blocks of n-gram counts ('gram') and of single token counts ('raw')."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, raw, held = [], [], 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, level, own in (("gram", order, grams), ("raw", 1, raw)):
-                _, w, c = _summed(*(np.concatenate(x) for x in zip(*own, strict=True)))
-                for row in _blocks(kind, level, w, c, buckets):
+            ids, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            words, codes = np.unique(np.append(ids, START), return_inverse=True)
+            codes, start = codes[:-1].astype(np.uint32), np.uint32(codes[-1])
+            for kind, level in (("gram", order), ("raw", 1)):
+                for row in _blocks(kind, level, words, *_distinct(ngrams(codes, sizes, level, start), len(words)), buckets):
                     yield _rows([row])
-                own.clear()
 
-        for batch in batches:
-            for part in small_batches(iter([batch]), "text", CHUNK_BYTES):
-                ids, sizes = tokens(part.column("text"))
-                for own, w in ((grams, ngrams(ids, sizes, order)), (raw, ids[:, None])):
-                    own.append(_summed(fold(w), w, np.ones((len(w), 1), np.int64)))
-                held += len(grams[-1][0])
-                if held > CHUNK_ROWS:
-                    yield from flush()
-                    held = 0
+        for batch in small_batches(batches, "text", CHUNK_BYTES):
+            held.append(tokens(batch.column("text")))
+            if sum(len(x[0]) for x in held) > CHUNK_TOKENS:
+                yield from flush()
         if held:
             yield from flush()
 
@@ -224,25 +221,29 @@ def reduce(blocks: DataFrame, folder: str, buckets: int, partitions: int) -> Dat
                     held.setdefault((kind, level, bucket), []).append(block)
         for kind, level, bucket in sorted(held):
             parts = [_read(kind, level, b) for b in held.pop((kind, level, bucket))]
-            h, words, counts = _summed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+            words = np.unique(np.concatenate([p[0] for p in parts]))
+            numbers = [np.searchsorted(words, p[0]).astype(np.uint32) for p in parts]
+            codes = [np.concatenate([m[p[1][k]] for m, p in zip(numbers, parts, strict=True)]) for k in range(len(parts[0][1]))]
+            counts = [np.concatenate([p[2][k] for p in parts]) for k in range(len(parts[0][2]))]
+            del parts, numbers
+            codes, counts = _distinct(codes, len(words), counts)
+            h = fold([words[c.astype(np.int64)] for c in codes])
+            order = np.argsort(h)
             name = f"{kind}{level}-{bucket}"
-            _save(folder, f"{name}-h", h)
-            for k in range(counts.shape[1]):
-                _save(folder, f"{name}-{k}", _narrow(counts[:, k]))
-            c = counts[:, 0]
+            _save(folder, f"{name}-h", h[order])
+            for k, c in enumerate(counts):
+                _save(folder, f"{name}-{k}", _narrow(c[order]))
+            del h, order
+            c = counts[0]
             if kind == "raw":
                 yield _rows([("summary", 0, bucket, _pack(np.array([len(c), c.sum()])))])
             if kind == "gram":
                 kinds = np.array([(c == 1).sum(), (c == 2).sum(), (c == 3).sum(), (c == 4).sum(), (c > 2).sum(), c.sum()])
                 yield _rows([("summary", level, bucket, _pack(kinds))])
                 if level > 1:
-                    per = np.stack([c, c == 1, c == 2, c > 2], 1).astype(np.int64)
-                    ch, _, cc = _summed(fold(words[:, :-1]), words[:, :0], per)
-                    for row in _blocks("context", level, np.zeros((len(ch), 0), np.uint64), cc, buckets, ch):
+                    for row in _blocks("context", level, words, *_distinct(codes[:-1], len(words), [c, c == 1, c == 2, c > 2]), buckets):
                         yield _rows([row])
-                    suffix = words[:, 1:]
-                    _, sw, sc = _summed(fold(suffix), suffix, np.ones((len(suffix), 1), np.int64))
-                    for row in _blocks("gram", level - 1, sw, sc, buckets):
+                    for row in _blocks("gram", level - 1, words, *_distinct(codes[1:], len(words)), buckets):
                         yield _rows([row])
 
     return blocks.repartition(partitions, "kind", "level", "bucket").mapInArrow(work, BLOCK)
@@ -275,19 +276,20 @@ class Model:
                     out[k, i:j] = np.where(there, v[at], 0)
         return out
 
-    def log_probs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 p(last word | words before) of each row."""
-        p = np.full(len(grams), 1.0 / (self.types + 1))
+    def log_probs(self, grams: list[np.ndarray]) -> np.ndarray:
+        """log10 p(last word | words before) of each row of word hashes, in columns."""
+        n = len(grams[0])
+        p = np.full(n, 1.0 / (self.types + 1))
         for k in range(1, self.order + 1):
             d = self.discounts[k]
-            words = grams[:, self.order - k :]
+            words = grams[self.order - k :]
             h, back = np.unique(fold(words), return_inverse=True)
             c = self.look_up("gram", k, h, 1)[0][back]
             if k == 1:
                 s = self.sums.get(1, np.zeros(6))
-                total, n1, n2, n3 = (np.full(len(grams), int(x)) for x in (s[5], s[0], s[1], s[4]))
+                total, n1, n2, n3 = (np.full(n, int(x)) for x in (s[5], s[0], s[1], s[4]))
             else:
-                h, back = np.unique(fold(words[:, :-1]), return_inverse=True)
+                h, back = np.unique(fold(words[:-1]), return_inverse=True)
                 total, n1, n2, n3 = self.look_up("context", k, h, 4)[:, back]
             seen = total > 0
             t = np.maximum(total, 1)
@@ -302,15 +304,15 @@ class Model:
         starts = np.cumsum(sizes) - sizes
         grams = ngrams(ids, sizes, self.order)
         h, first, back = np.unique(fold(grams), return_index=True, return_inverse=True)
-        logs = self.log_probs(grams[first])[back]
-        h, first, back = np.unique(fold(ids[:, None]), return_index=True, return_inverse=True)
+        logs = self.log_probs([x[first] for x in grams])[back]
+        h, first, back = np.unique(fold([ids]), return_index=True, return_inverse=True)
         c = self.look_up("raw", 1, h, 1)[0]
         base = np.log10((c + 0.5) / (self.total + 0.5 * (self.types + 1)))
         add = lambda x: np.add.reduceat(x, starts)
         return [sizes, add((c > 0)[back].astype(np.int64)), add(base[back]), add(logs)]
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=1024)
 def _mapped(folder: str, name: str, columns: int) -> list[np.ndarray]:
     if not os.path.exists(f"{folder}/{name}-h.npy"):
         return [np.zeros(0, np.uint64)] + [np.zeros(0, np.uint8)] * columns

@@ -87,7 +87,7 @@ def test_probabilities_sum_to_one(spark):
     vocabulary, _ = kn.tokens(pa.array([t for t in sample(3) if t]))
     words = np.unique(vocabulary)
     for context in itertools.chain(words[:4], [np.uint64(999)]):
-        grams = np.stack([np.full(len(words) + 1, context, np.uint64), np.append(words, np.uint64(12345))], 1)
+        grams = [np.full(len(words) + 1, context, np.uint64), np.append(words, np.uint64(12345))]
         assert (10 ** model.log_probs(grams)).sum() == pytest.approx(1)
 
 
@@ -97,3 +97,15 @@ def test_nothing_to_learn(spark):
     assert kn.score(empty, model).count() == 0
     rows = kn.score(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), model).collect()
     assert [(r["n_tokens"], r["n_known"], r["score"]) for r in rows] == [(3, 0, 0.0)]
+
+
+def test_distinct_rows_beyond_one_key():
+    rnd = np.random.default_rng(1)
+    codes = [rnd.integers(0, 4, 500).astype(np.uint32) for _ in range(3)]
+    ones = [np.ones(500, np.int64)]
+    small, n = kn._distinct(codes, 4)
+    for size in (4, 1 << 30):
+        large, m = kn._distinct(codes, size, ones)
+        assert np.array_equal(np.stack(small), np.stack(large)) and np.array_equal(n[0], m[0])
+    want = Counter(zip(*(c.tolist() for c in codes), strict=True))
+    assert {tuple(r): c for r, c in zip(np.stack(small, 1).tolist(), n[0].tolist(), strict=True)} == want

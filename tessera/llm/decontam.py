@@ -15,7 +15,8 @@ further blocks are further passes over the rows, without a shuffle. No row leave
 Cases: null or wordless texts have no words and no hits; null or wordless items have no window;
 equal items are searched once and all their ids are reported (a null id as the empty string);
 repeated rows are judged each for itself; empty tables give no rows or no hits; other columns
-pass through, clashing names included, inside the struct `row`.
+pass through, clashing names included, inside the struct `row`; a very long text is a shard of its own;
+no result depends on ties.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ a retried task only writes the same file again.
 
 Cases: null and empty texts are the end token alone; a text shorter than the order has shorter
 contexts (the start is padded); repeated rows count each; with nothing to learn from, V = 0 and
-every token has probability 1 / (V + 1) = 1; an empty table gives no rows.
+every token has probability 1 / (V + 1) = 1; an empty table gives no rows; a very long text is counted
+and scored whole; no result depends on ties; other columns pass in the struct `row`, clashing names included.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ ORDER = 2
 START, END = np.uint64(1), np.uint64(2)
 CHUNK_BYTES = 3 << 20
 #: Tokens that a task counts at a time; each text is counted whole, however long.
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 1_500_000
 #: Text for each range of hashes.
 BUCKET_BYTES = 8 << 20
 BLOCK = "kind string, level int, bucket int, block binary"
@@ -148,8 +149,8 @@ def _unpack(block: bytes, n: int) -> list[np.ndarray]:
 
 
 def _blocks(kind: str, level: int, words: np.ndarray, codes: list[np.ndarray], counts: list[np.ndarray], buckets: int) -> Iterator[tuple]:
-    """One block for each range of the hash: its distinct words, the rows as numbers of them in columns,
-    and the counts, all in the narrowest type."""
+    """One block for each range of the hash: its distinct words, the rows (sorted) as numbers of them in
+    columns, the first as differences, and the counts, all in the narrowest type."""
     codes = [c.astype(np.int64) for c in codes]
     b = _bucket(fold([words[c] for c in codes]), buckets)
     order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
@@ -158,13 +159,15 @@ def _blocks(kind: str, level: int, words: np.ndarray, codes: list[np.ndarray], c
         rows = order[edges[k] : edges[k + 1]]
         if len(rows):
             own, back = np.unique(np.concatenate([c[rows] for c in codes]), return_inverse=True)
-            yield kind, level, k, _pack(words[own], *(_narrow(x) for x in back.reshape(len(codes), -1)), *(_narrow(c[rows]) for c in counts))
+            first, *rest = back.reshape(len(codes), -1)
+            yield kind, level, k, _pack(words[own], _narrow(np.diff(first, prepend=0)), *map(_narrow, rest), *(_narrow(c[rows]) for c in counts))
 
 
 def _read(kind: str, level: int, block: bytes) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
     """(distinct words, rows as numbers of them, counts) of a block."""
     width = level - 1 if kind == "context" else level
     words, *rest = _unpack(block, 1 + width + (4 if kind == "context" else 1))
+    rest[0] = np.cumsum(rest[0], dtype=np.int64)
     return words, rest[:width], rest[width:]
 
 

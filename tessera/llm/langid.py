@@ -12,7 +12,7 @@ score. Everything else reads whole texts of all rows.
 
 Cases: `und` with score 0 if the text is null or has no letter, or if nothing could be learned;
 ties go to the language first in order; repeated rows are judged each for itself; empty tables
-give no rows; other columns pass in the struct `row`.
+give no rows; other columns pass in the struct `row`, clashing names included; very long texts are read whole.
 """
 
 from __future__ import annotations

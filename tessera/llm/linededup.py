@@ -17,7 +17,8 @@ place - and the lines of all others are removed, also within one document.
 
 Cases: null and empty texts are one empty line and stay as they are; rows equal in id and text are
 one document and treated alike; null ids come last; an empty table gives no rows; other columns
-pass through, clashing names included, in the struct `row`.
+pass through, clashing names included, in the struct `row`; very long texts and lines are hashed and
+compared whole; ties of the rolling hash are no boundary.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.joins import bounded
+from tessera.sources.joins import bounded, spread_join
 from tessera.sources.storage import materialize
 
 LONG = 50
 TOGETHER = 0.75
 WORD = r"[^\x20\x09-\x0D]+"
-LISTS = 300_000
 
 
 def _lines(text: Column) -> Column:
@@ -47,7 +47,7 @@ def line_table(keyed: DataFrame) -> DataFrame:
 def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     """(i, t, start, n, words, c): chunks of repeated lines; c is the hash of their line hashes."""
     often = lines.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
-    rows = lines.join(often, "h").distinct()
+    rows = spread_join(lines, often, ["h"]).distinct()
     by_doc = Window.partitionBy("i", "t").orderBy("pos")
     before = lambda c: F.lag(c).over(by_doc)
     pair = F.when(before("pos") == F.col("pos") - 1, F.xxhash64(before("h"), "h"))
@@ -72,7 +72,7 @@ def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     bridge = F.when(~F.col("common") & over("common") & first.isNotNull(), F.xxhash64(first, over("gap"), F.col("pos") - over("from"), "h"))
     rows = materialize(rows.withColumn("bridge", bridge).select("i", "t", "pos", "h", "words", "hard", "apart", "common", "stretch", "ends_times", "bridge"), "runs")
     bridges = rows.filter("bridge is not null").groupBy("bridge").agg(F.count("*").alias("crossed")).filter("crossed > 1")
-    rows = rows.withColumn("bridge", F.coalesce("bridge", F.xxhash64("i", "t", "pos"))).join(bounded(bridges), "bridge", "left")
+    rows = rows.withColumn("bridge", F.coalesce("bridge", F.xxhash64("i", "t", "pos"))).join(bounded(materialize(bridges, "bridges")), "bridge", "left")
     rows = rows.withColumn("whole", F.coalesce(F.col("crossed") >= TOGETHER * F.col("ends_times"), F.lit(False)))
     back = Window.partitionBy("i", "t", "stretch").orderBy(F.col("pos").desc())
     inside = F.when(F.col("common"), last("whole").over(back)).otherwise(F.col("whole"))
@@ -99,13 +99,13 @@ def removals(keyed: DataFrame, long: int = LONG) -> DataFrame:
     again = found.groupBy("c").agg(F.count("*").alias("times")).filter("times > 1")
     some = found.join(again, "c").groupBy("i", "t").agg(F.collect_list(F.struct("start", "n", "c")).alias("own"))
     some = materialize(some, "repeated").withColumnsRenamed({"i": "_i", "t": "_t"})
-    joined = keyed.join(bounded(some, LISTS), keyed["i"].eqNullSafe(some["_i"]) & (keyed["t"] == some["_t"]))
+    joined = keyed.join(bounded(some), keyed["i"].eqNullSafe(some["_i"]) & (keyed["t"] == some["_t"]))
     each = joined.select("i", "t", _lines(F.col("body")).alias("lines"), F.explode("own").alias("x"))
     each = each.select("i", "t", "x.start", "x.n", "x.c", F.array_join(F.slice("lines", F.col("x.start") + 1, F.col("x.n")), "\n").alias("bytes"))
     place = F.struct(F.col("i").isNull().alias("none"), "i", "t", "start")
     owners = each.groupBy("c", "bytes").agg(F.min(place).alias("first")).select("c", F.sha2("bytes", 256).alias("s"), "first")
     marks = each.select("i", "t", "start", "n", "c", F.sha2("bytes", 256).alias("s"))
-    lost = marks.join(owners, ["c", "s"]).filter(~F.struct("i", "t", "start").eqNullSafe(F.struct("first.i", "first.t", "first.start")))
+    lost = spread_join(materialize(marks, "marks"), owners, ["c", "s"]).filter(~F.struct("i", "t", "start").eqNullSafe(F.struct("first.i", "first.t", "first.start")))
     return materialize(lost.groupBy("i", "t").agg(F.collect_set(F.struct("start", "n")).alias("cuts")), "removals")
 
 
@@ -116,7 +116,7 @@ def dedup_lines(docs: DataFrame, long: int = LONG, text: str = "text", key: str
     keyed = docs.select(F.col(f"`{key}`").cast("long").alias("i"), F.xxhash64(body).alias("t"), body.alias("body"))
     cuts = removals(keyed, long).withColumnsRenamed({"i": "_i", "t": "_t"})
     rows = docs.select(row, F.col(f"`{key}`").cast("long").alias("i"), F.xxhash64(body).alias("t"), F.col(f"`{text}`").cast("string").alias("body"))
-    joined = rows.join(bounded(cuts, LISTS), rows["i"].eqNullSafe(cuts["_i"]) & (rows["t"] == cuts["_t"]), "left")
+    joined = rows.join(bounded(cuts), rows["i"].eqNullSafe(cuts["_i"]) & (rows["t"] == cuts["_t"]), "left")
     lines = joined.select("row", "body", "cuts", _lines(F.coalesce("body", F.lit(""))).alias("lines"))
     stay = F.filter("lines", lambda x, k: ~F.exists("cuts", lambda r: (k >= r["start"]) & (k < r["start"] + r["n"])))
     lost = F.aggregate("cuts", F.lit(0).cast("long"), lambda a, r: a + r["n"])

@@ -10,13 +10,13 @@ words without a letter or digit, word length).
 The likelihood is maximised by L-BFGS over features of equal variance; those of fewer than
 `LEAST` sampled texts are left out. Rows of a bounded sample of the labelled documents (about
 `SAMPLE` rows, drawn by a hash) are packed into sparse blocks in shared storage; each step is a
-Spark job in which tasks sum the gradient over their blocks, and the driver adds one vector of
-`DIM` numbers per task. Prediction reads whole texts of all rows.
+Spark job in which tasks sum the gradient over their blocks, and the driver adds one vector per task, of the features left in (`DIM` at most). Prediction reads whole texts of all rows.
 
 Cases: null and wordless texts score w x = 0; null ratings aren't learned from; several ratings of
 a document count each; with no rated document all weights are zero and the thresholds select
 every row; repeated rows are judged each for itself; empty tables give no rows; other columns pass
-in the struct `row`.
+in the struct `row`, clashing names included; very long texts are whole batches of their own; ties of
+the selection bound are selected.
 """
 
 from __future__ import annotations
@@ -154,16 +154,18 @@ def _moments(blocks: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scaled(blocks: DataFrame, scale: np.ndarray) -> DataFrame:
-    """The blocks without the features of scale 0, others multiplied by it."""
-    shared = blocks.sparkSession.sparkContext.broadcast(scale)
+    """The blocks without the features of scale 0; others are multiplied by it and numbered anew without gaps, so
+    that the vectors of a step hold them alone."""
+    shared = blocks.sparkSession.sparkContext.broadcast((scale, (np.cumsum(scale > 0) - 1).astype(np.int32)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for idx, val, ptr, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 i, v, p = np.frombuffer(idx, np.int32), np.frombuffer(val, np.float32), np.frombuffer(ptr, np.int64)
-                keep = shared.value[i] > 0
+                scale, number = shared.value
+                keep = scale[i] > 0
                 new = np.concatenate([[0], np.cumsum(keep)])[p]
-                a = [i[keep].tobytes(), (v[keep] * shared.value[i[keep]]).astype(np.float32).tobytes(), new.astype(np.int64).tobytes(), y]
+                a = [number[i[keep]].tobytes(), (v[keep] * scale[i[keep]]).astype(np.float32).tobytes(), new.astype(np.int64).tobytes(), y]
                 yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in a], ["idx", "val", "ptr", "y"])
 
     return blocks.mapInArrow(work, "idx binary, val binary, ptr binary, y binary")
@@ -199,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: int = 3, samp
     drawn = F.pmod(F.xxhash64("_k", "grade", F.lit(11)), F.lit(1_000_000)) < min(1.0, sample / n) * 1_000_000
     rated = rated.filter(drawn)
     texts = docs.select(F.col(key).alias("_d"), F.col(text).cast("string").alias("text"))
-    rows = texts.join(bounded(rated), F.col("_d") == F.col("_k")).select("text", "grade")
+    rows = texts.join(bounded(materialize(rated, "marks")), F.col("_d") == F.col("_k")).select("text", "grade")
     blocks = materialize(_blocks(rows), "rated").coalesce(TASKS)
     free = lambda x: (x[: -grades + 1], np.cumsum(np.concatenate([x[-grades + 1 : -grades + 2], np.exp(np.clip(x[len(x) - grades + 2 :], -8, 8))])))
     df, sq = _moments(blocks)
@@ -214,9 +216,12 @@ def fit(docs: DataFrame, labels: DataFrame, grade: Column, grades: int = 3, samp
         back[1:] *= np.exp(np.clip(x[len(x) - grades + 2 :], -8, 8))
         return value / total + ridge * float(w @ w) / 2, np.concatenate([gw / total + ridge * w, back / total])
 
-    x = np.concatenate([np.zeros(DIM), [-1.0 * (grades - 1)], np.zeros(grades - 2)])
+    live = np.flatnonzero(scale)
+    x = np.concatenate([np.zeros(len(live)), [-1.0 * (grades - 1)], np.zeros(grades - 2)])
     w, t = free(lbfgs(loss, x, steps))
-    return Model(w * scale, t)
+    weights = np.zeros(DIM)
+    weights[live] = w * scale[live]
+    return Model(weights, t)
 
 
 def lbfgs(loss, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:

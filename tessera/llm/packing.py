@@ -7,14 +7,15 @@ and a prefix sum over the partitions' totals, one number per partition. Each row
 global offset, so windows are cut independently on every row; no row meets another.
 
 Cases: null and empty texts are the end id alone; repeated rows and ids are packed each for
-itself; an empty table gives no pieces; columns other than the two named are not read; a text
-longer than a window is cut into several pieces, `n_pieces` and `continues` being its boundary
-records.
+itself; an empty table gives no pieces; columns other than the two named are not read, clashing names
+included; a text longer than a window, however long, is cut into several pieces, `n_pieces` and
+`continues` being its boundary records; there are no ties, as the order is that of the written rows.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,31 +37,36 @@ PIECES = (
 )
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
-    """text -> ids. A `.tiktoken` file is a list of byte strings and ranks; else a tokenizers file.
+def special_tokens(path: str) -> tuple[tuple[str, int], ...]:
+    """The special tokens of a tokenizers file: their strings in a text become these ids."""
+    with open(path, encoding="utf-8") as f:
+        return tuple((t["content"], t["id"]) for t in json.load(f)["added_tokens"])
 
-    Strings of special tokens in a text are ordinary text.
-    """
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
+    """text -> ids. A `.tiktoken` file is a list of byte strings and ranks, to which the `special` tokens
+    are added; else a tokenizers file, which has its own. Both read special tokens' strings in a text
+    as those tokens."""
     if path.endswith(".tiktoken"):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+        return lambda text: own.encode(text, allowed_special="all") if any(x in text for x, _ in special) else own.encode_ordinary(text)
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(path)
-    own.encode_special_tokens = True
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, special: tuple = (), end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, part, local, n, ids): the ids of each document with the end id, as little-endian unsigned
     16- or 32-bit numbers (`wide`); `local` is the number of ids before it in its partition."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, local = encoder(path, pattern), TaskContext.get().partitionId(), 0
+        encode, part, local = encoder(path, pattern, special), TaskContext.get().partitionId(), 0
         for batch in small_batches(batches, "text", 4 << 20):
             keys, n, at, ids, wide = batch.column("doc_id"), [], [], [], []
             for value in batch.column("text").to_pylist():
@@ -114,11 +120,11 @@ def cut(placed: DataFrame, width: int = WIDTH) -> DataFrame:
     return placed.select("doc_id", "at", "n", "wide", "ids").mapInArrow(work, PIECES)
 
 
-def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, special: tuple = (), width: int = WIDTH, end_id: int = END_ID, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per piece: document, place in it, CRC of its ids, sequence and offset there.
 
     All sequences but the last are full. The token table is written once to shared storage, so a
     retried task reads the same order.
     """
-    tokens = materialize(tokenize(docs, path, pattern, end_id, text, key), "tokens")
+    tokens = materialize(tokenize(docs, path, pattern, special, end_id, text, key), "tokens")
     return cut(with_offsets(tokens), width)

@@ -13,7 +13,8 @@ rows and whole texts.
 Cases: null and wordless texts have zero counts and fail the base rule; null ratings aren't
 learned from; with nothing to learn the list is empty and the base rule alone decides; repeated
 rows are judged each for itself; an empty table gives no rows; columns besides the two named aren't
-read.
+read, clashing names included; very long texts are read whole; of conditions or prefixes of equal worth the first in
+order is taken.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def learn(stats: DataFrame, ratings: DataFrame, bad: Column, rated: int = RATED,
     share = min(1.0, rated / max(1, marks.count()))
     marks = marks.filter(F.pmod(F.xxhash64("_k", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
     f = features()
-    rows = stats.filter(~base_failed()).join(bounded(marks), F.col("doc_id") == F.col("_k"))
+    rows = stats.filter(~base_failed()).join(bounded(materialize(marks, "marks")), F.col("doc_id") == F.col("_k"))
     rows = rows.select("bad", F.pmod(F.xxhash64("_k", F.lit(5)), F.lit(3)).alias("third"), *[v.alias(k) for k, v in f.items()])
     rows = materialize(rows, "rated")
     quantiles = [i / BINS for i in range(BINS + 1)]

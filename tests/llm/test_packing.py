@@ -12,7 +12,7 @@ from tessera.llm.queries import tokenizer
 
 def sample(n=80):
     rnd = random.Random(9)
-    texts = [None, "", " ", "  two  spaces \n\n x", "don't I'll 123,456 <|endoftext|> ok", "é ü 漢字 🙂", "\x00\x1f"]
+    texts = [None, "", " ", "  two  spaces \n\n x", "don't I'll 123,456 <|endoftext|> ok", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n\n b <|endof", "é ü 漢字 🙂", "\x00\x1f"]
     for _ in range(n):
         texts.append("".join(rnd.choice(["the ", "Über", " x1", "\n", "...", "  ", "lorem "]) for _ in range(rnd.randrange(600))))
     return texts
@@ -21,15 +21,14 @@ def sample(n=80):
 @pytest.fixture(scope="module")
 def ids():
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    own.encode_special_tokens = True
     return [(own.encode(t, add_special_tokens=False).ids if t else []) + [1] for t in sample()]
 
 
 @pytest.mark.parametrize("kind", ["ranks", "json"])
 def test_round_trip(spark, ids, kind):
-    path, pattern = tokenizer() if kind == "ranks" else (public_tokenizers.path("byte_bpe_50k.json"), "")
+    how = tokenizer() if kind == "ranks" else (public_tokenizers.path("byte_bpe_50k.json"), "")
     docs = spark.createDataFrame([(i, t, 7) for i, t in enumerate(sample())], "doc_id long, text string, length int").repartition(4)
-    rows = packing.pack(docs, path, pattern, width=256).collect()
+    rows = packing.pack(docs, *how, width=256).collect()
     by_doc, line = {}, {}
     for r in rows:
         by_doc.setdefault(r["doc_id"], []).append(r)

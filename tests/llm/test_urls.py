@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -52,12 +53,54 @@ def test_mined_rules_block_bad_combinations(spark):
         labels += [(i, int(bad))] * rnd.choice([0, 1, 1, 2])
     pages = spark.createDataFrame(rows, "page_id long, url string").repartition(3)
     marks = spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, toxic int")
-    mined = urls.mine(urls.labelled(pages, marks, F.col("toxic") == 1))
+    mined = urls.mine(urls.labelled(pages, marks, F.col("toxic") == 1, urls.document_number(F.col("url"))))
     assert [sorted(r["tokens"]) for r in mined.collect()] == [["host:spam", "path:sv"]]
     got = {r["row"]["page_id"]: r["verdict"] for r in urls.judge(pages, mined).collect()}
     assert got == {i: "block" if "spam" in u and "/sv/" in u else "allow" for i, u in rows}
 
 
+def test_mining_against_brute_force(spark):
+    """All frequent sets, their counts, bounds and both prunings, from plain loops."""
+    rnd = random.Random(4)
+    rows = [([t for t in "abcdefghijkl" if t == "a" or rnd.random() < 0.3], rnd.random()) for _ in range(400)]
+    rows = [(t, x < (0.7 if {"b", "c"} <= set(t) else 0.45 if "d" in t else 0.15)) for t, x in rows]
+    got = {(tuple(sorted(r["tokens"])), r["bad_count"], r["count"]) for r in urls.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean")).collect()}
+    bad = sum(b for _, b in rows)
+
+    def lower(k, n):
+        p, z = k / n, urls.Z
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    good = {}
+    for size in range(1, 7):
+        for s in itertools.combinations("bcdefghijkl", size):
+            n = sum(set(s) <= set(t) for t, _ in rows)
+            k = sum(b for t, b in rows if set(s) <= set(t))
+            if k >= urls.MIN_COUNT and lower(k, n) > bad / len(rows):
+                good[s] = (k, n)
+    sure = {s: lower(*kn) for s, kn in good.items()}
+    idle = set()
+    for s in good:
+        for r in good:
+            if set(r) < set(s):
+                k, n = (x - y for x, y in zip(good[r], good[s], strict=True))
+                if sure[r] >= sure[s]:
+                    idle.add(s)
+                elif (lower(k, n) if n else 0) <= bad / len(rows):
+                    idle.add(r)
+    assert got == {(s, *good[s]) for s in good if s not in idle}
+    assert ("b", "c") in {s for s, _, _ in got}
+
+
+def test_document_numbers(spark):
+    want = {
+        "http://a.b/en/825?page=2": 825, "https://a/12/x/13": 12, "https://a.c/en/7.html": 7, "http://a/en/9#top": 9, "http://a/en/9/": 9,
+        "http://a/en?x=/5/": None, "http://5/en": None, "no/5": None, "http://a/x5/y": None, "http://a/" + "9" * 30: None,
+    }
+    rows = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r["url"]: r["n"] for r in rows.select("url", urls.document_number(F.col("url")).alias("n")).collect()} == want
+
+
 def test_counts_of_sets_are_exact(spark):
     bags = spark.createDataFrame([(["a", "b", "c"], 2), (["a"], 5), ([], 1), (["b", "c"], 1)], "tokens array<string>, weight long")
     sets = spark.createDataFrame([(["a"],), (["b", "c"],), (["a", "c"],), (["d"],)], "set array<string>")

@@ -33,7 +33,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         both = current.union(current.select("b", "a"))
         minima = _minima(current).withColumnRenamed("u", "a")
-        large = (spread_join(both, minima, ["a"]) if before[0] >= LEAST else both.join(minima, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = (spread_join(both, materialize(minima, "minima"), ["a"]) if before[0] >= LEAST else both.join(minima, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
         small = large.filter("a <> b").join(least, "a").select(F.col("b").alias("x"), "m").union(least.select(F.col("a").alias("x"), "m"))
         current = materialize(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")

@@ -44,15 +44,18 @@ def bounded(keys: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(keys) if size_of(keys) <= most else keys
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str]) -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], members: str | None = None) -> DataFrame:
     """Inner join of `rows` with `keyed`, which has one row for each key `on` at most.
 
-    Hot keys of `rows` don't meet in one task: their rows of `keyed`, at most `HOT_KEYS`, are broadcast (if
-    their bytes are few) and joined where the rows are; the others are shuffled. Without hot keys it
-    is a plain join. Give it written tables. Null keys match none.
+    A `keyed` of few bytes is broadcast. Beyond that, hot keys of `rows` don't meet in one task: their rows of
+    `keyed`, at most `HOT_KEYS`, are broadcast (if their bytes are few) and joined where the rows are; the
+    others are shuffled. `members` names a column of `keyed` that tells how many rows a key has; else
+    they are counted. Give it written tables. Null keys match none.
     """
-    counts = rows.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST)
-    found = counts.orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on).collect()
+    if size_of(keyed) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(keyed), on)
+    counts = keyed.select(*on, F.col(members).alias("_n")) if members else rows.groupBy(*on).agg(F.count("*").alias("_n"))
+    found = counts.filter(F.col("_n") >= LEAST).orderBy(F.desc("_n"), *on).limit(HOT_KEYS).select(*on).collect()
     if not found:
         return rows.join(keyed, on)
     heavy = F.broadcast(rows.sparkSession.createDataFrame(found, rows.select(*on).schema))

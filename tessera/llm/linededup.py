@@ -47,7 +47,7 @@ def line_table(keyed: DataFrame) -> DataFrame:
 def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     """(i, t, start, n, words, c): chunks of repeated lines; c is the hash of their line hashes."""
     often = lines.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
-    rows = spread_join(lines, often, ["h"]).distinct()
+    rows = spread_join(lines, materialize(often, "often"), ["h"], "times").distinct()
     by_doc = Window.partitionBy("i", "t").orderBy("pos")
     before = lambda c: F.lag(c).over(by_doc)
     pair = F.when(before("pos") == F.col("pos") - 1, F.xxhash64(before("h"), "h"))
@@ -103,9 +103,9 @@ def removals(keyed: DataFrame, long: int = LONG) -> DataFrame:
     each = joined.select("i", "t", _lines(F.col("body")).alias("lines"), F.explode("own").alias("x"))
     each = each.select("i", "t", "x.start", "x.n", "x.c", F.array_join(F.slice("lines", F.col("x.start") + 1, F.col("x.n")), "\n").alias("bytes"))
     place = F.struct(F.col("i").isNull().alias("none"), "i", "t", "start")
-    owners = each.groupBy("c", "bytes").agg(F.min(place).alias("first")).select("c", F.sha2("bytes", 256).alias("s"), "first")
+    owners = each.groupBy("c", "bytes").agg(F.min(place).alias("first"), F.count("*").alias("times")).select("c", F.sha2("bytes", 256).alias("s"), "first", "times")
     marks = each.select("i", "t", "start", "n", "c", F.sha2("bytes", 256).alias("s"))
-    lost = spread_join(materialize(marks, "marks"), owners, ["c", "s"]).filter(~F.struct("i", "t", "start").eqNullSafe(F.struct("first.i", "first.t", "first.start")))
+    lost = spread_join(materialize(marks, "marks"), materialize(owners, "owners"), ["c", "s"], "times").filter(~F.struct("i", "t", "start").eqNullSafe(F.struct("first.i", "first.t", "first.start")))
     return materialize(lost.groupBy("i", "t").agg(F.collect_set(F.struct("start", "n")).alias("cuts")), "removals")
 
 

@@ -141,7 +141,7 @@ def near_fingerprints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     key = ["c", "v", "p", "b"]
     index = materialize(postings(nodes, bits), "index")
     lists = index.groupBy(*key).agg(F.count("*").alias("members"), F.max(F.struct("copies", "fp")).alias("hub")).filter("members > 1")
-    listed = materialize(spread_join(index, lists, key).select("fp", *key, F.col("hub.fp").alias("hub")), "postings")
+    listed = materialize(spread_join(index, materialize(lists, "lists"), key, "members").select("fp", *key, F.col("hub.fp").alias("hub")), "postings")
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= bits
     stars = listed.filter("fp <> hub").select(F.col("hub").alias("a"), F.col("fp").alias("b")).distinct()
     links = materialize(stars.filter((shared_bytes(F.col("a").bitwiseXOR(F.col("b"))) >= 8 - bits) & near("a", "b")), "links")
@@ -158,8 +158,9 @@ def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) ->
     `component` and the list's largest one, `major`."""
     placed = materialize(listed.join(found, listed[node] == found["node"], "left").select(*listed.columns, F.coalesce("component", node).alias("component")), "placed")
     held = placed.groupBy(*key, "component").agg(F.count("*").alias("held"))
-    parts = held.groupBy(*key).agg(F.max(F.struct("held", "component")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    return materialize(spread_join(placed, parts.select(*key, F.col("m.component").alias("major")), key), "unsettled")
+    parts = held.groupBy(*key).agg(F.max(F.struct("held", "component")).alias("m"), F.count("*").alias("parts"), F.sum("held").alias("members")).filter("parts > 1")
+    parts = materialize(parts.select(*key, F.col("m.component").alias("major"), "members"), "parts")
+    return materialize(spread_join(placed, parts, key, "members").drop("members"), "unsettled")
 
 
 def _open(node: str) -> Column:
@@ -172,10 +173,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, text
     fps = materialize(fingerprints(docs, size, text, key), "fingerprints")
     nodes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     found = components(near_fingerprints(nodes, bits))
-    named = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "named")
+    named = materialize(nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component")), "named")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = spread_join(named, ids, ["component"]).select("fp", "component_id")
-    return spread_join(fps, classes, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    classes = spread_join(named, materialize(ids, "ids"), ["component"]).select("fp", "copies", "component_id")
+    return spread_join(fps, materialize(classes, "classes"), ["fp"], "copies").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near copies by shingle sets: a prefix filter finds the pairs, the sets decide.
@@ -258,7 +259,7 @@ def near_texts(docs: DataFrame, size: int = 5, similarity: float = 0.8, text: st
     index = materialize(texts(nodes).mapInArrow(prefixes, "id long, k long, n int, place int"), "prefixes")
     # The hub of a list is the text with the fewest shingles rarer than the list's.
     lists = index.groupBy("k").agg(F.count("*").alias("members"), F.min(F.struct("place", "id", "n")).alias("hub")).filter("members > 1")
-    listed = materialize(spread_join(index, lists.select("k", "hub"), ["k"]), "postings")
+    listed = materialize(spread_join(index, materialize(lists, "lists"), ["k"], "members").select(*index.columns, "hub"), "postings")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):

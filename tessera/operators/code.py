@@ -9,8 +9,8 @@ from tessera.functions.text import complexity_score, jaccard, mean_of, split_nam
 from tessera.operators.components import components
 from tessera.operators.similarity import sequence_ratio
 
-#: Names that count as used, and smell limits.
-SPECIAL = ("main", "setup", "teardown", "setUp", "tearDown", "run", "handle", "get", "post", "put", "delete", "register", "create_app", "configure")
+#: Names that count as used (dunder names are left out by their form), and smell limits.
+SPECIAL = ("main", "setup", "teardown", "run", "execute", "init", "config", "settings", "app", "application")
 LIMITS = {"long_function": (50, 100), "many_parameters": (5, None), "high_complexity": (10, 20), "deep_nesting": (4, None), "many_methods": (20, None)}
 
 

@@ -107,6 +107,10 @@ def entities(path: str, text: str | None) -> Iterator[dict]:
     yield from walk(tree, "")
 
 
+#: Entity rows of an Arrow batch, about.
+ROWS = 4000
+
+
 def parse(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """One row per entity of every file. Files are parsed where they are read; nothing is shuffled."""
 
@@ -116,8 +120,14 @@ def parse(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame
     schema = to_arrow_schema(StructType.fromDDL(ENTITY))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
         for batch in batches:
             for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                yield pa.RecordBatch.from_pylist([{c: r.get(c) for c in COLUMNS} for r in entities(p, t)], schema)
+                rows += [{c: r.get(c) for c in COLUMNS} for r in entities(p, t)]
+                if len(rows) >= ROWS:
+                    yield pa.RecordBatch.from_pylist(rows, schema)
+                    rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     return files.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInArrow(work, ENTITY)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import complexity_score, jaccard, mean_of, split_name
-from tessera.operators.components import components
+from tessera.operators import quality as figures
+from tessera.operators.components import components, settle
 from tessera.operators.similarity import sequence_ratio
+from tessera.sources.storage import materialize
 
 #: Names that count as used (dunder names are left out by their form), and smell limits.
 SPECIAL = ("main", "setup", "teardown", "run", "execute", "init", "config", "settings", "app", "application")
@@ -67,13 +69,13 @@ def clones(found: DataFrame, threshold: float = 0.7) -> DataFrame:
     words = F.split(F.trim(F.regexp_replace("source", r"[^A-Za-z0-9_]+", " ")), " ")
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3)))
     index = reps.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(grams)).alias("g"))
-    sizes = index.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
-    listed = index.join(sizes, "g")
-    short = listed.filter("n <= 64").select("g", "id")
-    pairs = short.alias("x").join(short.alias("y"), (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    wide = listed.filter("n > 64 and id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     text = lambda k: reps.select(F.col("id").alias(k), F.col("source").alias(f"s{k}"))
-    three = pairs.union(wide).distinct().join(text("a"), "a").join(text("b"), "b").withColumn("similarity", F.round(sequence_ratio(F.col("sa"), F.col("sb")), 4))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(text("a"), "a").join(text("b"), "b").withColumn("similarity", F.round(sequence_ratio(F.col("sa"), F.col("sb")), 4))
+        return both.select("a", "b", "similarity").filter(F.col("similarity") >= threshold)
+
+    three = settle(materialize(index, "shingles"), "id", ["g"], alike)
     return one.union(two).union(three.filter(F.col("similarity") >= threshold).select("a", "b", F.lit("type3").alias("type"), "similarity"))
 
 
@@ -118,32 +120,40 @@ def smells(entities: DataFrame) -> DataFrame:
 
 
 def quality(entities: DataFrame) -> DataFrame:
-    """path and means over functions: docstring and hint share, length, complexity, smells, score."""
+    """path and figures over functions: docstring and hint share, number, lines, complexity, smells, maintainability and
+    the weighted score (entities tell nothing of comments, tests or error handling, which count as none)."""
     f = entities.filter("kind = 'function'")
+    lines = F.col("end_lineno") - F.col("lineno") + 1
     per = f.groupBy("path").agg(
         F.avg(F.col("docstring").isNotNull().cast("int")).alias("docstrings"),
         F.avg(F.col("returns").isNotNull().cast("int")).alias("hints"),
-        F.avg(F.col("end_lineno") - F.col("lineno") + 1).alias("mean_lines"),
+        F.count("*").alias("functions"),
+        F.max("end_lineno").alias("loc"),
+        F.max(lines).alias("longest"),
         F.avg("complexity").alias("mean_complexity"),
+        F.sum((~F.col("name").startswith("_")).cast("int")).alias("testable"),
     )
     bad = smells(entities).groupBy("path").agg(F.count("*").alias("n_smells"))
     joined = per.join(bad, "path", "left").na.fill(0, ["n_smells"])
-    score = 25 * F.col("docstrings") + 15 * F.col("hints") + 40 * F.least(F.lit(1.0), 10 / F.greatest("mean_complexity", F.lit(1.0)) / 2) + 20 / (1 + F.col("n_smells"))
-    return joined.withColumn("score", F.round(score, 2))
+    none = F.lit(False)
+    index = figures.maintainability(F.col("loc"), F.col("mean_complexity"), F.col("functions"), F.col("docstrings"), F.col("hints"), none, none)
+    joined = joined.withColumn("maintainability", index)
+    score = figures.quality_score(
+        figures.documentation(none, F.col("docstrings"), F.lit(0.0)), 100 * F.col("hints"), figures.structure(F.col("n_smells"), F.col("mean_complexity"), F.col("longest")),
+        figures.testing(none, F.col("testable")), F.lit(0.0), F.col("maintainability"),
+    )
+    return joined.withColumn("score", score)
 
 
 def semantic_pairs(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(a, b, score, level) of functions alike in shape, name and documentation. Candidates share a name
-    part or the list of statement types; each such block links to its least function."""
+    part or the list of statement types; a block's functions are compared with its least one, then those that
+    are still in different groups are (`settle`), so that the groups are complete."""
     rows = entities.filter("kind = 'function'").select(
         F.concat_ws(":", "path", "lineno", "name").alias("id"), "name", "args", "shape", F.coalesce("details", F.array().cast("array<string>")).alias("decorators"), "docstring", split_name(F.col("name")).alias("parts")
     )
     keys = F.array_union(F.transform("parts", lambda x: F.concat(F.lit("n:"), x)), F.array(F.concat(F.lit("s:"), F.array_join("shape", ","))))
-    blocked = rows.select("*", F.explode(keys).alias("k"))
-    least = blocked.groupBy("k").agg(F.min("id").alias("hub"))
-    pairs = blocked.join(least, "k").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     x, y = rows.alias("x"), rows.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     size = lambda s: F.size(f"{s}.args")
     count = F.when(F.greatest(size("x"), size("y")) == 0, 1.0).otherwise(F.least(size("x"), size("y")) / F.greatest(size("x"), size("y")))
     structure = mean_of(count, F.coalesce(jaccard(F.col("x.decorators"), F.col("y.decorators")), F.lit(1.0)))
@@ -153,4 +163,9 @@ def semantic_pairs(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
     doc = F.when(F.col("x.docstring").isNull() & F.col("y.docstring").isNull(), 0.5).when(F.col("x.docstring").isNull() | F.col("y.docstring").isNull(), 0.3).otherwise(jaccard(words("x"), words("y")))
     score = F.round(0.3 * structure + 0.3 * behaviour + 0.25 * name + 0.15 * doc, 4)
     level = F.when(F.col("score") >= 0.95, "exact").when(F.col("score") >= 0.75, "similar").otherwise("related")
-    return both.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score", level.alias("level"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+        return both.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score", level.alias("level"))
+
+    return settle(materialize(rows.select("id", F.explode(keys).alias("k")), "blocks"), "id", ["k"], alike)

@@ -45,3 +45,36 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     roots = current.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) -> DataFrame:
+    """The rows of the lists under `key` whose nodes are in more than one component of `found`, with their
+    `component` and the list's largest one, `major`."""
+    placed = materialize(listed.join(found, listed[node] == found["node"], "left").select(*listed.columns, F.coalesce("component", node).alias("component")), "placed")
+    held = placed.groupBy(*key, "component").agg(F.count("*").alias("held"))
+    parts = held.groupBy(*key).agg(F.max(F.struct("held", "component")).alias("m"), F.count("*").alias("parts"), F.sum("held").alias("members")).filter("parts > 1")
+    parts = materialize(parts.select(*key, F.col("m.component").alias("major"), "members"), "parts")
+    return materialize(spread_join(placed, parts, key, "members").drop("members"), "unsettled")
+
+
+def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
+    """(a, b), distinct: the pairs of unsettled lists in different components, those of a list's largest component
+    among themselves left out."""
+    x, y = split.filter("component <> major").alias("x"), split.alias("y")
+    on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col(f"x.{node}") < F.col(f"y.{node}")))
+    for k in key:
+        on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    return x.join(y, on).select(F.least(f"x.{node}", f"y.{node}").alias("a"), F.greatest(f"x.{node}", f"y.{node}").alias("b")).distinct()
+
+
+def settle(lists: DataFrame, node: str, key: list[str], verified) -> DataFrame:
+    """Links (a, b, and what `verified` adds) whose components are those of all true pairs of nodes that share a list.
+
+    `verified` keeps the true ones of pairs (a, b). Every list's nodes are compared with its least node first, then
+    the pairs that are still in different components are; lists of any length lose no group."""
+    hubs = materialize(lists.groupBy(*key).agg(F.min(node).alias("_hub"), F.count("*").alias("_members")).filter("_members > 1"), "hubs")
+    listed = materialize(spread_join(lists, hubs, key, "_members").select(node, *key, "_hub"), "lists")
+    stars = listed.filter(F.col(node) != F.col("_hub")).select(F.col("_hub").alias("a"), F.col(node).alias("b")).distinct()
+    links = materialize(verified(stars), "links")
+    split = unsettled(listed.drop("_hub"), components(links), node, key)
+    return links.unionByName(materialize(verified(open_pairs(split, node, key)), "links"))

@@ -11,43 +11,42 @@ from tessera.sources.storage import materialize
 HOPS = 4
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(node, depth): nodes reachable from `start` (node), with their least number of steps.
+def reachable(edges: DataFrame, start: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, depth): nodes reachable from `start` (node), with their least number of steps, up to `max_depth` if given.
 
-    A frontier moves `HOPS` steps a round by distributed joins; each round is written to shared
-    storage. Nodes already seen are dropped by an anti join, so that edges are walked again only
-    within a round.
+    A frontier moves `HOPS` steps a round by distributed joins until it is empty, however long the paths.
+    Edges are written once; each round is written to shared storage with all that was seen before, so
+    plans don't grow. Nodes already seen are dropped by an anti join.
     """
-    step = edges.select(F.col("src"), F.col("dst")).distinct()
+    step = materialize(edges.select("src", "dst").filter("src <> dst").distinct(), "steps")
     seen = materialize(start.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
-    frontier, done = seen, 0
-    while done < max_rounds:
-        layers, current = [], frontier
-        for hop in range(1, min(HOPS, max_rounds - done) + 1):
+    done = 0
+    while max_depth is None or done < max_depth:
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - done)
+        layers, current = [], seen.filter(F.col("depth") == done)
+        for hop in range(1, hops + 1):
             next_nodes = current.join(step, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
             current = next_nodes.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(done + hop))
             layers.append(current)
         found = layers[0]
         for layer in layers[1:]:
             found = found.unionByName(layer)
-        found = materialize(found.groupBy("node").agg(F.min("depth").alias("depth")), "reached")
-        done += len(layers)
-        seen = seen.unionByName(found)
-        frontier = found.filter(F.col("depth") == done)
-        if frontier.isEmpty():
+        done += hops
+        seen = materialize(seen.unionByName(found).groupBy("node").agg(F.min("depth").alias("depth")), "reached")
+        if seen.filter(F.col("depth") == done).isEmpty():
             break
     return seen
 
 
-def chain(edges: DataFrame, source, target, max_rounds: int = 200) -> DataFrame:
+def chain(edges: DataFrame, source, target) -> DataFrame:
     """(pos, node): a shortest chain from source to target; of equal ones that with the least nodes in
-    order. Empty if there is none."""
+    order, however long. Empty if there is none."""
     spark = edges.sparkSession
-    step = edges.select("src", "dst").distinct()
+    step = materialize(edges.select("src", "dst").distinct(), "steps")
     kind = edges.schema["src"].dataType.simpleString()
     seen = materialize(spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.array(F.lit(source).cast(kind)).alias("path")), "chain")
     frontier = seen
-    for _ in range(max_rounds):
+    while True:
         hit = frontier.filter(F.col("node") == F.lit(target)).limit(1)
         if not hit.isEmpty():
             return hit.select(F.posexplode("path").alias("pos", "node"))
@@ -56,7 +55,7 @@ def chain(edges: DataFrame, source, target, max_rounds: int = 200) -> DataFrame:
         frontier = materialize(new, "chain")
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
+        seen = materialize(seen.unionByName(frontier), "chain")
     return seen.filter("false").select(F.posexplode("path").alias("pos", "node"))
 
 

@@ -34,14 +34,14 @@ def score(index: DataFrame, words: Sequence[str]) -> DataFrame:
 
     The query's words are a filter on the index, so only matching postings are read and shuffled.
     """
-    hit = F.lit(None).cast("struct<word:string,points:double>")
-    found = None
+    hits = []
     for w in dict.fromkeys(words):
         exact = F.col("token") == w
         partial = (F.col("kind") == "name") & (F.contains("token", F.lit(w)) | F.contains(F.lit(w), F.col("token")))
-        hit = F.when(exact & (F.col("kind") == "name"), POINTS["name"]).when(exact, POINTS["doc"]).when(partial, POINTS["partial"])
-        own = index.select("id", F.lit(w).alias("word"), hit.alias("points")).filter("points is not null")
-        found = own if found is None else found.unionByName(own)
+        points = F.when(exact & (F.col("kind") == "name"), POINTS["name"]).when(exact, POINTS["doc"]).when(partial, POINTS["partial"])
+        hits.append(F.when(points.isNotNull(), F.struct(F.lit(w).alias("word"), points.alias("points"))))
+    # One pass over the index for all words.
+    found = index.select("id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("x")).select("id", "x.*")
     best = found.groupBy("id", "word").agg(F.max("points").alias("points"))
     return best.groupBy("id").agg(F.sum("points").alias("score"))
 

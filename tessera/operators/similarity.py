@@ -13,7 +13,6 @@ from tessera.functions.text import affinity_level, jaccard, mean_of
 
 #: Weights of content, structure and data-flow similarity.
 WEIGHTS = {"content": 0.4, "structure": 0.3, "dna": 0.3}
-CONTENT_CHARS = 100_000
 
 
 @F.pandas_udf(T.DoubleType())
@@ -90,9 +89,8 @@ def affinity(pairs: DataFrame, weights=None) -> DataFrame:
     w = weights or WEIGHTS
     same = F.col("x.hash").eqNullSafe(F.col("y.hash")) & F.col("x.hash").isNotNull()
     equal = pairs.filter(same).select("x", "y", *[F.lit(1.0).alias(k) for k in w])
-    cut = lambda c: F.substr(c, F.lit(1), F.lit(CONTENT_CHARS))
     other = pairs.filter(~same).select(
-        "x", "y", sequence_ratio(cut(F.col("x.text")), cut(F.col("y.text"))).alias("content"), structure_similarity("x", "y").alias("structure"), dna_similarity("x", "y").alias("dna")
+        "x", "y", sequence_ratio(F.col("x.text"), F.col("y.text")).alias("content"), structure_similarity("x", "y").alias("structure"), dna_similarity("x", "y").alias("dna")
     )
     total = sum((v * F.coalesce(F.col(k), F.lit(0.0)) for k, v in w.items()), F.lit(0.0))
     both = equal.unionByName(other).withColumn("_total", total)

@@ -81,9 +81,16 @@ def code_smells(spark, d):
     return code.smells(entities(spark, d)).select("path", "rule", "name", "value", "severity")
 
 
-@query()
+LINES = "(4 + CASE WHEN p_size < 20 THEN 2 ELSE 0 END + CASE WHEN p_size > 10 THEN 3 ELSE 0 END)"
+COMPLEXITY = "(2 + CASE WHEN p_size < 20 THEN 2 ELSE 0 END + CASE WHEN p_size > 10 THEN 2 ELSE 0 END) / 2.0"
+SMELLS = "CASE WHEN p_size >= 40 THEN 1 ELSE 0 END"
+
+
+@query(f"""SELECT path, docstrings, functions, loc, longest, mean_complexity, n_smells, mi AS maintainability, round(0.25 * 25 + 0.25 * (100 - 10 * n_smells - greatest(5 * (mean_complexity - 5), 0)) + 0.15 * 10 + 0.1 * mi, 2) AS score
+    FROM (SELECT *, round(least(100.0, greatest(0.0, 171 - 0.23 * mean_complexity * 2 - 16.2 * ln(loc))), 2) AS mi FROM (SELECT 'src/part_' || p_partkey || '.py' AS path, 0.5 AS docstrings, 2 AS functions,
+    {LINES} + 6 AS loc, {LINES} AS longest, {COMPLEXITY} AS mean_complexity, {SMELLS} AS n_smells FROM part))""")
 def code_quality(spark, d):
-    return code.quality(entities(spark, d))
+    return code.quality(entities(spark, d)).select("path", "docstrings", "functions", "loc", "longest", "mean_complexity", "n_smells", "maintainability", "score")
 
 
 @query()

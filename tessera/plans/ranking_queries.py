@@ -99,11 +99,11 @@ def cosine_search_all(spark, d):
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i FROM lineitem)
-    SELECT a.l_orderkey AS g, count(*) AS n FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND b.i * (b.i - 1) / 2 + a.i < 10 GROUP BY 1""")
+    SELECT a.l_orderkey AS g, count(*) AS n FROM r a JOIN r b ON a.l_orderkey = b.l_orderkey AND a.i < b.i AND b.i * (b.i - 1) / 2 + a.i < 500 GROUP BY 1""")
 def sibling_pairs_capped(spark, d):
     """The stated number of compared pairs per group is this operator's own limit."""
     rows = table(spark, d, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", "l_suppkey").alias("k"))
-    pairs = similarity.group_pairs(rows, "l_orderkey", "k", cap=10)
+    pairs = similarity.group_pairs(rows, "l_orderkey", "k", cap=500)
     return pairs.groupBy(F.col("x.l_orderkey").alias("g")).agg(F.count("*").alias("n"))
 
 
@@ -158,7 +158,8 @@ def coupling(spark, d):
     return graph.coupling(edges(spark, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {EDGE_SQL}, u AS (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+    r(node, c) AS (SELECT a, a FROM u UNION SELECT u.b, r.c FROM r JOIN u ON r.node = u.a AND u.b > r.c) SELECT node, min(c) AS component FROM r GROUP BY 1""")
 def component_labels(spark, d):
     return components(edges(spark, d).filter("src <> dst"), "src", "dst").select("node", "component")
 
@@ -180,7 +181,7 @@ def graph_stats(spark, d):
     SELECT node, min(depth) AS depth FROM r GROUP BY node HAVING min(depth) <= 3""")
 def chain_depths(spark, d):
     e = edges(spark, d)
-    return graph.reachable(e, e.agg(F.min("src").alias("node")), max_rounds=3)
+    return graph.reachable(e, e.agg(F.min("src").alias("node")), max_depth=3)
 
 
 TOKENS = r"regexp_extract_all(lower(text), '([a-z]{2,})', 1)"
@@ -259,7 +260,11 @@ def ratio_to_master(spark, d):
     return pairs.select(F.col("x.p_partkey").alias("sibling"), F.col("m.p_partkey").alias("master"), F.round(similarity.sequence_ratio(F.col("x.p_name"), F.col("m.p_name")), 4).alias("ratio"))
 
 
-@query()
+SHINGLES = "SELECT DISTINCT k, unnest([array_to_string(w[i:i + 7], ' ') for i in range(1, len(w) - 6)]) AS g FROM (SELECT {0} AS k, list_filter(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w FROM {1}) WHERE len(w) >= 8"
+
+
+@query(f"""WITH d AS ({SHINGLES.format('doc_id', 'documents')}), q AS ({SHINGLES.format('item_id', 'benchmark')}), n AS (SELECT k, count(*) AS n FROM q GROUP BY 1)
+    SELECT d.k AS row_key, q.k AS query_key, round(count(*) / any_value(n.n), 4) AS share FROM d JOIN q ON d.g = q.g JOIN n ON q.k = n.k GROUP BY 1, 2""")
 def origin_matches(spark, d):
     """Share of each benchmark item that is found in a document."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")

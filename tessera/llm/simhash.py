@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.words import small_batches, space_words
-from tessera.operators.components import components
+from tessera.operators.components import components, unsettled
 from tessera.sources.joins import bounded, spread_join
 from tessera.sources.storage import materialize
 
@@ -153,16 +153,6 @@ def near_fingerprints(nodes: DataFrame, bits: int = BITS) -> DataFrame:
     return links.union(tallied(pairs, bits).filter(near("a", "b")))
 
 
-def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) -> DataFrame:
-    """The rows of the lists under `key` whose nodes are in more than one component, with their
-    `component` and the list's largest one, `major`."""
-    placed = materialize(listed.join(found, listed[node] == found["node"], "left").select(*listed.columns, F.coalesce("component", node).alias("component")), "placed")
-    held = placed.groupBy(*key, "component").agg(F.count("*").alias("held"))
-    parts = held.groupBy(*key).agg(F.max(F.struct("held", "component")).alias("m"), F.count("*").alias("parts"), F.sum("held").alias("members")).filter("parts > 1")
-    parts = materialize(parts.select(*key, F.col("m.component").alias("major"), "members"), "parts")
-    return materialize(spread_join(placed, parts, key, "members").drop("members"), "unsettled")
-
-
 def _open(node: str) -> Column:
     """Each pair (x, y) of a list in different components once, x not in the largest one."""
     return (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col(f"x.{node}") < F.col(f"y.{node}")))

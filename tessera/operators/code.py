@@ -67,7 +67,7 @@ def clones(found: DataFrame, threshold: float = 0.7) -> DataFrame:
     two = star("hash_renamed", "type2").join(one, ["a", "b"], "left_anti")
     reps = found.groupBy("hash_renamed").agg(F.min("id").alias("id"), F.min_by("source", "id").alias("source"))
     words = F.split(F.trim(F.regexp_replace("source", r"[^A-Za-z0-9_]+", " ")), " ")
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 3)))
+    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(3)]))
     index = reps.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(grams)).alias("g"))
     text = lambda k: reps.select(F.col("id").alias(k), F.col("source").alias(f"s{k}"))
 

@@ -116,7 +116,7 @@ def contained_in(rows: DataFrame, text: str, queries: DataFrame, query: str, siz
     def shingles(df: DataFrame, column: str, name: str) -> DataFrame:
         words = F.filter(F.split(F.lower(column), r"\s+"), lambda w: w != "")
         spread = df.select(F.col("key").alias(name), words.alias("w")).filter(F.size("w") >= size)
-        grams = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, size), " ")))
+        grams = F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(size)]))
         return spread.select(name, F.explode(F.array_distinct(grams)).alias("g"))
 
     q = shingles(queries, query, "query_key")

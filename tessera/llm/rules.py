@@ -57,7 +57,7 @@ def statistics(docs: DataFrame, window: int = 8, text: str = "text", key: str =
         _without(F.col("body"), "!?").alias("n_marks"),
         F.transform("words", lambda x: F.xxhash64(x)).alias("h"),
     )
-    grams = F.when(F.col("n_words") > window, F.transform(F.sequence(F.lit(1), F.col("n_words") - (window - 1)), lambda i: F.xxhash64(F.slice("h", i, window)))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(F.col("n_words") > window, F.transform(F.sequence(F.lit(0), F.col("n_words") - window), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(window)]))).otherwise(F.array().cast("array<bigint>"))
     three = two.withColumns({"n_distinct": F.size(F.array_distinct("h")), "g": grams}).drop("h")
     four = three.withColumn("again", F.size(F.array_distinct("g")) < F.size("g"))
     ranked = F.when(F.col("again"), F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("g"), i.alias("i")))))
@@ -121,7 +121,8 @@ def _gain(p0: float, n0: float, p: float, n: float) -> float:
 
 
 def learn(stats: DataFrame, ratings: DataFrame, bad: Column, rated: int = RATED, key: str = "doc_id") -> DecisionList:
-    """Sequential covering of the rated rows for which `bad`, an expression over `ratings`, holds."""
+    """Sequential covering of the rated rows for which `bad`, an expression over `ratings`, holds. `stats` is a
+    written table of `statistics`: filters pushed into its expressions would compute them again and again."""
     marks = ratings.select(F.col(key).alias("_k"), bad.cast("int").alias("bad")).filter("_k is not null and bad is not null")
     share = min(1.0, rated / max(1, marks.count()))
     marks = marks.filter(F.pmod(F.xxhash64("_k", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm import decontam, kneser_ney, langid, linededup, ordinal, packing, rules, sharding, simhash, urls
 from tessera.llm.queries import tokenizer
+from tessera.sources.storage import materialize
 
 LONG = "lorem ipsum dolor sit amet " * 4_000
 PHRASE = " ".join(f"phrase{k}" for k in range(13))
@@ -32,6 +33,11 @@ def bench(spark):
     return spark.createDataFrame([(1, PHRASE), (2, PHRASE), (3, None), (None, "")], "item_id long, text string")
 
 
+def judged_by_rules(docs, ratings):
+    stats = materialize(rules.statistics(docs), "stats")
+    return rules.judged(stats, rules.learn(stats, ratings, F.col("quality") == 0))
+
+
 OPS = {
     "simhash": lambda s, d: simhash.near_duplicates(d),
     "near_texts": lambda s, d: simhash.near_texts(d),
@@ -41,7 +47,7 @@ OPS = {
     "langid": lambda s, d: langid.predict(d, langid.fit(d.filter("doc_id is not null"))),
     "ordinal": lambda s, d: ordinal.grade_documents(d, ordinal.fit(d, marks(s), ordinal.passed(), steps=4)),
     "packing": lambda s, d: packing.pack(d, *tokenizer()),
-    "rules": lambda s, d: rules.judged(rules.statistics(d), rules.learn(rules.statistics(d), marks(s), F.col("quality") == 0)),
+    "rules": lambda s, d: judged_by_rules(d, marks(s)),
     "sharding": lambda s, d: sharding.shard(d),
     "urls": lambda s, d: urls.judge(d, s.createDataFrame([(["host:a"], 1, 1)], "tokens array<string>, bad_count long, count long"), url="text"),
 }

@@ -44,6 +44,15 @@ def line_table(keyed: DataFrame) -> DataFrame:
     return each.select("i", "t", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words"))
 
 
+def _counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """`rows`, a written table, with how many of them share `key` as `name`: null where the key is null.
+    Hot keys are counted before the shuffle and don't meet in one task."""
+    some = rows.filter(F.col(key).isNotNull())
+    counts = materialize(some.groupBy(key).agg(F.count("*").alias(name)), name)
+    none = rows.filter(F.col(key).isNull()).withColumn(name, F.lit(None).cast("long"))
+    return spread_join(some, counts, [key], name).unionByName(none)
+
+
 def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     """(i, t, start, n, words, c): chunks of repeated lines; c is the hash of their line hashes."""
     often = lines.groupBy("h").agg(F.count("*").alias("times")).filter("times > 1")
@@ -51,10 +60,7 @@ def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     by_doc = Window.partitionBy("i", "t").orderBy("pos")
     before = lambda c: F.lag(c).over(by_doc)
     pair = F.when(before("pos") == F.col("pos") - 1, F.xxhash64(before("h"), "h"))
-    rows = rows.withColumn("pair", pair)
-    pairs = rows.filter("pair is not null").groupBy("pair").agg(F.count("*").alias("together"))
-    # Lines without a pair are spread by their place; they start a run whatever they meet.
-    rows = rows.withColumn("pair", F.coalesce("pair", F.xxhash64("i", "t", "pos"))).join(pairs, "pair", "left")
+    rows = _counted(materialize(rows.withColumn("pair", pair), "pairs"), "pair", "together")
     after = lambda c: F.lead(c).over(by_doc)
     hard = before("pos").isNull() | (before("pos") != F.col("pos") - 1) | (F.col("words") > long) | (before("words") > long)
     apart = F.col("together") < TOGETHER * F.greatest("times", before("times"))
@@ -71,8 +77,7 @@ def chunks(lines: DataFrame, long: int = LONG) -> DataFrame:
     first = last("h").over(in_stretch.rowsBetween(Window.unboundedPreceding, -1))
     bridge = F.when(~F.col("common") & over("common") & first.isNotNull(), F.xxhash64(first, over("gap"), F.col("pos") - over("from"), "h"))
     rows = materialize(rows.withColumn("bridge", bridge).select("i", "t", "pos", "h", "words", "hard", "apart", "common", "stretch", "ends_times", "bridge"), "runs")
-    bridges = rows.filter("bridge is not null").groupBy("bridge").agg(F.count("*").alias("crossed")).filter("crossed > 1")
-    rows = rows.withColumn("bridge", F.coalesce("bridge", F.xxhash64("i", "t", "pos"))).join(bounded(materialize(bridges, "bridges")), "bridge", "left")
+    rows = _counted(rows, "bridge", "crossed")
     rows = rows.withColumn("whole", F.coalesce(F.col("crossed") >= TOGETHER * F.col("ends_times"), F.lit(False)))
     back = Window.partitionBy("i", "t", "stretch").orderBy(F.col("pos").desc())
     inside = F.when(F.col("common"), last("whole").over(back)).otherwise(F.col("whole"))

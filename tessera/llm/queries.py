@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, kneser_ney, langid, linededup, ordinal, packing, rules, sharding, simhash, urls
+from tessera.llm import alignment, decontam, kneser_ney, langid, linededup, ordinal, packing, rules, sharding, simhash, urls
 from tessera.sources.storage import materialize, table
 
 
@@ -87,6 +87,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of both tokenizers over all documents. A's vocabulary is read from the rank file, which gives
+    the ids of byte_bpe_50k.json with special strings as plain text."""
+    import public_tokenizers
+
+    files = alignment.Tokenizers(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    found = alignment.align_corpus(table(spark, sf_dir, "documents"), files)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_lm_scoring": op2_lm_scoring,
@@ -98,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_rules": op9_rules,
     "op10_sharding": op10_sharding,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {}

@@ -57,16 +57,44 @@ def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) ->
     return materialize(spread_join(placed, parts, key, "members").drop("members"), "unsettled")
 
 
+#: Members of an unsettled list that a task pairs with the others at a time; hubs beyond the first.
+BLOCK, STARS = 256, 6
+
+
 def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
     """(a, b), distinct: the pairs of unsettled lists in different components, those of a list's largest component
-    among themselves left out."""
-    x, y = split.filter("component <> major").alias("x"), split.alias("y")
+    among themselves left out. A long list is cut into blocks of about `BLOCK` members outside that component; each
+    block meets the whole list in tasks of its own."""
+    few = split.filter("component <> major").groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    cut = materialize(spread_join(split, materialize(few, "blocks"), key), "cut")
+    x = cut.filter("component <> major").withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")).alias("x")
+    y = cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
     on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col(f"x.{node}") < F.col(f"y.{node}")))
-    for k in key:
+    for k in (*key, "block"):
         on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
     return x.join(y, on).select(F.least(f"x.{node}", f"y.{node}").alias("a"), F.greatest(f"x.{node}", f"y.{node}").alias("b")).distinct()
 
 
+def further_stars(links: DataFrame, split: DataFrame, node: str, key: list[str], verified, most: int = STARS) -> tuple[DataFrame, DataFrame]:
+    """`links` with those of further hubs, and what is unsettled after them.
+
+    While the unsettled lists `split` hold many more pairs than members, the least node outside each list's
+    largest component is its next hub and meets all members of other components, which adds as many pairs as members. Nodes that have
+    been hubs of a list have met all of it and leave it."""
+    for _ in range(most):
+        each = split.groupBy(*key).agg(F.count("*").alias("members"), F.sum((F.col("component") != F.col("major")).cast("long")).alias("outside"), F.min(F.when(F.col("component") != F.col("major"), F.struct(node, "component"))).alias("hub"))
+        hubs = materialize(each, "hubs")
+        members, pairs = hubs.agg(F.sum("members"), F.sum(F.col("members") * F.col("outside"))).first()
+        if not members or pairs <= 4 * members:
+            break
+        met = materialize(spread_join(split, hubs.select(*key, "hub", "members"), key, "members"), "met")
+        other = met.filter(F.col("component") != F.col("hub.component")).select(F.least(F.col(f"hub.{node}"), node).alias("a"), F.greatest(F.col(f"hub.{node}"), node).alias("b")).distinct()
+        links = materialize(links.unionByName(verified(other)), "links")
+        left = met.filter(F.col(node) != F.col(f"hub.{node}")).drop("hub", "members", "component", "major")
+        split = unsettled(left, components(links), node, key)
+    return links, split
+
+
 def settle(lists: DataFrame, node: str, key: list[str], verified) -> DataFrame:
     """Links (a, b, and what `verified` adds) whose components are those of all true pairs of nodes that share a list.
 
@@ -76,5 +104,5 @@ def settle(lists: DataFrame, node: str, key: list[str], verified) -> DataFrame:
     listed = materialize(spread_join(lists, hubs, key, "_members").select(node, *key, "_hub"), "lists")
     stars = listed.filter(F.col(node) != F.col("_hub")).select(F.col("_hub").alias("a"), F.col(node).alias("b")).distinct()
     links = materialize(verified(stars), "links")
-    split = unsettled(listed.drop("_hub"), components(links), node, key)
+    links, split = further_stars(links, unsettled(listed.drop("_hub"), components(links), node, key), node, key, verified)
     return links.unionByName(materialize(verified(open_pairs(split, node, key)), "links"))

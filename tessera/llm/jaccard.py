@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import small_batches, space_words
+from tessera.llm.words import mix, small_batches, space_words
 from tessera.operators.components import components, further_stars, open_pairs, unsettled
 from tessera.sources.joins import bounded, spread_join
 from tessera.sources.storage import materialize
@@ -48,13 +48,6 @@ MEAN, BATCH_BYTES = 4, 1 << 20
 BUCKETS, BINS = 1 << 20, 64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit (the finalizer of SplitMix64, fixed constants)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Sorted hashes of the distinct runs of `size` words; of the whole sequence if it is shorter."""
     words = space_words(text)

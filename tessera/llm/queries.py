@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import alignment, decontam, jaccard, kneser_ney, langid, linededup, ordinal, packing, rules, sharding, simhash, urls
+from tessera.llm import alignment, collocations, decontam, jaccard, kneser_ney, langid, linededup, ordinal, packing, rules, sharding, simhash, urls
 from tessera.sources.storage import materialize, table
 
 
@@ -87,6 +87,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by their lowest-scoring cut."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents under links of 85 in 100 of their four-word shingles."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_rules": op9_rules,
     "op10_sharding": op10_sharding,
+    "op11_collocations": op11_collocations,
     "op12_jaccard": op12_jaccard,
     "op13_alignment": op13_alignment,
 }

@@ -42,6 +42,8 @@ from tessera.sources.joins import bounded, spread_join
 from tessera.sources.storage import materialize
 
 SIZE, PERCENT = 4, 85
+#: Pairs of one hub that are compared in one place.
+MEETING = 64
 #: Shingles that a segment holds at least on average; bytes of text that a task works on at a time.
 MEAN, BATCH_BYTES = 4, 1 << 20
 #: Buckets of the table of list lengths; bins of a set's histogram.
@@ -187,10 +189,10 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("first")
     nodes = materialize(some.groupBy("h").agg(first, F.count("*").alias("copies")).select(F.monotonically_increasing_id().alias("id"), "h", "first", "copies"), "nodes")
 
-    def texts(wanted: DataFrame) -> DataFrame:
-        """(id, text) of the nodes `wanted`; of rows equal in id and text all come."""
-        keys = bounded(wanted.select("id", F.col("first.doc_id").alias("i"), F.col("first.t").alias("u")))
-        return slim.join(keys, slim["doc_id"].eqNullSafe(keys["i"]) & (slim["t"] == keys["u"])).select("id", "text")
+    def texts(wanted: DataFrame, *more: str) -> DataFrame:
+        """(id, the columns `more`, text) of the nodes `wanted`; of rows equal in id and text all come."""
+        keys = bounded(wanted.select("id", *more, F.col("first.doc_id").alias("i"), F.col("first.t").alias("u")))
+        return slim.join(keys, slim["doc_id"].eqNullSafe(keys["i"]) & (slim["t"] == keys["u"])).select("id", *more, "text")
 
     seen = materialize(_read(texts(nodes), size, percent), "seen")
     buckets = seen.filter("n is null").groupBy("id").agg(F.sum(F.col("bins")[0]).alias("n")).toArrow()
@@ -201,53 +203,52 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            keys, ids, ns = [], [], []
+            keys, ids = [], []
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                h = shingle_set(t, size)
-                own = lists_of(h, percent, shared.value)
+                own = lists_of(shingle_set(t, size), percent, shared.value)
                 keys.append(own.view(np.int64))
                 ids.append(np.full(len(own), i))
-                ns.append(np.full(len(own), len(h), np.int32))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids, ns)], ["key", "id", "n"])
-
-    index = materialize(texts(nodes).mapInArrow(entries, "key long, id long, n int"), "index")
-    node = F.struct("id", "n")
-    lists = materialize(index.groupBy("key").agg(F.min(node).alias("hub"), F.max(node).alias("last"), F.count("*").alias("members")).filter("members > 1 and hub.id < last.id"), "lists")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, ids)], ["key", "id"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH_BYTES):
-            s = [shingle_set(t, size).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s, pa.binary())], ["id", "s"])
+    index = materialize(texts(nodes).mapInArrow(entries, "key long, id long"), "index")
+    lists = materialize(index.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members")).filter("members > 1 and hub < last"), "lists")
 
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, own = None, None
         for batch in batches:
-            keep, held, own = [], None, None
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
-                if a != held:
-                    held, own = a, np.frombuffer(x, np.uint64)
-                other = np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(100 * both >= percent * (len(own) + len(other) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for a, part, b, t in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "b", "text")), strict=True):
+                s = shingle_set(t, size)
+                if b is None:
+                    held, own = (a, part), s
+                elif (a, part) == held:
+                    both = len(np.intersect1d(own, s, assume_unique=True))
+                    if 100 * both >= percent * (len(own) + len(s) - both):
+                        found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of `pairs` that are similar."""
+        """The pairs (a, b) of `pairs` that are similar. A hub's pairs are cut into parts of about `MEETING`; its text and those
+        of a part's others meet in one stretch of a sorted shuffle, so that each text is moved once for each pair."""
         side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
         apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
         sized = pairs.join(bounded(side("a")), "a").join(bounded(side("b")), "b").filter(similar_sizes("na", "nb", percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
         likely = materialize(sized.select("a", "b"), "candidates")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("id", "first"), "id")
-        held = materialize(texts(wanted).mapInArrow(sets, "id long, s binary").dropDuplicates(["id"]), "sets")
-        of_set = lambda c: held.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
-        return materialize(spread_join(spread_join(likely, of_set("a"), ["a"]), of_set("b"), ["b"]).mapInArrow(alike, "a long, b long"), "links")
+        parts = materialize(likely.groupBy("a").agg(F.ceil(F.count("*") / F.lit(MEETING)).cast("int").alias("parts")), "parts")
+        cut = spread_join(likely, parts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+        others = cut.select(F.col("b").alias("id"), "a", "part", "b")
+        hubs = cut.select(F.col("a").alias("id"), "a", "part", F.lit(None).cast("long").alias("b")).distinct()
+        wanted = materialize(others.unionByName(hubs).join(bounded(nodes.select("id", "first")), "id").select("id", "a", "part", "b", "first"), "wanted")
+        read = texts(wanted, "a", "part", "b").select("a", "part", "b", "text")
+        meet = read.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
+        return materialize(meet.mapInArrow(alike, "a long, b long").distinct(), "links")
 
     # A list of two is its pair; of longer ones each node meets the hub.
-    fit = similar_sizes("hub.n", "n", percent)
-    two = lists.filter("members = 2").select("hub", F.col("last.id").alias("id"), F.col("last.n").alias("n")).filter(fit)
-    listed = materialize(spread_join(index, lists.filter("members > 2").select("key", "hub", "members"), ["key"], "members").select("key", "id", "n", "hub"), "listed")
-    stars = two.unionByName(listed.filter("id <> hub.id").filter(fit).select("hub", "id", "n")).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    links = verified(stars.distinct())
+    two = lists.filter("members = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
+    longer = materialize(lists.filter("members > 2").select("key", "hub", "members"), "longer")
+    listed = materialize(spread_join(index, longer, ["key"], "members").select("key", "id", "hub"), "listed")
+    links = verified(two.unionByName(listed.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct())
     split = unsettled(listed.drop("hub"), components(links), "id", ["key"])
     links, split = further_stars(links, split, "id", ["key"], verified)
     links = links.unionByName(verified(open_pairs(split, "id", ["key"])))

@@ -57,8 +57,9 @@ def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) ->
     return materialize(spread_join(placed, parts, key, "members").drop("members"), "unsettled")
 
 
-#: Members of an unsettled list that a task pairs with the others at a time; hubs beyond the first.
-BLOCK, STARS = 256, 6
+#: Members of an unsettled list that a task pairs with the others at a time; hubs beyond the first; pairs for each member
+#: that need no further hub.
+BLOCK, STARS, FEW = 256, 6, 64
 
 
 def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
@@ -78,14 +79,14 @@ def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
 def further_stars(links: DataFrame, split: DataFrame, node: str, key: list[str], verified, most: int = STARS) -> tuple[DataFrame, DataFrame]:
     """`links` with those of further hubs, and what is unsettled after them.
 
-    While the unsettled lists `split` hold many more pairs than members, the least node outside each list's
+    While the unsettled lists `split` hold over `FEW` times as many pairs as members, the least node outside each list's
     largest component is its next hub and meets all members of other components, which adds as many pairs as members. Nodes that have
     been hubs of a list have met all of it and leave it."""
     for _ in range(most):
         each = split.groupBy(*key).agg(F.count("*").alias("members"), F.sum((F.col("component") != F.col("major")).cast("long")).alias("outside"), F.min(F.when(F.col("component") != F.col("major"), F.struct(node, "component"))).alias("hub"))
         hubs = materialize(each, "hubs")
         members, pairs = hubs.agg(F.sum("members"), F.sum(F.col("members") * F.col("outside"))).first()
-        if not members or pairs <= 4 * members:
+        if not members or pairs <= FEW * members:
             break
         met = materialize(spread_join(split, hubs.select(*key, "hub", "members"), key, "members"), "met")
         other = met.filter(F.col("component") != F.col("hub.component")).select(F.least(F.col(f"hub.{node}"), node).alias("a"), F.greatest(F.col(f"hub.{node}"), node).alias("b")).distinct()

@@ -15,7 +15,8 @@ segments, so that a segment holds `MEAN` shingles at least on average.
 
 Texts of equal words are one node. Each list's nodes are compared with one hub, then those still in other components with
 further hubs (`further_stars`), then all pairs that are still open, in blocks; lists of any length lose no component. Pairs whose sizes
-or histograms rule the similarity out aren't compared; for all others the sets decide, as 64-bit hashes of shingles (two of
+or sketches (the parity of the numbers of shingles in 2 to 4 n bins, which differ in no more bins than the sets differ by) rule the
+similarity out aren't compared; for all others the sets decide, as 64-bit hashes of shingles (two of
 a pair of texts of 20 000 words collide once in 10^10 pairs).
 
 Cases: texts without words (null, empty) have no shingles and are linked with nothing; fewer words than a
@@ -46,8 +47,8 @@ SIZE, PERCENT = 4, 85
 MEETING = 64
 #: Shingles that a segment holds at least on average; bytes of text that a task works on at a time.
 MEAN, BATCH_BYTES = 4, 1 << 20
-#: Buckets of the table of list lengths; bins of a set's histogram.
-BUCKETS, BINS = 1 << 20, 64
+#: Buckets of the table of list lengths.
+BUCKETS = 1 << 20
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -140,34 +141,42 @@ def lists_of(h: np.ndarray, percent: int, costs: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def histogram(h: np.ndarray) -> np.ndarray:
-    """How many shingles stand in each of `BINS` ranges of the universe."""
-    return np.bincount((h >> np.uint64(58)).astype(np.int64), minlength=BINS)
+def sketch(h: np.ndarray) -> bytes:
+    """Which of a power of two of bins, 2 n at least, hold an odd number of shingles."""
+    bins = 1 << max(6, (2 * len(h) - 1).bit_length())
+    at = mix(h + np.uint64(0x9E3779B97F4A7C15)) & np.uint64(bins - 1)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=bins) & 1, bitorder="little").tobytes()
+
+
+def differences(x: bytes, y: bytes) -> int:
+    """No more than the sets of both sketches differ by. The larger one is folded first."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) != len(b):
+        a, b = (a, b) if len(a) > len(b) else (b, a)
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
 
 
 def _read(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, bins): the size and histogram of each node's set; with a null n, (bucket as id, list length as bins[0])."""
+    """(id, n, sketch) of each node's set, and, with a null n, (bucket as id, length of its lists)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["id", "n", "sketch", "length"]
         counts = np.zeros(BUCKETS, np.int32)
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            n, bins = [], []
-            for t in batch.column("text").to_pylist():
-                h = shingle_set(t, size)
-                n.append(len(h))
-                bins.append(histogram(h))
+            sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
+            for h in sets:
                 for number in bands(len(h), percent) if len(h) else ():
                     whole, without, _ = segment_keys(h, band(number, percent))
                     np.add.at(counts, (np.concatenate([whole, without]) % np.uint64(BUCKETS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(bins, pa.list_(pa.int32()))], ["id", "n", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.int64())], names)
         mean = counts.mean()
         found = np.flatnonzero(counts > max(1, mean + 3 * mean**0.5))
         for i in range(0, len(found), 1 << 14):
             part = found[i : i + (1 << 14)]
-            lists = pa.ListArray.from_arrays(np.arange(len(part) + 1, dtype=np.int32), pa.array(counts[part]))
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.nulls(len(part), pa.int64()), lists], ["id", "n", "bins"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(counts[part].astype(np.int64))], names)
 
-    return texts.mapInArrow(work, "id long, n long, bins array<int>")
+    return texts.mapInArrow(work, "id long, n long, sketch binary, length long")
 
 
 def similar_sizes(a: str, b: str, percent: int) -> Column:
@@ -195,11 +204,11 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
         return slim.join(keys, slim["doc_id"].eqNullSafe(keys["i"]) & (slim["t"] == keys["u"])).select("id", *more, "text")
 
     seen = materialize(_read(texts(nodes), size, percent), "seen")
-    buckets = seen.filter("n is null").groupBy("id").agg(F.sum(F.col("bins")[0]).alias("n")).toArrow()
+    buckets = seen.filter("n is null").groupBy("id").agg(F.sum("length").alias("n")).toArrow()
     costs = np.zeros(BUCKETS)
     costs[buckets.column("id").to_numpy()] = buckets.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(costs)
-    sizes = materialize(seen.filter("n is not null").dropDuplicates(["id"]), "sizes")
+    sizes = materialize(seen.filter("n is not null").select("id", "n", "sketch").dropDuplicates(["id"]), "sizes")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
@@ -214,6 +223,12 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
     index = materialize(texts(nodes).mapInArrow(entries, "key long, id long"), "index")
     lists = materialize(index.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last"), F.count("*").alias("members")).filter("members > 1 and hub < last"), "lists")
 
+    def may_be_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, n, m = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "n_a", "n_b"))
+            keep = [(100 + percent) * differences(*p) <= (100 - percent) * sum(q) for p, q in zip(zip(x, y, strict=True), zip(n, m, strict=True), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, own = None, None
         for batch in batches:
@@ -231,10 +246,11 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of `pairs` that are similar. A hub's pairs are cut into parts of about `MEETING`; its text and those
         of a part's others meet in one stretch of a sorted shuffle, so that each text is moved once for each pair."""
-        side = lambda c: sizes.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("bins").alias(f"h{c}"))
-        apart = F.aggregate(F.zip_with("ha", "hb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-        sized = pairs.join(bounded(side("a")), "a").join(bounded(side("b")), "b").filter(similar_sizes("na", "nb", percent) & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))))
-        likely = materialize(sized.select("a", "b"), "candidates")
+        side = lambda c, *more: sizes.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more])
+        sized = materialize(pairs.join(bounded(side("a", "n")), "a").join(bounded(side("b", "n")), "b").filter(similar_sizes("n_a", "n_b", percent)), "sized")
+        held = sizes.join(bounded(sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi").select("id", "sketch")
+        of_held = lambda c: held.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+        likely = materialize(sized.join(of_held("a"), "a").join(of_held("b"), "b").mapInArrow(may_be_alike, "a long, b long"), "candidates")
         parts = materialize(likely.groupBy("a").agg(F.ceil(F.count("*") / F.lit(MEETING)).cast("int").alias("parts")), "parts")
         cut = spread_join(likely, parts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
         others = cut.select(F.col("b").alias("id"), "a", "part", "b")

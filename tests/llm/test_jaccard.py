@@ -102,6 +102,16 @@ def test_similar_sets_meet_whatever_the_costs():
             assert len(np.intersect1d(jaccard.lists_of(x, 85, costs), jaccard.lists_of(y, 85, costs)))
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64)) for _ in range(2))
+        apart = len(np.setxor1d(x, y))
+        assert jaccard.differences(jaccard.sketch(x), jaccard.sketch(y)) <= apart
+    far = [jaccard.sketch(rng.integers(0, 1 << 62, n).astype(np.uint64)) for n in (1000, 1100)]
+    assert jaccard.differences(*far) > 0.17 * 2100 / 1.85
+
+
 def test_empty_segments_are_left_out():
     b = jaccard.band(jaccard.bands(1000, 85)[0], 85)
     whole, without = np.ones(b.segments), np.zeros(b.segments)

@@ -13,7 +13,7 @@ of the D), and m + D is H + 1 + 2 `spare`, so that two sets which both leave out
 lists of empty segments and of subsets that many unlike documents have. Small bands get deletions instead of more
 segments, so that a segment holds `MEAN` shingles at least on average.
 
-Texts of equal words are one node. Each list's nodes are compared with one hub, then those still in other components with
+Texts of equal words are one node. Each list's nodes are compared with one hub (the node that meets the most others), then those still in other components with
 further hubs (`further_stars`), then all pairs that are still open, in blocks; lists of any length lose no component. Pairs whose sizes
 or sketches (the parity of the numbers of shingles in 2 to 4 n bins, which differ in no more bins than the sets differ by) rule the
 similarity out aren't compared; for all others the sets decide, as 64-bit hashes of shingles (two of
@@ -21,7 +21,7 @@ a pair of texts of 20 000 words collide once in 10^10 pairs).
 
 Cases: texts without words (null, empty) have no shingles and are linked with nothing; fewer words than a
 shingle are one shingle; copies and repeated rows are linked, a null id takes part and names a component only if
-no other is there; ties of hubs go to the lesser node; very long texts are rows like any other; empty tables give no rows; other columns aren't
+no other is there; ties of hubs go to the larger node; very long texts are rows like any other; empty tables give no rows; other columns aren't
 read, clashing names included.
 """
 
@@ -47,6 +47,8 @@ SIZE, PERCENT = 4, 85
 MEETING = 64
 #: Shingles that a segment holds at least on average; bytes of text that a task works on at a time.
 MEAN, BATCH_BYTES = 4, 1 << 20
+#: One step in so many, and one more, is spare: it costs a segment more and keeps a set off that many of its longest lists.
+SPARE = 6
 #: Buckets of the table of list lengths.
 BUCKETS = 1 << 20
 
@@ -78,7 +80,7 @@ class Band(NamedTuple):
 def band(number: int, percent: int) -> Band:
     low, high = band_start(number, percent), band_start(number + 1, percent) - 1
     most = 2 * high * (100 - percent) // (100 + percent)
-    spare = 1 + (most + 1) // 25
+    spare = 1 + (most + 1) // SPARE
     total = most + 1 + 2 * spare
     segments = max((total + 1) // 2, min(total, low // MEAN))
     return Band(number, segments, total - segments, spare)
@@ -101,6 +103,15 @@ def bands(n: int, percent: int) -> list[int]:
     return [own, own + 1] if 100 * n >= percent * band_start(own + 1, percent) else [own]
 
 
+def fewest_lists(n: int, percent: int) -> int:
+    """A set of n and a similar one that isn't larger meet in so many lists at least, less what they may differ by: their equal
+    segments, of which the deletions of one count as another step. Sets in the lower part of a band may differ by less than its segments are made for."""
+    if not n:
+        return 0
+    b = band(bands(n, percent)[0], percent)
+    return max(0, b.segments - 2 * b.spare)
+
+
 def segment_keys(h: np.ndarray, b: Band) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the subsets of all segments; keys of the subsets without one shingle, and the segment of each. `h` is sorted, so
     segments, ranges of the hashed universe, are stretches of it; a subset's hash is the sum over its shingles."""
@@ -158,10 +169,10 @@ def differences(x: bytes, y: bytes) -> int:
 
 
 def _read(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, sketch) of each node's set, and, with a null n, (bucket as id, length of its lists)."""
+    """(id, n, top, sketch) of each node's set, and, with a null n, (bucket as id, length of its lists)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "sketch", "length"]
+        names = ["id", "n", "top", "sketch", "length"]
         counts = np.zeros(BUCKETS, np.int32)
         for batch in small_batches(batches, "text", BATCH_BYTES):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
@@ -169,14 +180,14 @@ def _read(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 for number in bands(len(h), percent) if len(h) else ():
                     whole, without, _ = segment_keys(h, band(number, percent))
                     np.add.at(counts, (np.concatenate([whole, without]) % np.uint64(BUCKETS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([fewest_lists(len(h), percent) for h in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.int64())], names)
         mean = counts.mean()
         found = np.flatnonzero(counts > max(1, mean + 3 * mean**0.5))
         for i in range(0, len(found), 1 << 14):
             part = found[i : i + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(counts[part].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(counts[part].astype(np.int64))], names)
 
-    return texts.mapInArrow(work, "id long, n long, sketch binary, length long")
+    return texts.mapInArrow(work, "id long, n long, top long, sketch binary, length long")
 
 
 def similar_sizes(a: str, b: str, percent: int) -> Column:
@@ -208,7 +219,7 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
     costs = np.zeros(BUCKETS)
     costs[buckets.column("id").to_numpy()] = buckets.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(costs)
-    sizes = materialize(seen.filter("n is not null").select("id", "n", "sketch").dropDuplicates(["id"]), "sizes")
+    sizes = materialize(seen.filter("n is not null").select("id", "n", "top", "sketch").dropDuplicates(["id"]), "sizes")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
@@ -244,10 +255,13 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of `pairs` that are similar. A hub's pairs are cut into parts of about `MEETING`; its text and those
+        """The pairs (a, b) of `pairs` that are similar; a tally `lists` of all lists that they meet in is held against the least that similar sets meet in. A hub's pairs are cut into parts of about `MEETING`; its text and those
         of a part's others meet in one stretch of a sorted shuffle, so that each text is moved once for each pair."""
         side = lambda c, *more: sizes.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in more])
-        sized = materialize(pairs.join(bounded(side("a", "n")), "a").join(bounded(side("b", "n")), "b").filter(similar_sizes("n_a", "n_b", percent)), "sized")
+        both = pairs.join(bounded(side("a", "n", "top")), "a").join(bounded(side("b", "n", "top")), "b")
+        apart = F.floor((100 - percent) * (F.col("n_a") + F.col("n_b")) / (100 + percent) + 1e-9)
+        often = F.col("lists") >= F.when(F.col("n_a") >= F.col("n_b"), F.col("top_a")).otherwise(F.col("top_b")) - apart if "lists" in pairs.columns else F.lit(True)
+        sized = materialize(both.filter(similar_sizes("n_a", "n_b", percent) & often).select("a", "b", "n_a", "n_b"), "sized")
         held = sizes.join(bounded(sized.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi").select("id", "sketch")
         of_held = lambda c: held.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}"))
         likely = materialize(sized.join(of_held("a"), "a").join(of_held("b"), "b").mapInArrow(may_be_alike, "a long, b long"), "candidates")
@@ -262,11 +276,17 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
 
     # A list of two is its pair; of longer ones each node meets the hub.
     two = lists.filter("members = 2").select(F.col("hub").alias("a"), F.col("last").alias("b"))
-    longer = materialize(lists.filter("members > 2").select("key", "hub", "members"), "longer")
-    listed = materialize(spread_join(index, longer, ["key"], "members").select("key", "id", "hub"), "listed")
-    links = verified(two.unionByName(listed.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))).distinct())
+    longer = materialize(lists.filter("members > 2").select("key", "members"), "longer")
+    listed = materialize(spread_join(index, longer, ["key"], "members").select("key", "id", "members"), "listed")
+    # The hub is the node that meets the most others over all its lists: of a group of near copies, what they are copies of.
+    met = materialize(listed.groupBy("id").agg(F.sum("members").alias("meets"), F.count("*").alias("lists")), "met")
+    ranked = materialize(spread_join(listed, met, ["id"], "lists").select("key", "id", "members", "meets"), "ranked")
+    hubs = materialize(ranked.groupBy("key").agg(F.max(F.struct("meets", "id")).alias("hub"), F.first("members").alias("members")).select("key", F.col("hub.id").alias("hub"), "members"), "hubs")
+    listed = materialize(spread_join(ranked.select("key", "id"), hubs, ["key"], "members").select("key", "id", "hub"), "listed")
+    links = verified(two.unionByName(listed.filter("id <> hub").select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"))).distinct())
     split = unsettled(listed.drop("hub"), components(links), "id", ["key"])
     links, split = further_stars(links, split, "id", ["key"], verified)
+    # A pair that meets in a list of two is compared already, so the tally of an open pair counts all its lists.
     links = links.unionByName(verified(open_pairs(split, "id", ["key"])))
     found = components(links)
     named = materialize(nodes.join(found, nodes["id"] == found["node"], "left").join(sizes.select("id", "n"), "id").select("h", "copies", "n", F.col("first.doc_id").alias("least"), F.coalesce("component", nodes["id"]).alias("component")), "named")

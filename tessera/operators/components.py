@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.joins import LEAST, spread_join
+from tessera.sources.joins import spread_join
 from tessera.sources.storage import materialize
 
+#: Edges from which a hub's are spread over tasks; fewer fit into one.
+MANY = 100_000
+
 
 def _minima(edges: DataFrame) -> DataFrame:
     """(u, m): the least of each node and its neighbours. Pre-aggregated before the shuffle."""
@@ -20,7 +23,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
 
     Every round links a node's larger neighbours to its least neighbour (large star), then its
     smaller neighbours to the least (small star); rounds grow with the logarithm of the longest
-    path. The edges of a hub are spread over tasks (`spread_join`). Each round is written to shared storage, which cuts the lineage. Repeated edges don't
+    path. The edges of a hub are spread over tasks (`spread_join`) if there are `MANY`. Each round is written to shared storage, which cuts the lineage. Repeated edges don't
     matter; self-loops and null ends are dropped; no edges give no rows. `node` and `component` have
     the type of the ends.
     """
@@ -33,7 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         both = current.union(current.select("b", "a"))
         minima = _minima(current).withColumnRenamed("u", "a")
-        large = (spread_join(both, materialize(minima, "minima"), ["a"]) if before[0] >= LEAST else both.join(minima, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = (spread_join(both, materialize(minima, "minima"), ["a"]) if before[0] >= MANY else both.join(minima, "a")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.filter("a <> b").groupBy("a").agg(F.min("b").alias("m"))
         small = large.filter("a <> b").join(least, "a").select(F.col("b").alias("x"), "m").union(least.select(F.col("a").alias("x"), "m"))
         current = materialize(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "edges")
@@ -59,12 +62,12 @@ def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) ->
 
 #: Members of an unsettled list that a task pairs with the others at a time; hubs beyond the first; pairs for each member
 #: that need no further hub.
-BLOCK, STARS, FEW = 256, 6, 64
+BLOCK, STARS, FEW = 256, 1, 64
 
 
 def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
-    """(a, b), distinct: the pairs of unsettled lists in different components, those of a list's largest component
-    among themselves left out. A long list is cut into blocks of about `BLOCK` members outside that component; each
+    """(a, b, lists): the pairs of unsettled lists in different components, those of a list's largest component
+    among themselves left out, and in how many lists they meet. A long list is cut into blocks of about `BLOCK` members outside that component; each
     block meets the whole list in tasks of its own."""
     few = split.filter("component <> major").groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     cut = materialize(spread_join(split, materialize(few, "blocks"), key), "cut")
@@ -73,7 +76,7 @@ def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
     on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col(f"x.{node}") < F.col(f"y.{node}")))
     for k in (*key, "block"):
         on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
-    return x.join(y, on).select(F.least(f"x.{node}", f"y.{node}").alias("a"), F.greatest(f"x.{node}", f"y.{node}").alias("b")).distinct()
+    return x.join(y, on).select(F.least(f"x.{node}", f"y.{node}").alias("a"), F.greatest(f"x.{node}", f"y.{node}").alias("b")).groupBy("a", "b").agg(F.count("*").alias("lists"))
 
 
 def further_stars(links: DataFrame, split: DataFrame, node: str, key: list[str], verified, most: int = STARS) -> tuple[DataFrame, DataFrame]:
@@ -106,4 +109,4 @@ def settle(lists: DataFrame, node: str, key: list[str], verified) -> DataFrame:
     stars = listed.filter(F.col(node) != F.col("_hub")).select(F.col("_hub").alias("a"), F.col(node).alias("b")).distinct()
     links = materialize(verified(stars), "links")
     links, split = further_stars(links, unsettled(listed.drop("_hub"), components(links), node, key), node, key, verified)
-    return links.unionByName(materialize(verified(open_pairs(split, node, key)), "links"))
+    return links.unionByName(materialize(verified(open_pairs(split, node, key).select("a", "b")), "links"))

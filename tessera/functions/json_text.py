@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import materialize
+
 
 def valid(text: Column) -> Column:
     """Whether the text is JSON; null is not."""
     return F.coalesce(F.try_parse_json(text).isNotNull(), F.lit(False))
 
 
-def paths(files: DataFrame, key: str, text: str, depth: int = 4) -> DataFrame:
-    """(key, path): distinct paths of objects and arrays, `$.a.b[]`, down to `depth` steps. Each step is one explode of
-    the values of the step before; texts that aren't JSON have none."""
-    level = files.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.try_parse_json(text).alias("v")).filter("v is not null")
-    out = level.select("key", "path").filter("false")
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        members = level.filter(kind.startswith("OBJECT")).select("key", "path", F.explode(F.from_json(F.to_json("v"), "map<string,string>")).alias("k", "x"))
-        raw = members.select("key", F.concat("path", F.lit("."), "k").alias("path"), F.col("x").alias("x"))
-        items = level.filter(kind.startswith("ARRAY")).select("key", F.concat("path", F.lit("[]")).alias("path"), F.explode(F.from_json(F.to_json("v"), "array<string>")).alias("x"))
-        both = raw.union(items)
-        out = out.union(both.select("key", "path"))
-        level = both.select("key", "path", F.try_parse_json("x").alias("v")).filter("v is not null")
+def paths(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, path): distinct paths of objects and arrays, `$.a.b[]`, to any depth. Each round takes the values of the
+    depth before apart, until none is an object or array; strings stay strings, also those that hold JSON. Texts that aren't
+    JSON have none. Every depth is written, so that a round reads only the one before."""
+    values = files.select(F.col(key).alias("key"), F.lit("$").alias("path"), F.to_json(F.try_parse_json(text)).alias("v"))
+    inner = F.col("v").startswith("{") | F.col("v").startswith("[")
+    level, levels = materialize(values.filter(inner), "values"), []
+    while not level.isEmpty():
+        parsed = level.select("key", "path", F.parse_json("v").alias("v"))
+        members = parsed.lateralJoin(files.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "name", "value"))
+        step = F.when(F.col("name").isNull(), F.lit("[]")).otherwise(F.concat(F.lit("."), "name"))
+        found = materialize(members.select("key", F.concat("path", step).alias("path"), F.to_json("value").alias("v")), "values")
+        levels.append(found.select("key", "path"))
+        level = found.filter(inner)
+    out = level.select("key", "path")
+    for found in levels:
+        out = out.union(found)
     return out.distinct()
 
 

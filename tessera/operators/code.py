@@ -55,8 +55,8 @@ def clones(found: DataFrame, threshold: float = 0.7) -> DataFrame:
 
     Type 1 (equal text) and type 2 (equal up to names) link every fragment to the least of its hash,
     so that a group of copies gives links, not all pairs. Type 3 compares the least fragments of
-    distinct code that share three-word shingles: a shingle with more than 64 of them links only
-    to its least one.
+    distinct code that share three-word shingles, through `settle`: every list's fragments with its hub, then
+    those still in different groups. Fragments without a common shingle aren't compared.
     """
 
     def star(hash_column: str, kind: str) -> DataFrame:
@@ -145,27 +145,48 @@ def quality(entities: DataFrame) -> DataFrame:
     return joined.withColumn("score", score)
 
 
+#: Weights of structure, behaviour, name and documentation in a semantic score (fixed values), and what the documentation of a pair
+#: counts if both or one have none.
+WEIGHTS, NO_DOCS, ONE_DOC = (0.3, 0.3, 0.25, 0.15), 0.5, 0.3
+
+
 def semantic_pairs(entities: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(a, b, score, level) of functions alike in shape, name and documentation. Candidates share a name
-    part or the list of statement types; a block's functions are compared with its least one, then those that
-    are still in different groups are (`settle`), so that the groups are complete."""
+    """(a, b, score, level) of functions alike in shape, name and documentation: links whose groups are those of all pairs
+    that reach `threshold` (over 0.45, what structure and half-counted documentation give without a common statement type).
+
+    Candidates are complete. A pair that shares neither a name part nor a word of documentation scores by its two profiles alone (number of
+    arguments, decorators, set of statement types, with or without documentation). Profiles are few; pairs of them whose bound
+    reaches the threshold are found through common statement types, and of each the least function stands for all. Other
+    pairs meet in the list of a common name part or word. A list's functions are compared with one of them, then those
+    still in different groups (`settle`)."""
+    if threshold <= 0.45:
+        raise ValueError("threshold must be over 0.45")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("docstring", F.lit(""))), r"\W+"), lambda w: w != ""))
     rows = entities.filter("kind = 'function'").select(
-        F.concat_ws(":", "path", "lineno", "name").alias("id"), "name", "args", "shape", F.coalesce("details", F.array().cast("array<string>")).alias("decorators"), "docstring", split_name(F.col("name")).alias("parts")
-    )
-    keys = F.array_union(F.transform("parts", lambda x: F.concat(F.lit("n:"), x)), F.array(F.concat(F.lit("s:"), F.array_join("shape", ","))))
-    x, y = rows.alias("x"), rows.alias("y")
-    size = lambda s: F.size(f"{s}.args")
-    count = F.when(F.greatest(size("x"), size("y")) == 0, 1.0).otherwise(F.least(size("x"), size("y")) / F.greatest(size("x"), size("y")))
-    structure = mean_of(count, F.coalesce(jaccard(F.col("x.decorators"), F.col("y.decorators")), F.lit(1.0)))
-    behaviour = F.coalesce(jaccard(F.col("x.shape"), F.col("y.shape")), F.lit(0.0))
-    name = F.coalesce(jaccard(F.col("x.parts"), F.col("y.parts")), F.lit(0.0))
-    words = lambda s: F.split(F.lower(F.coalesce(F.col(f"{s}.docstring"), F.lit(""))), r"\W+")
-    doc = F.when(F.col("x.docstring").isNull() & F.col("y.docstring").isNull(), 0.5).when(F.col("x.docstring").isNull() | F.col("y.docstring").isNull(), 0.3).otherwise(jaccard(words("x"), words("y")))
-    score = F.round(0.3 * structure + 0.3 * behaviour + 0.25 * name + 0.15 * doc, 4)
+        F.concat_ws(":", "path", "lineno", "name").alias("id"), F.greatest(F.size("args"), F.lit(0)).alias("n_args"), F.array_sort(F.array_distinct(F.coalesce("shape", F.array().cast("array<string>")))).alias("shape"),
+        F.array_sort(F.array_distinct(F.coalesce("details", F.array().cast("array<string>")))).alias("decorators"), F.col("docstring").isNotNull().alias("told"), words.alias("words"), split_name(F.col("name")).alias("parts"),
+    ).dropDuplicates(["id"])
+    rows = materialize(rows.withColumn("profile", F.xxhash64("n_args", "decorators", "shape", "told")), "functions")
+    structure, behaviour, name, doc = WEIGHTS
+    most = lambda f: F.greatest(F.col(f"x.{f}"), F.col(f"y.{f}"))
+    count = F.when(most("n_args") == 0, 1.0).otherwise(F.least("x.n_args", "y.n_args") / most("n_args"))
+    by_shape = structure * mean_of(count, F.coalesce(jaccard(F.col("x.decorators"), F.col("y.decorators")), F.lit(1.0))) + behaviour * F.coalesce(jaccard(F.col("x.shape"), F.col("y.shape")), F.lit(0.0))
+    told = F.when(~F.col("x.told") & ~F.col("y.told"), NO_DOCS).when(~F.col("x.told") | ~F.col("y.told"), ONE_DOC)
+    score = F.round(by_shape + name * F.coalesce(jaccard(F.col("x.parts"), F.col("y.parts")), F.lit(0.0)) + doc * F.coalesce(told, jaccard(F.col("x.words"), F.col("y.words")), F.lit(0.0)), 4)
     level = F.when(F.col("score") >= 0.95, "exact").when(F.col("score") >= 0.75, "similar").otherwise("related")
 
     def alike(pairs: DataFrame) -> DataFrame:
+        x, y = rows.alias("x"), rows.alias("y")
         both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
         return both.withColumn("score", score).filter(F.col("score") >= threshold).select("a", "b", "score", level.alias("level"))
 
-    return settle(materialize(rows.select("id", F.explode(keys).alias("k")), "blocks"), "id", ["k"], alike)
+    # Profiles: all functions of one are alike at least as its shape says; the least stands for them.
+    first = F.min(F.struct("id", "n_args", "decorators", "shape", "told")).alias("f")
+    profiles = materialize(rows.groupBy("profile").agg(first).select("profile", "f.*"), "profiles")
+    typed = profiles.select("profile", F.explode("shape").alias("type"))
+    met = typed.alias("p").join(typed.alias("q"), (F.col("p.type") == F.col("q.type")) & (F.col("p.profile") < F.col("q.profile"))).select(F.col("p.profile").alias("p"), F.col("q.profile").alias("q")).distinct()
+    base = met.join(profiles.alias("x"), F.col("p") == F.col("x.profile")).join(profiles.alias("y"), F.col("q") == F.col("y.profile"))
+    near = base.filter(F.round(by_shape + doc * F.coalesce(told, F.lit(0.0)), 4) >= threshold).select(F.concat_ws(",", F.lit("q:"), "p", "q").alias("k"), F.explode(F.array("x.id", "y.id")).alias("id"))
+    tag = lambda mark, of: F.transform(of, lambda v: F.concat(F.lit(mark), v))
+    keys = F.concat(tag("n:", F.col("parts")), tag("d:", F.col("words")), F.array(F.concat(F.lit("p:"), F.col("profile").cast("string"))))
+    return settle(materialize(rows.select("id", F.explode(F.array_distinct(keys)).alias("k")).unionByName(near.select("id", "k")), "blocks"), "id", ["k"], alike)

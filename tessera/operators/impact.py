@@ -66,16 +66,19 @@ def first_path_match(imports: DataFrame, files: DataFrame) -> DataFrame:
     return imports.withColumn("run", F.translate("module", ".", "/")).join(first, "run").select("path", "module", "dst")
 
 
+def folded(path: Column) -> Column:
+    """The path without `.`, empty parts, and parts that a `..` takes back; a `..` beyond the root goes."""
+    back = lambda done: F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, part: F.when(part == "..", back(done)).when(part.isin(".", ""), done).otherwise(F.concat(done, F.array(part)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
 def resolve_js(imports: DataFrame, files: DataFrame, suffixes: tuple[str, ...] = ("", ".js", ".jsx", ".ts", ".tsx", "/index.js")) -> DataFrame:
     """(path, module, kind, resolved) of JavaScript imports: relative (`.`, `..`) and `@/` (below src) modules are
     tried with each suffix in order; one that isn't found is local all the same; all others are third party."""
     folder = F.regexp_replace("path", r"/?[^/]*$", "")
-    up = F.regexp_count("module", F.lit(r"\.\./"))
-    parts = F.split(folder, "/")
-    base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - up, F.lit(0))), "/")
-    relative = F.regexp_replace("module", r"^(\.{1,2}/)+", "")
-    target = F.when(F.col("module").startswith("@/"), F.concat(F.lit("src/"), F.substring("module", 3, 10_000)))
-    target = target.when(F.col("module").startswith("."), F.when(base == "", relative).otherwise(F.concat_ws("/", base, relative)))
+    target = F.when(F.col("module").startswith("@/"), folded(F.concat(F.lit("src/"), F.substring("module", 3, 10_000))))
+    target = target.when(F.col("module").startswith("."), folded(F.concat_ws("/", folder, "module")))
     rows = imports.withColumn("_base", target)
     tried = rows.filter("_base is not null").select("path", "module", F.posexplode(F.array(*[F.concat("_base", F.lit(s)) for s in suffixes])).alias("rank", "candidate"))
     known = files.select(F.col("path").alias("candidate")).distinct()

@@ -224,12 +224,12 @@ def dependents_like(spark, d):
     return impact.dependents_by_name(m, "a.m1", F.col("path") == "lib/b/m1.py")
 
 
-@query("""WITH i AS (SELECT s_suppkey AS id, unnest(['./util', '../lib/core', '@/app', 'react', './gone']) AS module FROM supplier) SELECT 'src/p' || id || '/main.js' AS path, module,
-    CASE WHEN module = 'react' THEN 'third_party' ELSE 'local' END AS kind, CASE module WHEN './util' THEN 'src/p' || id || '/util.ts' WHEN '../lib/core' THEN 'src/lib/core/index.js' WHEN '@/app' THEN 'src/app.jsx' END AS resolved FROM i""")
+@query("""WITH i AS (SELECT s_suppkey AS id, unnest(['./util', './a/../util', '../lib/core', '@/x/../app', 'react', './gone']) AS module FROM supplier) SELECT 'src/p' || id || '/main.js' AS path, module,
+    CASE WHEN module = 'react' THEN 'third_party' ELSE 'local' END AS kind, CASE WHEN module LIKE './%util' THEN 'src/p' || id || '/util.ts' WHEN module = '../lib/core' THEN 'src/lib/core/index.js' WHEN module = '@/x/../app' THEN 'src/app.jsx' END AS resolved FROM i""")
 def js_imports(spark, d):
     folder = F.concat(F.lit("src/p"), "s_suppkey")
     s = table(spark, d, "supplier").select(F.concat(folder, F.lit("/main.js")).alias("path"), F.concat(folder, F.lit("/util.ts")).alias("util"))
-    imports = s.select("path", F.explode(F.array(*[F.lit(x) for x in ("./util", "../lib/core", "@/app", "react", "./gone")])).alias("module"))
+    imports = s.select("path", F.explode(F.array(*[F.lit(x) for x in ("./util", "./a/../util", "../lib/core", "@/x/../app", "react", "./gone")])).alias("module"))
     fixed = spark.createDataFrame([("src/lib/core/index.js",), ("src/app.jsx",)], "path string")
     return impact.resolve_js(imports, s.select("path").union(s.select("util")).union(fixed))
 

@@ -19,9 +19,13 @@ def json_valid_value(spark, d):
     return rows.select("event_id", ok.alias("valid"), F.when(ok, json_text.value_at(F.col("t"), "$.k")).alias("k"))
 
 
-@query("""SELECT p_partkey AS key, unnest(['$.a', '$.a.b', '$.a.b[]', '$.a.b[].c', '$.n']) AS path FROM part""")
+@query("""SELECT p_partkey AS key, '$' || unnest(['.a', '.a.b', '.a.b[]', '.a.b[].c', '.n', '.s']) AS path FROM part
+    UNION ALL SELECT p_partkey, '$.a' || repeat('.d', x::INT) FROM (SELECT p_partkey, unnest(range(1, 2 + p_size % 12)) AS x FROM part)""")
 def json_paths(spark, d):
-    text = F.concat(F.lit('{"a": {"b": [{"c": '), "p_size", F.lit('}, 2]}, "n": null}'))
+    """Objects down to 13 steps, and a string that holds JSON."""
+    deep = F.concat(F.repeat(F.lit('{"d": '), F.col("p_size") % 12), F.lit('{"d": 0}'), F.repeat(F.lit("}"), F.col("p_size") % 12))
+    inner = F.concat(F.lit('{"b": [{"c": '), "p_size", F.lit("}, 2], "), F.substring(deep, 2, 10_000))
+    text = F.concat(F.lit('{"a": '), inner, F.lit(', "n": null, "s": "{\\"t\\": [1]}"}'))
     return json_text.paths(table(spark, d, "part").select(F.col("p_partkey").alias("key"), text.alias("t")), "key", "t")
 
 

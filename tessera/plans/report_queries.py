@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import json_text
-from tessera.operators import code, quality, reports
+from tessera.operators import cycles, diffs, code, quality, reports
 from tessera.plans.catalog_queries import query
 from tessera.plans.code_queries import entities
 from tessera.sources.storage import materialize, table
@@ -151,3 +151,30 @@ def semantic_members(spark, d):
     members = components(links.select("a", "b"))
     named = members.filter(F.contains("node", F.lit(":name_")))
     return named.agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT count(*) AS n FROM supplier), e AS (
+    SELECT s_suppkey AS src, (s_suppkey * 7 + 3) % n + 1 AS dst FROM supplier, n UNION SELECT s_suppkey, s_suppkey + 1 FROM supplier, n WHERE s_suppkey % 4 <> 0 UNION SELECT s_suppkey, s_suppkey - 3 FROM supplier WHERE s_suppkey % 8 = 4),
+    r AS (WITH RECURSIVE c(a, b) AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT a, dst FROM c JOIN e ON b = src WHERE src <> dst) SELECT a, b FROM c),
+    g AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a)
+    SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM g""")
+def import_cycles(spark, d):
+    """Cycles of any length among suppliers that point at others."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src"))
+    n = s.agg(F.count("*").alias("n"))
+    far = s.crossJoin(F.broadcast(n)).select("src", ((F.col("src") * 7 + 3) % F.col("n") + 1).alias("dst"))
+    near = s.filter("src % 4 <> 0").select("src", (F.col("src") + 1).alias("dst")).union(s.filter("src % 8 = 4").select("src", (F.col("src") - 3).alias("dst")))
+    return cycles.strong_components(far.union(near))
+
+
+@query("""WITH p AS (SELECT p_partkey AS key, p_size % 20 + 1 AS k FROM part), h AS (SELECT key, k, greatest(k - 3, 1) AS s, least(k + 3, 20) AS t FROM p)
+    SELECT key, 1 AS hunk, '@@ -' || s || ',' || (t - s + 1) || ' +' || s || ',' || (t - s + 2) || ' @@' AS header, t - s + 3 AS n_lines FROM h""")
+def unified_diff(spark, d):
+    """One line of twenty becomes two."""
+    line = lambda i: F.concat(F.lit("row "), i.cast("string"))
+    at = F.col("p_size") % 20 + 1
+    numbers = F.sequence(F.lit(1), F.lit(20))
+    old = F.array_join(F.transform(numbers, line), "\n")
+    new = F.array_join(F.transform(numbers, lambda i: F.when(i == at, F.concat(F.lit("new "), F.col("p_name"), F.lit("\nmore"))).otherwise(line(i))), "\n")
+    pairs = table(spark, d, "part").select(F.col("p_partkey").alias("key"), old.alias("a"), new.alias("b"))
+    return diffs.unified(pairs, "key", "a", "b").select("key", "hunk", diffs.header().alias("header"), F.size("lines").alias("n_lines"))

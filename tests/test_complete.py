@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import json_text
-from tessera.operators import code, impact
+from tessera.operators import code, cycles, diffs, impact
 from tessera.operators.components import components
 
 ENTITY = "kind string, path string, lineno int, name string, args array<string>, shape array<string>, details array<string>, docstring string"
@@ -115,3 +115,64 @@ def test_js_modules_with_dots_anywhere(spark):
         "../../../../lib/core": ("local", "lib/core/index.js"), "react": ("third_party", None), "./gone": ("local", None),
     }
     assert spark.range(1).select(impact.folded(F.lit("a/../../b/./c"))).first()[0] == "b/c"
+
+
+def plain_strong(edges):
+    nodes = {x for e in edges for x in e}
+    out = {x: set() for x in nodes}
+    for a, b in edges:
+        out[a].add(b)
+
+    def reach(x):
+        seen, todo = set(), list(out[x])
+        while todo:
+            y = todo.pop()
+            if y not in seen:
+                seen.add(y)
+                todo += out[y]
+        return seen
+
+    far = {x: reach(x) for x in nodes}
+    groups = {x: frozenset([x, *[y for y in far[x] if x in far[y]]]) for x in nodes}
+    return {(x, min(g), len(g)) for x, g in groups.items() if len(g) > 1}
+
+
+def test_strong_components(spark):
+    rnd = random.Random(5)
+    ring = [(i, i + 1) for i in range(1000, 1499)] + [(1499, 1000)]
+    tail = [(i, i + 1) for i in range(2000, 2100)] + [(2100, 1000)]
+    hub = [(5000, 5001 + i) for i in range(300)] + [(5001 + i, 5000) for i in range(0, 300, 3)]
+    mesh = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(75)]
+    pair = [(9000, 9001), (9001, 9000), (9001, 9002), (9002, 9003), (9003, 9001), (9003, 9003)]
+    edges = ring + tail + hub + mesh + pair
+    frame = spark.createDataFrame([*edges, (None, 3), (4, None)], "src long, dst long")
+    assert {tuple(r) for r in cycles.strong_components(frame).collect()} == plain_strong(edges)
+    assert cycles.strong_components(frame.filter("src < 0")).count() == 0
+
+
+def applied(a, hunks):
+    out, at = [], 0
+    for start, old, begin, new, lines in hunks:
+        begin_at = start - bool(old)
+        out += a[at:begin_at]
+        assert len(out) == begin - bool(new) and [x[1:] for x in lines if x[0] != "+"] == a[begin_at : begin_at + old] and sum(x[0] != "-" for x in lines) == new
+        out += [x[1:] for x in lines if x[0] != "-"]
+        at = begin_at + old
+    return out + a[at:]
+
+
+def test_hunks_give_the_other_text(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(250):
+        a = [rnd.choice(["x", "y", "", f"line {rnd.randrange(40)}"]) for _ in range(rnd.randrange(0, 40))]
+        b = list(a) if i % 5 else [rnd.choice("xyz") for _ in range(rnd.randrange(20))]
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.randrange(3)] = [rnd.choice(["new", "x", "y"]) for _ in range(rnd.randrange(3))]
+        for context in (0, 1, 3):
+            assert applied(a, diffs.hunks(a, b, context)) == b
+        assert (a == b) == (not diffs.hunks(a, b))
+        rows.append((i, "\n".join(a), "\n".join(b)))
+    got = diffs.unified(spark.createDataFrame([*rows, (999, None, "one"), (1000, "", None)], "k int, a string, b string").repartition(3), "k", "a", "b")
+    assert got.filter("key = 999").collect()[0][1:6] == (1, 0, 0, 1, 1) and got.filter("key = 1000").count() == 0
+    assert got.withColumn("h", diffs.header()).filter("key = 999").first()["h"] == "@@ -0,0 +1 @@"

@@ -4,7 +4,8 @@ A URL is a set of tokens (all labels of the host and its endings, path segments,
 keys). FP-growth mines the token sets that are frequent among the bad ones of the labelled URLs;
 tokens that every labelled URL has tell nothing and are left out. A set becomes a rule if its support
 is high enough, if its lift is over one beyond doubt (the lower end of the Wilson interval of its
-confidence is over `LIFT` times the rate of bad ones among all), and if neither a rule of fewer
+confidence is over `LIFT` times the rate of bad ones among all, each of the frequent sets being tested at `ERROR` divided by their
+number), and if neither a rule of fewer
 tokens inside it does as well nor a surer one around it explains it. Rules
 stand in an inverted index under their rarest token, and URLs look their tokens up there; so a
 token that all URLs share brings no rule to all of them unless it is all of a rule. Each found rule
@@ -22,6 +23,8 @@ of them blocks; very long URLs give all of their tokens.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +41,8 @@ FIXED = (
 )
 SUPPORT, LIFT = 0.002, 1.0
 MIN_COUNT = 5
-Z = 1.96
+#: Chance that any rule at all is mined from labels that don't depend on the URLs.
+ERROR = 0.05
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,7 +77,7 @@ def tokens(url: Column) -> Column:
     return F.when(F.col("host") == "", F.array().cast("array<string>")).otherwise(F.array_distinct(all_of))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, lift: float = LIFT, min_count: int = MIN_COUNT) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, lift: float = LIFT, min_count: int = MIN_COUNT, error: float = ERROR) -> DataFrame:
     """(tokens, bad_count, count): rules from `labelled` (tokens array<string>, bad boolean).
 
     Sets are mined from the bad URLs alone, then counted over all labelled ones through the same
@@ -96,23 +100,28 @@ def mine(labelled: DataFrame, support: float = SUPPORT, lift: float = LIFT, min_
     bags = labelled.groupBy(F.array_sort("tokens").alias("tokens")).agg(F.count("*").alias("weight"))
     counted = match(bags, sets).groupBy("set").agg(F.sum("weight").alias("count"))
     rules = sets.join(counted, "set").select(F.col("set").alias("tokens"), "bad_count", "count")
-    beyond = lift * n_bad / n_all
-    good = materialize(rules.withColumn("lower", lower_bound(F.col("bad_count"), F.col("count"))).filter(F.col("lower") > beyond), "rules")
+    beyond, z = lift * n_bad / n_all, deviations(error, sets.count())
+    good = materialize(rules.withColumn("lower", lower_bound(F.col("bad_count"), F.col("count"), z)).filter(F.col("lower") > beyond), "rules")
     # A rule inside another that is as sure makes the longer one idle; a longer, surer one makes that inside it
     # idle, if what it leaves isn't beyond doubt.
     small = good.select(F.col("tokens").alias("inner"), F.col("lower").alias("sure"), F.col("bad_count").alias("bads"), F.col("count").alias("all"), F.element_at("tokens", 1).alias("head"))
     longer = good.filter(F.size("tokens") > 1).withColumn("head", F.explode("tokens"))
     inside = (F.size("inner") < F.size("tokens")) & (F.size(F.array_except("inner", "tokens")) == 0)
     pairs = materialize(longer.join(small, "head").filter(inside), "inside")
-    rest = F.coalesce(lower_bound(F.col("bads") - F.col("bad_count"), F.col("all") - F.col("count")), F.lit(0.0))
+    rest = F.coalesce(lower_bound(F.col("bads") - F.col("bad_count"), F.col("all") - F.col("count"), deviations(error, 2)), F.lit(0.0))
     idle = pairs.filter(F.col("sure") >= F.col("lower")).select("tokens").union(pairs.filter((F.col("sure") < F.col("lower")) & (rest <= beyond)).select("inner")).distinct()
     return good.join(idle, "tokens", "left_anti").select("tokens", "bad_count", "count")
 
 
-def lower_bound(k: Column, n: Column) -> Column:
-    """The lower end of the Wilson interval of the share k / n; null if n is 0."""
+def deviations(error: float, tests: int) -> float:
+    """Standard deviations that a normal variable passes with the chance `error` / `tests`."""
+    return NormalDist().inv_cdf(1 - error / max(1, tests))
+
+
+def lower_bound(k: Column, n: Column, z: float) -> Column:
+    """The lower end of the Wilson interval, `z` deviations wide to each side, of the share k / n; null if n is 0."""
     p = k / F.nullif(n, F.lit(0))
-    return (p + Z * Z / (2 * n) - Z * F.sqrt(p * (1 - p) / n + Z * Z / (4 * n * n))) / (1 + Z * Z / n)
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
 def match(rows: DataFrame, sets: DataFrame) -> DataFrame:

@@ -48,7 +48,7 @@ MEETING = 64
 #: Shingles that a segment holds at least on average; bytes of text that a task works on at a time.
 MEAN, BATCH_BYTES = 4, 1 << 20
 #: One step in so many, and one more, is spare: it costs a segment more and keeps a set off that many of its longest lists.
-SPARE = 6
+SPARE = 25
 #: Buckets of the table of list lengths.
 BUCKETS = 1 << 20
 

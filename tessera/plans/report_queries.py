@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import json_text
-from tessera.operators import cycles, diffs, code, quality, reports
+from tessera.operators import code, cycles, diffs, merging, quality, reports
 from tessera.plans.catalog_queries import query
 from tessera.plans.code_queries import entities
 from tessera.sources.storage import materialize, table
@@ -178,3 +178,28 @@ def unified_diff(spark, d):
     new = F.array_join(F.transform(numbers, lambda i: F.when(i == at, F.concat(F.lit("new "), F.col("p_name"), F.lit("\nmore"))).otherwise(line(i))), "\n")
     pairs = table(spark, d, "part").select(F.col("p_partkey").alias("key"), old.alias("a"), new.alias("b"))
     return diffs.unified(pairs, "key", "a", "b").select("key", "hunk", diffs.header().alias("header"), F.size("lines").alias("n_lines"))
+
+
+@query("""WITH p AS (SELECT p_partkey AS key, p_size % 20 + 1 AS x, p_partkey % 20 + 1 AS y, 'ours ' || p_name AS a, 'theirs ' || p_brand AS b FROM part),
+    q AS (SELECT *, abs(x - y) <= 1 AS bad, least(x, y) AS lo, greatest(x, y) AS hi, list_transform(range(1, 21), lambda i: 'row ' || i) AS base,
+        list_transform(range(1, 21), lambda i: CASE WHEN i = x THEN a ELSE 'row ' || i END) AS ours, list_transform(range(1, 21), lambda i: CASE WHEN i = y THEN b ELSE 'row ' || i END) AS theirs FROM p)
+    SELECT key, bad::INT AS n_conflicts, CASE WHEN bad THEN 1 ELSE 2 END AS n_changes, array_to_string(CASE WHEN bad THEN base[1:lo - 1] || ['<<<<<<< ours'] || ours[lo:hi] || ['======='] || theirs[lo:hi] || ['>>>>>>> theirs'] || base[hi + 1:20]
+        ELSE list_transform(range(1, 21), lambda i: CASE WHEN i = x THEN a WHEN i = y THEN b ELSE 'row ' || i END) END, chr(10)) AS text FROM q""")
+def three_way_merge(spark, d):
+    """Both sides change one line of twenty; equal or adjacent lines are in conflict."""
+    numbers, row = F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("row "), i.cast("string"))
+    text = lambda at, new: F.array_join(F.transform(numbers, lambda i: F.when(i == at, new).otherwise(row(i))), "\n")
+    ours = text(F.col("p_size") % 20 + 1, F.concat(F.lit("ours "), "p_name"))
+    theirs = text(F.col("p_partkey") % 20 + 1, F.concat(F.lit("theirs "), "p_brand"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.array_join(F.transform(numbers, row), "\n").alias("base"), ours.alias("ours"), theirs.alias("theirs"))
+    return merging.merged(merging.three_way(rows, "key", "base", "ours", "theirs"))
+
+
+@query("""SELECT path, syntax_valid, CASE WHEN syntax_valid THEN NULL ELSE 3 END AS error_line, CASE WHEN syntax_valid THEN 2 + n ELSE 0 END AS n_imports, CASE WHEN syntax_valid THEN d ELSE '' END AS duplicates, syntax_valid AND d = '' AS success
+    FROM (SELECT 'src/part_' || p_partkey || '.py' AS path, p_size % 5 <> 0 AS syntax_valid, (p_size % 2 = 0)::INT + (p_size % 3 = 0)::INT AS n, concat_ws(',', CASE WHEN p_size % 3 = 0 THEN 'json' END, CASE WHEN p_size % 2 = 0 THEN 'os' END) AS d FROM part)""")
+def merge_checks(spark, d):
+    """Sources with repeated imports and broken ones."""
+    size = F.col("p_size")
+    text = F.concat_ws("\n", F.lit("import os\nfrom json import loads"), F.when(size % 5 == 0, "def broken(:"), F.when(size % 2 == 0, "import os"), F.when(size % 3 == 0, "from .json import dumps"), F.lit("x = 1"))
+    files = table(spark, d, "part").select(F.concat(F.lit("src/part_"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
+    return merging.checks(files).withColumn("duplicates", F.array_join("duplicates", ","))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 ENTITY = (
     "path string, kind string, name string, scope string, lineno int, end_lineno int, args array<string>, details array<string>, "
-    "is_async boolean, docstring string, returns string, complexity int, nesting int, shape array<string>, source string, hash_exact string, hash_renamed string"
+    "is_async boolean, docstring string, returns string, complexity int, nesting int, shape array<string>, source string, hash_exact string, hash_renamed string, renamed string"
 )
 COLUMNS = [c.split()[0] for c in ENTITY.split(", ")]
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.Assert, ast.comprehension, ast.match_case)
@@ -53,9 +53,9 @@ def _renamed(source: str) -> str:
     try:
         tree = _Rename().visit(ast.parse(source))
         tree.body[0].name = "f"
-        return _md5(ast.unparse(tree))
+        return ast.unparse(tree)
     except (SyntaxError, AttributeError, IndexError):
-        return _md5(re.sub(r"\s+", "", re.sub(r"#[^\n]*", "", source)))
+        return re.sub(r"\s+", "", re.sub(r"#[^\n]*", "", source))
 
 
 def entities(path: str, text: str | None) -> Iterator[dict]:
@@ -78,7 +78,7 @@ def entities(path: str, text: str | None) -> Iterator[dict]:
             if isinstance(n, (*_FUNCTION, ast.ClassDef)):
                 source = block(n)
                 row |= {"name": n.name, "docstring": ast.get_docstring(n), "complexity": _complexity(n), "nesting": _nesting(n), "source": source}
-                row |= {"hash_exact": _md5(re.sub(r"\s+", " ", source).strip()), "hash_renamed": _renamed(source), "details": [ast.unparse(d) for d in n.decorator_list]}
+                row |= {"hash_exact": _md5(re.sub(r"\s+", " ", source).strip()), "renamed": (renamed := _renamed(source)), "hash_renamed": _md5(renamed), "details": [ast.unparse(d) for d in n.decorator_list]}
                 if isinstance(n, ast.ClassDef):
                     methods = [m.name for m in n.body if isinstance(m, _FUNCTION)]
                     yield row | {"kind": "class", "args": [ast.unparse(b) for b in n.bases], "shape": methods}

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import complexity_score, jaccard, mean_of, split_name
 from tessera.operators import quality as figures
 from tessera.operators.components import components, settle
 from tessera.operators.similarity import sequence_ratio
+from tessera.sources.joins import spread_join
 from tessera.sources.storage import materialize
 
 #: Names that count as used (dunder names are left out by their form), and smell limits.
@@ -53,30 +56,56 @@ def fragments(entities: DataFrame, min_lines: int = 5, min_tokens: int = 20) ->
 def clones(found: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(a, b, type, similarity): links between clones.
 
-    Type 1 (equal text) and type 2 (equal up to names) link every fragment to the least of its hash,
-    so that a group of copies gives links, not all pairs. Type 3 compares the least fragments of
-    distinct code that share three-word shingles, through `settle`: every list's fragments with its hub, then
-    those still in different groups. Fragments without a common shingle aren't compared.
-    """
+    Type 1 (equal text) and type 2 (equal up to names) link every fragment to the least of its hash, so that a group of copies
+    gives links, not all pairs. Type 3 compares the least fragments of each code up to names by the matching-blocks ratio of
+    that code; fragments of one file of which one holds the other are no pair. Its links' groups are those of all pairs that
+    reach `threshold`: candidates are complete (`_near_texts`). Give it a written table."""
 
     def star(hash_column: str, kind: str) -> DataFrame:
-        hubs = found.groupBy(hash_column).agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-        return found.join(hubs, hash_column).filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.lit(kind).alias("type"), F.lit(1.0).alias("similarity"))
+        hubs = materialize(found.groupBy(hash_column).agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1"), "hubs")
+        return spread_join(found, hubs, [hash_column], "n").filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"), F.lit(kind).alias("type"), F.lit(1.0).alias("similarity"))
 
     one = star("hash_exact", "type1")
     two = star("hash_renamed", "type2").join(one, ["a", "b"], "left_anti")
-    reps = found.groupBy("hash_renamed").agg(F.min("id").alias("id"), F.min_by("source", "id").alias("source"))
-    words = F.split(F.trim(F.regexp_replace("source", r"[^A-Za-z0-9_]+", " ")), " ")
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(3)]))
-    index = reps.select("id", words.alias("w")).select("id", F.explode(F.array_distinct(grams)).alias("g"))
-    text = lambda k: reps.select(F.col("id").alias(k), F.col("source").alias(f"s{k}"))
+    first = F.min(F.struct("id", "path", "lineno", "end_lineno", F.col("renamed").alias("text"))).alias("f")
+    reps = materialize(found.groupBy("hash_renamed").agg(first, F.count("*").alias("copies")).select("f.*", "copies"), "codes")
+    return one.union(two).union(_near_texts(reps, threshold).select("a", "b", F.lit("type3").alias("type"), "similarity"))
+
+
+def _near_texts(reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity): links whose groups are those of all pairs of texts with a matching-blocks ratio of `threshold` at least.
+
+    A ratio r of texts of m and n characters means r (m + n) / 2 characters in common, counted with repeats. So neither text is
+    over (2 - r) / r times as long as the other, and of a text's numbered characters (`e` for the third time), those rare among all texts first, partners share
+    one of the first n - r n / (2 - r) + 1. A text stands in a list for each of them and for its band of lengths and the
+    next. Before texts are compared, their counts of characters must reach the bound."""
+    bound = threshold - 0.00005
+    size = F.length("text").cast("double")
+    counts = F.split("text", "").alias("c")
+    each = reps.select("id", size.alias("n"), F.explode(counts).alias("c")).filter("c <> ''").groupBy("id", "n", "c").agg(F.count("*").cast("int").alias("k"))
+    each = materialize(each, "characters")
+    numbered = each.select("id", "n", "c", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("k"))
+    rare = materialize(numbered.groupBy("c", "k").agg(F.count("*").alias("texts")), "frequencies")
+    order = Window.partitionBy("id").orderBy("texts", "c", "k")
+    placed = spread_join(numbered, rare, ["c", "k"], "texts").withColumn("place", F.row_number().over(order))
+    kept = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * bound / (2 - bound) - 1e-9) + 1)
+    band = F.floor(F.log("n") / math.log((2 - bound) / bound))
+    lists = kept.select("id", F.xxhash64("c", "k").alias("token"), F.explode(F.array(band, band + 1)).alias("band"))
+    held = each.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("c", "k"))).alias("held"))
+    nodes = materialize(reps.join(held, "id"), "texts")
+    side = lambda k: nodes.select(F.col("id").alias(k), F.struct("path", "lineno", "end_lineno", "copies", "text", "held").alias(f"of_{k}"))
+    of = lambda k, name: F.col(f"of_{k}.{name}")
+    common = F.aggregate(F.map_entries(of("a", "held")), F.lit(0), lambda t, e: t + F.least(e["value"], F.coalesce(F.try_element_at(of("b", "held"), e["key"]), F.lit(0))))
+    inside = (of("a", "path") == of("b", "path")) & (of("a", "lineno") <= of("b", "end_lineno")) & (of("b", "lineno") <= of("a", "end_lineno"))
+    apart = ~F.coalesce(inside, F.lit(False)) | (of("a", "copies") > 1) | (of("b", "copies") > 1)
 
     def alike(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(text("a"), "a").join(text("b"), "b").withColumn("similarity", F.round(sequence_ratio(F.col("sa"), F.col("sb")), 4))
-        return both.select("a", "b", "similarity").filter(F.col("similarity") >= threshold)
+        both = spread_join(spread_join(materialize(pairs, "pairs"), side("a"), ["a"]), side("b"), ["b"])
+        able = both.filter(apart & (2 * common >= bound * (F.length(of("a", "text")) + F.length(of("b", "text")))))
+        rated = able.select("a", "b", F.round(sequence_ratio(of("a", "text"), of("b", "text")), 4).alias("similarity"))
+        return rated.filter(F.col("similarity") >= threshold)
 
-    three = settle(materialize(index, "shingles"), "id", ["g"], alike)
-    return one.union(two).union(three.filter(F.col("similarity") >= threshold).select("a", "b", F.lit("type3").alias("type"), "similarity"))
+    return settle(materialize(lists, "lists"), "id", ["token", "band"], alike)
 
 
 def clone_groups(links: DataFrame) -> DataFrame:

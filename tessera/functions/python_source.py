@@ -59,7 +59,8 @@ def _renamed(source: str) -> str:
 
 
 def entities(path: str, text: str | None) -> Iterator[dict]:
-    """Rows of one file: functions, classes, imports, variables (writes), reads, calls, or one error row."""
+    """Rows of one file: functions, classes, imports, variables (writes), reads, calls, patterns of the rules (defaults of a
+    function, whole numbers given to names, sums with a string, calls of `type`), or one error row."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError) as e:
@@ -84,6 +85,9 @@ def entities(path: str, text: str | None) -> Iterator[dict]:
                     yield row | {"kind": "class", "args": [ast.unparse(b) for b in n.bases], "shape": methods}
                 else:
                     shape, returns = [type(s).__name__ for s in n.body], ast.unparse(n.returns) if n.returns else None
+                    given = [ast.unparse(v) for v in n.args.defaults]
+                    if given:
+                        yield row | {"kind": "defaults", "args": given, "docstring": None, "source": None, "renamed": None, "hash_exact": None, "hash_renamed": None}
                     yield row | {"kind": "function", "args": [a.arg for a in n.args.args], "is_async": isinstance(n, ast.AsyncFunctionDef), "shape": shape, "returns": returns}
                 yield from walk(n, f"{scope}.{n.name}" if scope else n.name)
                 continue
@@ -98,10 +102,18 @@ def entities(path: str, text: str | None) -> Iterator[dict]:
                 yield row | {"kind": "attribute", "name": n.attr}
             elif isinstance(n, ast.Call):
                 yield row | {"kind": "call", "name": getattr(n.func, "id", getattr(n.func, "attr", ""))}
+                if getattr(n.func, "id", None) == "type":
+                    yield row | {"kind": "type_call", "name": ""}
             elif isinstance(n, ast.ExceptHandler) and n.type is None:
                 yield row | {"kind": "bare_except", "name": ""}
             elif isinstance(n, ast.Compare) and len(n.ops) > 2:
                 yield row | {"kind": "long_comparison", "name": ""}
+            elif isinstance(n, ast.Assign) and isinstance(n.value, ast.Constant) and type(n.value.value) is int:
+                for t in n.targets:
+                    if isinstance(t, ast.Name):
+                        yield row | {"kind": "number", "name": t.id, "args": [str(n.value.value)]}
+            elif isinstance(n, ast.BinOp) and isinstance(n.op, ast.Add) and any(isinstance(v, ast.Constant) and isinstance(v.value, str) for v in (n.left, n.right)):
+                yield row | {"kind": "string_sum", "name": ""}
             yield from walk(n, scope)
 
     yield from walk(tree, "")

@@ -19,6 +19,10 @@ SPECIAL = ("main", "setup", "teardown", "run", "execute", "init", "config", "set
 LIMITS = {"long_function": (50, 100), "many_parameters": (5, None), "high_complexity": (10, 20), "deep_nesting": (4, None), "many_methods": (20, None)}
 
 
+#: Fixed value: defaults that a function may have.
+DEFAULTS = 3
+
+
 def file_metrics(entities: DataFrame) -> DataFrame:
     """path, counts of each kind and the file's complexity score."""
     n = lambda *k: F.sum(F.col("kind").isin(*k).cast("int"))
@@ -117,17 +121,36 @@ def clone_groups(links: DataFrame) -> DataFrame:
 
 
 def dead_code(entities: DataFrame) -> DataFrame:
-    """path, kind, name, lineno, confidence of definitions that no file reads, and of imports that their
+    """path, kind, name, lineno, confidence, lines of definitions that no file reads, and of imports that their
     own file doesn't. Dunder and special names are left out; private names are surer, decorated ones less."""
     uses = entities.filter(F.col("kind").isin("read", "attribute", "call")).select(F.col("name").alias("used"), F.col("path").alias("used_in"))
     special = F.col("name").rlike("^__.*__$") | F.col("name").isin(*SPECIAL) | F.col("name").startswith("test")
     definitions = entities.filter(F.col("kind").isin("function", "class") & ~special)
     dead = definitions.join(uses.select("used").distinct(), F.col("name") == F.col("used"), "left_anti")
     sure = F.when(F.size(F.coalesce("details", F.array().cast("array<string>"))) > 0, 0.5).when(F.col("name").startswith("_"), 0.9).otherwise(0.7)
+    lines = F.col("end_lineno") - F.col("lineno") + 1
     imports = entities.filter("kind = 'import'").select("path", "kind", F.explode("args").alias("name"), "lineno").filter("name <> '*'")
     own = uses.distinct()
     unused = imports.join(own, (F.col("path") == F.col("used_in")) & (F.col("name") == F.col("used")), "left_anti")
-    return dead.select("path", "kind", "name", "lineno", sure.alias("confidence")).union(unused.select("path", "kind", "name", "lineno", F.lit(0.95)))
+    return dead.select("path", "kind", "name", "lineno", sure.alias("confidence"), lines.alias("lines")).union(unused.select("path", "kind", "name", "lineno", F.lit(0.95), F.lit(1)))
+
+
+def dead_variables(entities: DataFrame) -> DataFrame:
+    """path, name, confidence of module variables that their file never reads."""
+    written = entities.filter("kind = 'write' and scope = ''").select("path", "name").distinct()
+    return figures.dead_variables(written, entities.filter("kind = 'read'"))
+
+
+def dead_lines(entities: DataFrame) -> DataFrame:
+    """path, n_dead, lines_saved: what goes with a file's dead definitions, imports and variables; an import or a variable is a line."""
+    rows = dead_code(entities).select("path", "lines").unionByName(dead_variables(entities).select("path", F.lit(1).alias("lines")))
+    return figures.savings(rows, "path", F.col("lines"))
+
+
+def same_shape(entities: DataFrame, least: int = 3) -> DataFrame:
+    """file, first, other: functions of a file with one list of over `least` statement types, each with the first by line and name."""
+    functions = entities.filter("kind = 'function'").select("path", F.struct("lineno", "name").alias("at"), "shape")
+    return figures.same_shape(functions, "path", "shape", "at", least).select(F.col("path").alias("file"), F.col("first.name").alias("first"), F.col("other.name").alias("other"))
 
 
 def smells(entities: DataFrame) -> DataFrame:
@@ -141,7 +164,11 @@ def smells(entities: DataFrame) -> DataFrame:
         severity = F.when(v > most, "high").otherwise("medium") if most else F.lit("medium")
         rules.append(F.when(which & (v > least), F.struct(F.lit(rule).alias("rule"), v.cast("int").alias("value"), severity.alias("severity"))))
     pattern = F.struct(F.col("kind").alias("rule"), F.lit(1).alias("value"), F.lit("low").alias("severity"))
-    rules.append(F.when(F.col("kind").isin("bare_except", "long_comparison"), pattern))
+    rules.append(F.when(F.col("kind").isin("bare_except", "long_comparison", "string_sum", "type_call"), pattern))
+    low = lambda rule, v: F.struct(F.lit(rule).alias("rule"), v.cast("int").alias("value"), F.lit("low").alias("severity"))
+    rules.append(F.when((F.col("kind") == "defaults") & (F.size("args") > DEFAULTS), low("many_defaults", F.size("args"))))
+    number = F.when(F.col("kind") == "number", F.get("args", F.lit(0)).cast("double"))
+    rules.append(F.when(figures.is_magic(number, F.col("name")), low("magic_number", F.least(number, F.lit(2.0**31 - 1)))))
     wrong = (f & ~F.col("name").rlike("^_*[a-z0-9_]*$")) | (c & ~F.col("name").rlike("^_*[A-Z][A-Za-z0-9]*$"))
     rules.append(F.when(wrong, F.struct(F.lit("naming").alias("rule"), F.lit(1).alias("value"), F.lit("low").alias("severity"))))
     each = entities.select("path", "name", "lineno", F.explode(F.filter(F.array(*rules), lambda x: x.isNotNull())).alias("r"))

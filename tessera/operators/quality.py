@@ -106,10 +106,14 @@ def dead_variables(variables: DataFrame, reads: DataFrame) -> DataFrame:
     return dead.select("path", "name", F.lit(0.8).alias("confidence"))
 
 
+def is_magic(value: Column, name: Column) -> Column:
+    """Whether a whole number is over ten and given to a name which is no constant."""
+    return (value > 10) & ~value.isin(*PLAIN_NUMBERS) & ~name.rlike("^[A-Z0-9_]+$")
+
+
 def magic_numbers(assignments: DataFrame, value: str) -> DataFrame:
-    """Whole numbers over ten that are given to a name which is no constant."""
-    v = F.col(value)
-    return assignments.filter((v > 10) & ~v.isin(*PLAIN_NUMBERS) & ~F.col("name").rlike("^[A-Z0-9_]+$"))
+    """The assignments of whole numbers that want a name."""
+    return assignments.filter(is_magic(F.col(value), F.col("name")))
 
 
 def clone_statistics(links: DataFrame, fragments: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import markup, python_source
 from tessera.operators import code
 from tessera.plans.catalog_queries import query
+from tessera.sources import catalog_writes
 from tessera.sources.storage import materialize, table
 
 
@@ -141,3 +142,70 @@ def md_entities(spark, d):
 @query("SELECT event_id AS path, true AS valid, 1 AS n_keys, 'OBJECT<k: BIGINT>' AS schema FROM events")
 def json_facts(spark, d):
     return markup.json_facts(table(spark, d, "events").select(F.col("event_id").alias("path"), F.col("props").alias("text")))
+
+
+def ruled(spark, d):
+    """Entities of modules that break and keep the rules in turn, by the parts' numbers."""
+    k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
+    when = lambda n, yes, no: F.when(k % n == 0, yes).otherwise(no)
+    module = F.concat_ws(
+        "\n",
+        F.lit("import os"),
+        F.lit("import re as pattern"),
+        F.lit("LIMIT_A = 5000"),
+        F.concat(F.lit("timeout = "), F.col("p_size").cast("string")),
+        F.lit("logger = config = 1024"),
+        F.lit("def setup():"),
+        F.lit("    return os"),
+        F.concat(F.lit("def wide_"), text, when(2, "(a=1, b=2, c=3, d=4):", "(a, b=2, c=3, d=4):")),
+        when(5, "    s = 'x' + a", "    s = f'x{a}'"),
+        when(4, "    if type(a) == int:", "    if isinstance(a, int):"),
+        F.lit("        b = c"),
+        F.lit("    d = b"),
+        F.lit("    return s, d"),
+        F.concat(F.lit("def twin_"), text, F.lit("(p):")),
+        F.lit("    q = p"),
+        F.lit("    if p < q < 1 < 2:"),
+        F.lit("        q = 100"),
+        when(7, "    r = q", "    q += 1"),
+        F.lit("    return q"),
+        F.lit("try:"),
+        F.lit("    setup()"),
+        when(3, "except:", "except ValueError:"),
+        when(6, "    print(timeout)", "    pass"),
+    )
+    rows = table(spark, d, "part").select(F.concat(F.lit("src/part_"), text, F.lit(".py")).alias("path"), module.alias("text"))
+    return materialize(python_source.parse(rows), "entities")
+
+
+@query("""SELECT 'src/part_' || k || '.py' AS path, r.rule, r.name, r.lineno, r.value, r.severity FROM (SELECT p_partkey AS k, unnest(list_filter([
+    CASE WHEN p_size > 10 THEN {'rule': 'magic_number', 'name': 'timeout', 'lineno': 4, 'value': p_size, 'severity': 'low'} END, CASE WHEN p_partkey % 2 = 0 THEN {'rule': 'many_defaults', 'name': 'wide_' || p_partkey, 'lineno': 8, 'value': 4, 'severity': 'low'} END,
+    CASE WHEN p_partkey % 5 = 0 THEN {'rule': 'string_sum', 'name': '', 'lineno': 9, 'value': 1, 'severity': 'low'} END, CASE WHEN p_partkey % 4 = 0 THEN {'rule': 'type_call', 'name': '', 'lineno': 10, 'value': 1, 'severity': 'low'} END,
+    {'rule': 'long_comparison', 'name': '', 'lineno': 16, 'value': 1, 'severity': 'low'}, CASE WHEN p_partkey % 3 = 0 THEN {'rule': 'bare_except', 'name': '', 'lineno': 22, 'value': 1, 'severity': 'low'} END], lambda x: x IS NOT NULL)) AS r FROM part)""")
+def rule_smells(spark, d):
+    return code.smells(ruled(spark, d))
+
+
+@query("""SELECT 'src/part_' || p_partkey || '.py' AS path, 'timeout' AS name, 0.8 AS confidence FROM part WHERE p_partkey % 6 <> 0""")
+def dead_module_variables(spark, d):
+    return code.dead_variables(ruled(spark, d))
+
+
+@query("""SELECT 'src/part_' || p_partkey || '.py' AS path, 3 + (p_partkey % 6 <> 0)::INT AS n_dead, 13 + (p_partkey % 6 <> 0)::INT AS lines_saved FROM part""")
+def dead_lines(spark, d):
+    """Two functions of six lines, an import, and a variable that some modules read."""
+    return code.dead_lines(ruled(spark, d))
+
+
+@query("""SELECT 'src/part_' || p_partkey || '.py' AS file, 'wide_' || p_partkey AS first, 'twin_' || p_partkey AS other FROM part WHERE p_partkey % 7 = 0""")
+def same_shape_functions(spark, d):
+    return code.same_shape(ruled(spark, d))
+
+
+@query("""SELECT 'src/part_' || p_partkey || '.py' AS path, unnest([('functions', 3), ('imports', 2), ('variables', 10), ('data_flow', 14 + (p_partkey % 7 = 0)::INT + (p_partkey % 3 <> 0)::INT + 2 * (p_partkey % 6 = 0)::INT)]::STRUCT(entity VARCHAR, n INT)[], recursive := true) FROM part""")
+def child_tables(spark, d):
+    """Rows of each module in the child tables."""
+    from functools import reduce
+
+    parts = [rows.groupBy("path").agg(F.count("*").alias("n")).withColumn("entity", F.lit(name)) for name, rows in catalog_writes.children(ruled(spark, d)).items()]
+    return reduce(lambda x, y: x.unionByName(y), parts).select("path", "entity", "n")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import json_text
-from tessera.operators import code, cycles, diffs, merging, quality, reports
+from tessera.operators import code, cycles, diffs, merging, quality, reports, trees
 from tessera.plans.catalog_queries import query
 from tessera.plans.code_queries import entities
-from tessera.sources.storage import materialize, table
+from tessera.sources.storage import materialize, new_dir, table
 
 
 @query("""SELECT event_id, event_id % 7 <> 0 AS valid, CASE WHEN event_id % 7 <> 0 THEN json_extract_string(props, '$.k') END AS k FROM events""")
@@ -203,3 +203,31 @@ def merge_checks(spark, d):
     text = F.concat_ws("\n", F.lit("import os\nfrom json import loads"), F.when(size % 5 == 0, "def broken(:"), F.when(size % 2 == 0, "import os"), F.when(size % 3 == 0, "from .json import dumps"), F.lit("x = 1"))
     files = table(spark, d, "part").select(F.concat(F.lit("src/part_"), "p_partkey", F.lit(".py")).alias("path"), text.alias("text"))
     return merging.checks(files).withColumn("duplicates", F.array_join("duplicates", ","))
+
+
+def snapshot(spark, d, later: bool):
+    """(path, digest, size): parts as files two or three folders deep; the later snapshot lost some, gained some and changed some."""
+    k = F.col("p_partkey")
+    folder = F.concat(F.lit("m"), k % 5, F.lit("/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("/b"))))
+    path = F.concat(folder, F.lit("/f"), k, F.when(F.lit(later) & (k % 50 == 7), "_moved").otherwise(""), F.lit(".py"))
+    changed = F.lit(later) & (k % 70 == 3) & F.col("p_brand").isin("Brand#11", "Brand#42")
+    rows = table(spark, d, "part").select(path.alias("path"), F.md5(F.concat("p_name", F.when(changed, "!").otherwise(""))).alias("digest"), F.col("p_size").cast("long").alias("size"), k.alias("k"))
+    return rows.filter("k % 90 <> 11") if later else rows
+
+
+FILES = "SELECT p_partkey AS k, 'm' || (p_partkey % 5) || '/' || lower(replace(p_brand, '#', '/b')) AS folder, p_name, p_brand, p_size FROM part"
+
+
+@query(f"""WITH a AS (SELECT folder || '/f' || k || '.py' AS path, p_name AS c FROM ({FILES})),
+    b AS (SELECT folder || '/f' || k || CASE WHEN k % 50 = 7 THEN '_moved' ELSE '' END || '.py' AS path, p_name || CASE WHEN k % 70 = 3 AND p_brand IN ('Brand#11', 'Brand#42') THEN '!' ELSE '' END AS c FROM ({FILES}) WHERE k % 90 <> 11)
+    SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'created' WHEN b.path IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE a.c IS DISTINCT FROM b.c""")
+def tree_changes(spark, d):
+    """Changes between two snapshots that are stored as trees."""
+    old, new = (trees.store(snapshot(spark, d, later), new_dir(spark, "tree")) for later in (False, True))
+    return trees.changes(old, new)
+
+
+@query(f"""WITH f AS (SELECT string_split(folder, '/') AS p, p_size FROM ({FILES})), e AS (SELECT array_to_string(p[1:i], '/') AS folder, i AS level, i = 3 AS own, p_size FROM f, (SELECT unnest(range(0, 4)) AS i))
+    SELECT folder, level::INT AS level, count(*) AS n_files, count(*) FILTER (own) AS n_own, sum(p_size)::BIGINT AS bytes FROM e GROUP BY 1, 2""")
+def snapshot_tree(spark, d):
+    return trees.folders(snapshot(spark, d, False)).select("folder", "level", "n_files", "n_own", "bytes")

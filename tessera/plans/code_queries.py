@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import markup, python_source
+from tessera.functions import markup, outline, python_source
 from tessera.operators import code
 from tessera.plans.catalog_queries import query
 from tessera.sources import catalog_writes
@@ -209,3 +209,20 @@ def child_tables(spark, d):
 
     parts = [rows.groupBy("path").agg(F.count("*").alias("n")).withColumn("entity", F.lit(name)) for name, rows in catalog_writes.children(ruled(spark, d)).items()]
     return reduce(lambda x, y: x.unionByName(y), parts).select("path", "entity", "n")
+
+
+@query("""SELECT c_custkey AS path, r.line, r.level, r.name, r.parent_line, r.way FROM (SELECT c_custkey, unnest([{'line': 1, 'level': 1, 'name': 'base', 'parent_line': NULL::INT, 'way': 'base'}, {'line': 2, 'level': 2, 'name': 'k' || c_custkey, 'parent_line': 1, 'way': 'base.k' || c_custkey},
+    {'line': 5, 'level': 2, 'name': 'items', 'parent_line': 1, 'way': 'base.items'}, {'line': 6, 'level': 3, 'name': 'id', 'parent_line': 5, 'way': 'base.items[].id'}, {'line': 7, 'level': 3, 'name': 'of', 'parent_line': 5, 'way': 'base.items[].of'}]
+    || CASE WHEN c_nationkey % 2 = 0 THEN [{'line': 8, 'level': 1, 'name': 'last', 'parent_line': NULL::INT, 'way': 'last'}] ELSE [{'line': 8, 'level': 4, 'name': 'last', 'parent_line': 7, 'way': 'base.items[].of.last'}] END) AS r FROM customer)""")
+def yaml_outline(spark, d):
+    """Keys with a block of text, a list of items, and a last key at the top or four levels down."""
+    last = F.when(F.col("c_nationkey") % 2 == 0, "last: 1").otherwise("        last: 1")
+    text = F.concat_ws("\n", F.lit("base: &b"), F.concat(F.lit("  k"), "c_custkey", F.lit(": |")), F.lit("    not: a key\n\n  items:  # these\n    - id: 7\n      of:"), last)
+    return outline.rows(table(spark, d, "customer").select("c_custkey", text.alias("text")), "yaml", "c_custkey")
+
+
+@query("""SELECT p_partkey AS path, r.line, r.level, r.name, r.parent_line, r.way FROM (SELECT p_partkey, unnest([{'line': 1, 'level': 1, 'name': p_name, 'parent_line': NULL::INT, 'way': p_name}, {'line': 2, 'level': 2, 'name': 'Use', 'parent_line': 1, 'way': p_name || ' > Use'},
+    CASE WHEN p_size % 2 = 0 THEN {'line': 6, 'level': 3, 'name': p_brand, 'parent_line': 2, 'way': p_name || ' > Use > ' || p_brand} ELSE {'line': 6, 'level': 2, 'name': p_brand, 'parent_line': 1, 'way': p_name || ' > ' || p_brand} END]) AS r FROM part)""")
+def md_outline(spark, d):
+    text = F.concat_ws("\n", F.concat(F.lit("# "), "p_name"), F.lit("## Use ##\n```\n# no heading\n```"), F.concat(F.when(F.col("p_size") % 2 == 0, "#### ").otherwise("## "), "p_brand"))
+    return outline.rows(table(spark, d, "part").select("p_partkey", text.alias("text")), "markdown", "p_partkey")

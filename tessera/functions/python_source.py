@@ -19,6 +19,9 @@ ENTITY = (
 COLUMNS = [c.split()[0] for c in ENTITY.split(", ")]
 _BRANCH = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.Assert, ast.comprehension, ast.match_case)
 _NEST = (ast.If, ast.For, ast.AsyncFor, ast.While)
+_FLOW = (ast.If, ast.For, ast.While, ast.Try, ast.With)
+#: Operators with a name of their own.
+_OPERATIONS = ("add", "sub", "mult", "div", "mod", "pow", "and", "or")
 _FUNCTION = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
@@ -60,7 +63,7 @@ def _renamed(source: str) -> str:
 
 def entities(path: str, text: str | None) -> Iterator[dict]:
     """Rows of one file: functions, classes, imports, variables (writes), reads, calls, patterns of the rules (defaults of a
-    function, whole numbers given to names, sums with a string, calls of `type`), or one error row."""
+    function, whole numbers given to names, sums with a string, calls of `type`), branches and loops (flow), operations, or one error row."""
     try:
         tree = ast.parse(text or "")
     except (SyntaxError, ValueError, RecursionError) as e:
@@ -114,6 +117,13 @@ def entities(path: str, text: str | None) -> Iterator[dict]:
                         yield row | {"kind": "number", "name": t.id, "args": [str(n.value.value)]}
             elif isinstance(n, ast.BinOp) and isinstance(n.op, ast.Add) and any(isinstance(v, ast.Constant) and isinstance(v.value, str) for v in (n.left, n.right)):
                 yield row | {"kind": "string_sum", "name": ""}
+            if isinstance(n, _FLOW):
+                yield row | {"kind": "flow", "name": type(n).__name__.lower()}
+            elif isinstance(n, (ast.BinOp, ast.BoolOp)):
+                op = type(n.op).__name__.lower()
+                yield row | {"kind": "operation", "name": op if op in _OPERATIONS else "binop"}
+            elif isinstance(n, ast.Compare):
+                yield row | {"kind": "operation", "name": "compare"}
             yield from walk(n, scope)
 
     yield from walk(tree, "")

@@ -78,6 +78,26 @@ def coupling(edges: DataFrame) -> DataFrame:
     return both.withColumn("instability", F.round(F.col("efferent") / (F.col("efferent") + F.col("afferent")), 4))
 
 
+def dependency_report(imports: DataFrame) -> DataFrame:
+    """src, n_imports, n_local, n_external, n_dependents, n_mutual, coupling of every file of `imports` (src, module, dst, kind, as
+    `resolve_imports` gives them) and of every file imported: (0.3 local imports + 0.7 files that import it) by its
+    imports, or by one. `n_mutual` counts the imports that are answered by one of the other file.
+
+    Counts per file before any join; dependents and answers are of distinct (src, dst), so a file that all others
+    import is one counted row for each of them, pre-aggregated where they are read."""
+    own = imports.groupBy("src").agg(*[F.count(F.when(c, 1)).alias(n) for n, c in (("n_imports", F.lit(True)), ("n_local", F.col("kind") == "local"), ("n_external", F.col("kind") == "third_party"))])
+    edges = imports.filter("dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    into = edges.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("n_dependents"))
+    # Both ways of a pair of files are one group of two rows.
+    low, high = F.least("src", "dst"), F.greatest("src", "dst")
+    ways = edges.filter("src <> dst").groupBy(low.alias("a"), high.alias("b")).agg(F.sum(F.when(F.col("src") == low, F.col("n"))).alias("up"), F.sum(F.when(F.col("src") == high, F.col("n"))).alias("down"))
+    answered = ways.filter("up is not null and down is not null").select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("up").alias("n")), F.struct(F.col("b").alias("src"), F.col("down").alias("n")))).alias("r"))
+    mutual = answered.groupBy(F.col("r.src").alias("src")).agg(F.sum("r.n").alias("n_mutual"))
+    all_files = own.join(into, "src", "full_outer").join(mutual, "src", "left").na.fill(0)
+    score = (0.3 * F.col("n_local") + 0.7 * F.col("n_dependents")) / F.greatest("n_imports", F.lit(1))
+    return all_files.select("src", "n_imports", "n_local", "n_external", "n_dependents", "n_mutual", F.round(score, 4).alias("coupling"))
+
+
 def impact(edges: DataFrame, removed: DataFrame) -> DataFrame:
     """(node, depth) of everything that leads to a removed node; the removed ones have depth 0."""
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), removed)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import markup, outline, python_source
-from tessera.operators import code
+from tessera.operators import code, graph, signatures
 from tessera.plans.catalog_queries import query
 from tessera.sources import catalog_writes
 from tessera.sources.storage import materialize, table
@@ -226,3 +226,55 @@ def yaml_outline(spark, d):
 def md_outline(spark, d):
     text = F.concat_ws("\n", F.concat(F.lit("# "), "p_name"), F.lit("## Use ##\n```\n# no heading\n```"), F.concat(F.when(F.col("p_size") % 2 == 0, "#### ").otherwise("## "), "p_brand"))
     return outline.rows(table(spark, d, "part").select("p_partkey", text.alias("text")), "markdown", "p_partkey")
+
+
+BODY = """SELECT p_partkey AS k, 'src/part_' || p_partkey || '.py' AS path, 'price_' || regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') AS name, CASE WHEN p_size < 40 THEN 2 ELSE 6 END AS n_args,
+    CASE WHEN p_size > 10 THEN 'range' ELSE '' END AS calls, CASE WHEN p_size <= 10 THEN 'if' WHEN p_size < 20 THEN 'if,for,if' ELSE 'for,if' END AS flow,
+    CASE WHEN p_size < 20 THEN 'and,compare,compare,mult,sub' ELSE 'mult' END AS operations, CASE WHEN p_size <= 10 THEN 'price,tax,total' WHEN p_size < 20 THEN 'i,price,range,tax,total' ELSE 'i,price,range,total' END AS variables FROM part"""
+
+
+@query(f"""SELECT path, name, n_args, calls, flow, operations, variables, 'size' AS words FROM ({BODY})
+    UNION ALL SELECT 'src/part_' || p_partkey || '.py', 'name_' || p_partkey, 1, '', '', '', '', '' FROM part""")
+def function_signatures(spark, d):
+    """What each function of the modules calls, how it branches, what it computes and which names it holds."""
+    text = lambda c: F.array_join(c, ",").alias(c)
+    return signatures.signatures(entities(spark, d)).select("path", "name", F.size("args").alias("n_args"), *map(text, ("calls", "flow", "operations", "variables", "words")))
+
+
+@query(f"""SELECT count(*) AS n, count(DISTINCT path) AS files, min(path) AS first FROM (SELECT path, calls, flow, n_args FROM ({BODY}) UNION ALL SELECT 'src/part_' || p_partkey || '.py', '', '', 1 FROM part)
+    GROUP BY calls, list_sort(string_split(flow, ',')), n_args HAVING count(*) > 1""")
+def signature_twins(spark, d):
+    """Functions that share arguments, decorators, calls and kinds of flow."""
+    return signatures.twins(signatures.signatures(entities(spark, d))).select("n", "files", F.col("first.path").alias("first"))
+
+
+@query(f"""SELECT *, CASE WHEN overall >= 0.95 THEN 'exact' WHEN overall >= 0.75 THEN 'similar' ELSE 'related' END AS level FROM (SELECT path, first, round(s, 4) AS structural, round(b, 4) AS behavioural, round(0.3 * s + 0.3 * b + 0.4, 4) AS overall
+    FROM (SELECT y.path, x.path AS first, (CASE WHEN x.n_args = y.n_args THEN 1.0 ELSE 1 / 3.0 END + 1) / 2 AS s,
+    ((x.calls = y.calls)::INT + CASE WHEN x.flow = y.flow THEN 1.0 WHEN length(x.flow) + length(y.flow) = 11 THEN 0.5 WHEN length(x.flow) + length(y.flow) = 8 THEN 2 / 3.0 ELSE 0.8 END
+    + CASE WHEN x.operations = y.operations THEN 1.0 ELSE 0.25 END) / 3 AS b
+    FROM ({BODY}) y JOIN ({BODY}) x ON x.name = y.name AND x.path = (SELECT min(z.path) FROM ({BODY}) z WHERE z.name = y.name) WHERE x.path <> y.path))""")
+def signature_matches(spark, d):
+    """Every pricing function against the first of its name."""
+    found = materialize(signatures.signatures(entities(spark, d)).filter("name like 'price%'"), "signatures")
+    least = found.groupBy("name").agg(F.min("path").alias("least"))
+    first = materialize(found.join(least, "name").filter("path = least").select("name", F.struct(*found.columns).alias("x")), "first")
+    pairs = found.select("name", F.struct(*found.columns).alias("y")).join(first, "name").filter("x.path <> y.path").drop("name")
+    return signatures.matches(pairs, "x", "y").select(F.col("y.path").alias("path"), F.col("x.path").alias("first"), "structural", "behavioural", "overall", "level")
+
+
+def imported(spark, d):
+    """Imports of modules that name half and, if even, double their number, with what they resolve to."""
+    k = F.col("p_partkey").cast("long")
+    module = lambda n: F.concat(F.lit("import part_"), n.cast("string"))
+    text = F.concat_ws("\n", F.lit("import os\nimport requests"), module(F.floor(k / 2)), F.when(k % 2 == 0, module(2 * k)))
+    files = table(spark, d, "part").select(F.concat(F.lit("src/part_"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("text"))
+    rows = materialize(python_source.parse(files), "entities").filter("kind = 'import'").select(F.col("path").alias("src"), F.col("name").alias("module"))
+    return materialize(graph.resolve_imports(rows, files, builtin=("os",)), "imports")
+
+
+@query("""WITH i AS (SELECT p_partkey AS k, p_partkey // 2 AS t FROM part UNION ALL SELECT p_partkey, 2 * p_partkey FROM part WHERE p_partkey % 2 = 0), e AS (SELECT k, t FROM i WHERE t IN (SELECT p_partkey FROM part)),
+    o AS (SELECT k, count(*) AS n FROM e GROUP BY k), d AS (SELECT t, count(DISTINCT k) AS n FROM e GROUP BY t), m AS (SELECT a.k, count(*) AS n FROM e a JOIN e b ON a.k = b.t AND a.t = b.k AND a.k <> a.t GROUP BY a.k)
+    SELECT *, round((0.3 * n_local + 0.7 * n_dependents) / n_imports, 4) AS coupling FROM (SELECT 'src/part_' || p_partkey || '.py' AS src, 3 + (p_partkey % 2 = 0)::INT AS n_imports, coalesce(o.n, 0) AS n_local,
+    2 + (p_partkey % 2 = 0)::INT - coalesce(o.n, 0) AS n_external, coalesce(d.n, 0) AS n_dependents, coalesce(m.n, 0) AS n_mutual FROM part LEFT JOIN o ON o.k = p_partkey LEFT JOIN d ON d.t = p_partkey LEFT JOIN m ON m.k = p_partkey)""")
+def dependency_reports(spark, d):
+    return graph.dependency_report(imported(spark, d))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.sources.joins import spread_join
@@ -65,10 +67,11 @@ def unsettled(listed: DataFrame, found: DataFrame, node: str, key: list[str]) ->
 BLOCK, STARS, FEW = 256, 1, 64
 
 
-def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
+def open_pairs(split: DataFrame, node: str, key: list[str], may: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(a, b, lists): the pairs of unsettled lists in different components, those of a list's largest component
     among themselves left out, and in how many lists they meet. A long list is cut into blocks of about `BLOCK` members outside that component; each
-    block meets the whole list in tasks of its own."""
+    block meets the whole list in tasks of its own. `may`, given the aliases of both sides, is a condition on their columns that every
+    true pair meets; other pairs don't leave the join."""
     few = split.filter("component <> major").groupBy(*key).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     cut = materialize(spread_join(split, materialize(few, "blocks"), key), "cut")
     x = cut.filter("component <> major").withColumn("block", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int")).alias("x")
@@ -76,6 +79,8 @@ def open_pairs(split: DataFrame, node: str, key: list[str]) -> DataFrame:
     on = (F.col("x.component") != F.col("y.component")) & ((F.col("y.component") == F.col("y.major")) | (F.col(f"x.{node}") < F.col(f"y.{node}")))
     for k in (*key, "block"):
         on = on & (F.col(f"x.{k}") == F.col(f"y.{k}"))
+    if may is not None:
+        on = on & may("x", "y")
     return x.join(y, on).select(F.least(f"x.{node}", f"y.{node}").alias("a"), F.greatest(f"x.{node}", f"y.{node}").alias("b")).groupBy("a", "b").agg(F.count("*").alias("lists"))
 
 

@@ -49,6 +49,9 @@ MEETING = 64
 MEAN, BATCH_BYTES = 4, 1 << 20
 #: One step in so many, and one more, is spare: it costs a segment more and keeps a set off that many of its longest lists.
 SPARE = 25
+#: Bins of the parities that are held against each other where pairs are made; their columns.
+FOLD = 256
+FOLDS = [f"f{i}" for i in range(FOLD // 64)]
 #: Buckets of the table of list lengths.
 BUCKETS = 1 << 20
 
@@ -168,11 +171,24 @@ def differences(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(a ^ b).sum())
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """A sketch of `FOLD` bins for sets of every size, as whole numbers of 64 bits."""
+    at = (mix(h + np.uint64(0xD1B54A32D192ED03)) & np.uint64(FOLD - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=FOLD) & 1, bitorder="little").view(np.int64)
+
+
+def may_be_similar(a: str, b: str, percent: int) -> Column:
+    """False only for pairs whose sizes or parities rule the similarity out."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    apart = sum((F.bit_count(F.col(f"{a}.{f}").bitwiseXOR(F.col(f"{b}.{f}"))) for f in FOLDS), F.lit(0))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & ((100 + percent) * apart <= (100 - percent) * (n + m))
+
+
 def _read(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, top, sketch) of each node's set, and, with a null n, (bucket as id, length of its lists)."""
+    """(id, n, top, sketch, parities) of each node's set, and, with a null n, (bucket as id, length of its lists)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "n", "top", "sketch", "length"]
+        names = ["id", "n", "top", "sketch", "length", *FOLDS]
         counts = np.zeros(BUCKETS, np.int32)
         for batch in small_batches(batches, "text", BATCH_BYTES):
             sets = [shingle_set(t, size) for t in batch.column("text").to_pylist()]
@@ -180,14 +196,15 @@ def _read(texts: DataFrame, size: int, percent: int) -> DataFrame:
                 for number in bands(len(h), percent) if len(h) else ():
                     whole, without, _ = segment_keys(h, band(number, percent))
                     np.add.at(counts, (np.concatenate([whole, without]) % np.uint64(BUCKETS)).astype(np.int64), 1)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([fewest_lists(len(h), percent) for h in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.int64())], names)
+            folds = np.array(list(map(parities, sets)), np.int64).reshape(-1, len(FOLDS))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(map(len, sets)), pa.int64()), pa.array([fewest_lists(len(h), percent) for h in sets], pa.int64()), pa.array(list(map(sketch, sets)), pa.binary()), pa.nulls(len(sets), pa.int64()), *map(pa.array, folds.T)], names)
         mean = counts.mean()
         found = np.flatnonzero(counts > max(1, mean + 3 * mean**0.5))
         for i in range(0, len(found), 1 << 14):
             part = found[i : i + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(counts[part].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.binary()), pa.array(counts[part].astype(np.int64)), *[pa.nulls(len(part), pa.int64())] * len(FOLDS)], names)
 
-    return texts.mapInArrow(work, "id long, n long, top long, sketch binary, length long")
+    return texts.mapInArrow(work, "id long, n long, top long, sketch binary, length long, " + ", ".join(f"{f} long" for f in FOLDS))
 
 
 def similar_sizes(a: str, b: str, percent: int) -> Column:
@@ -219,7 +236,7 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
     costs = np.zeros(BUCKETS)
     costs[buckets.column("id").to_numpy()] = buckets.column("n").to_numpy()
     shared = docs.sparkSession.sparkContext.broadcast(costs)
-    sizes = materialize(seen.filter("n is not null").select("id", "n", "top", "sketch").dropDuplicates(["id"]), "sizes")
+    sizes = materialize(seen.filter("n is not null").select("id", "n", "top", "sketch", *FOLDS).dropDuplicates(["id"]), "sizes")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
@@ -287,7 +304,8 @@ def jaccard_join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, text
     split = unsettled(listed.drop("hub"), components(links), "id", ["key"])
     links, split = further_stars(links, split, "id", ["key"], verified)
     # A pair that meets in a list of two is compared already, so the tally of an open pair counts all its lists.
-    links = links.unionByName(verified(open_pairs(split, "id", ["key"])))
+    with_parities = split.join(bounded(sizes.select("id", "n", *FOLDS)), "id")
+    links = links.unionByName(verified(open_pairs(with_parities, "id", ["key"], lambda x, y: may_be_similar(x, y, percent))))
     found = components(links)
     named = materialize(nodes.join(found, nodes["id"] == found["node"], "left").join(sizes.select("id", "n"), "id").select("h", "copies", "n", F.col("first.doc_id").alias("least"), F.coalesce("component", nodes["id"]).alias("component")), "named")
     least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")

@@ -131,3 +131,25 @@ def test_cases(spark):
     alone = [(None, False, None), (None, False, None), (7, False, 7)]
     assert by == sorted([(4, True, 2), (2, True, 2), (9, False, 9), (9, False, 9), (None, False, 9), *alone], key=str)
     assert queries.QUERIES["op12_jaccard"]
+
+
+def test_parities_rule_out_no_similar_pair(spark):
+    """Fewer bins differ than elements do, at every size; the condition keeps every pair of 85 % and drops most unlike ones."""
+    rng = np.random.default_rng(5)
+    rows, similar = [], []
+    for i in range(300):
+        n = int(rng.choice([1, 2, 7, 30, 100, 300, 900, 4000]))
+        a = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        keep = a[rng.random(len(a)) < rng.choice([0.1, 0.85, 0.93, 0.99, 1.0])]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, int(rng.integers(0, 1 + len(a) // 12)), np.uint64)]))
+        p, q = jaccard.parities(a), jaccard.parities(b)
+        assert int(np.bitwise_count((p ^ q).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
+        both = len(np.intersect1d(a, b))
+        similar.append(100 * both >= 85 * (len(a) + len(b) - both) and both > 0)
+        rows.append((i, len(a), *map(int, p), len(b), *map(int, q)))
+    sides = [", ".join(f"{s}{c} long" for c in ("n", *jaccard.FOLDS)) for s in "xy"]
+    df = spark.createDataFrame(rows, f"i long, {sides[0]}, {sides[1]}")
+    both = df.selectExpr("i", *[f"named_struct({', '.join(f'{chr(39)}{c}{chr(39)}, {s}{c}' for c in ('n', *jaccard.FOLDS))}) AS {s}" for s in "xy"])
+    kept = {r.i for r in both.filter(jaccard.may_be_similar("x", "y", 85)).select("i").collect()}
+    assert {i for i, s in enumerate(similar) if s} <= kept
+    assert sum(similar) > 30 and len(kept) < 300 - 30

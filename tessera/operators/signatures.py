@@ -18,6 +18,8 @@ WEIGHTS = {"structural": 0.3, "behavioural": 0.3, "named": 0.25, "documented": 0
 LEVELS = {"exact": 0.95, "similar": 0.75, "related": 0.5}
 #: Documentation of neither, of one.
 NO_DOCS, ONE_DOC = 0.5, 0.3
+#: What `signatures` reads of entity rows: columns and kinds.
+READS = ("path", "kind", "name", "scope", "lineno", "end_lineno", "args", "details", "docstring", "returns"), ("function", "call", "read", "write", "flow", "operation")
 
 
 def signatures(entities: DataFrame) -> DataFrame:

@@ -138,7 +138,7 @@ def clone_statistics(spark, d):
     CASE WHEN p_size < 20 THEN 'tax|READ,READ' END, 'total|WRITE' || CASE WHEN p_size < 20 THEN ',READ,WRITE' ELSE '' END || CASE WHEN p_size > 10 THEN ',WRITE' ELSE '' END || ',READ'], lambda x: x IS NOT NULL),
     lambda x: 'price_' || regexp_replace(lower(p_brand), '[^a-z0-9]', '_', 'g') || '|' || x), chr(10))), 1, 16) AS fingerprint FROM part""")
 def dna_digest(spark, d):
-    out = code.fingerprints(code.data_flow(entities(spark, d)))
+    out = code.fingerprints(code.data_flow(entities(spark, d, *code.READS["data_flow"])))
     return out.select("path", F.array_join("variables", ",").alias("variables"), "fingerprint")
 
 
@@ -147,7 +147,7 @@ def semantic_members(spark, d):
     """All functions of one name part end in one group: the links of `semantic_pairs` connect what a comparison of all pairs would."""
     from tessera.operators.components import components
 
-    links = materialize(code.semantic_pairs(entities(spark, d)), "links")
+    links = materialize(code.semantic_pairs(entities(spark, d, *code.READS["semantic_pairs"])), "links")
     members = components(links.select("a", "b"))
     named = members.filter(F.contains("node", F.lit(":name_")))
     return named.agg(F.count("*").alias("n"))

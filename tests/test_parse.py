@@ -38,3 +38,23 @@ def test_columns_and_kinds_are_cuts_of_all_rows(spark):
 def test_deep_trees(spark):
     files = spark.createDataFrame([("sum.py", "x = " + " + ".join(["a"] * 3000))], "path string, text string")
     assert python_source.parse(files).filter("kind = 'operation'").count() == 2999
+
+
+def test_copies_of_functions_make_no_pairs(spark):
+    """Links grow with the functions: one of each copy, none between copies."""
+    rows = [("function", f"f{i}.py", 1, f"price_{'ab'[i % 2]}", ["x"], ["Assign", "If", "Return"], [], "Size 3.") for i in range(200)]
+    links = code.semantic_pairs(spark.createDataFrame(rows, "kind string, path string, lineno int, name string, args array<string>, shape array<string>, details array<string>, docstring string")).collect()
+    assert len(links) == len({(r.a, r.b) for r in links}) == 199
+    found = components(spark.createDataFrame([(r.a, r.b) for r in links], "a string, b string"))
+    assert found.count() == 200 and found.select("component").distinct().count() == 1
+
+
+def test_copies_below_the_threshold_meet_through_others(spark):
+    """Functions without statements score 0.625 with their copies; those told without words 0.85, and 0.895 with an untold one."""
+    schema = "kind string, path string, lineno int, name string, args array<string>, shape array<string>, details array<string>, docstring string"
+    frame = spark.createDataFrame([("function", f"{p}.py", 1, n, [], [], [], None) for p, n in (("a", "load_x"), ("b", "load_x"), ("c", "save_y"))], schema)
+    assert {(r.a, r.b, r.score) for r in code.semantic_pairs(frame, 0.6).collect()} == {("a.py:1:load_x", "b.py:1:load_x", 0.625)}
+    assert code.semantic_pairs(frame, 0.63).count() == 0
+    told = spark.createDataFrame([("function", f"{p}.py", 1, "load_x", ["k"], ["If", "Return"], [], d) for p, d in (("a", ""), ("b", ""), ("c", None))], schema)
+    links = {(r.a, r.b, r.score) for r in code.semantic_pairs(told, 0.87).collect()}
+    assert links == {("a.py:1:load_x", "c.py:1:load_x", 0.895), ("b.py:1:load_x", "c.py:1:load_x", 0.895)}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import jaccard
+from tessera.sources.joins import bounded, dealt, spread_join
+from tessera.sources.storage import materialize
 
 
 def line_set(text: Column) -> Column:
@@ -41,9 +43,28 @@ def function_score(hash_a: Column, hash_b: Column, args_a: Column, args_b: Colum
     return F.when(hash_a == hash_b, 1.0).otherwise((args + size) / 2)
 
 
+#: Members of a kind that stand in one row, about.
+MEMBERS = 500
+
+
 def function_matches(left: DataFrame, right: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(name, a, b, score) of functions (name, path, hash, args, lines) of one name in both projects."""
-    x, y = left.alias("x"), right.alias("y")
+    """(name, a, b, score) of functions (name, path, hash, args, lines) of one name in both projects.
+
+    Functions equal in name, hash, args and lines are of one kind. Kinds are scored, not functions; pairs of kinds that
+    reach `threshold` are dealt out evenly with their members, in rows of about `MEMBERS` a side, and unfold where they are."""
+    what = ["name", "hash", "args", "lines"]
+
+    def kinds(side: DataFrame, kind: str, members: str) -> tuple[DataFrame, DataFrame]:
+        """(the kinds of a side, their members in parts)."""
+        rows = materialize(side.filter("name is not null").select("path", *what, F.md5(F.to_json(F.struct(*what))).alias(kind)), "functions")
+        each = materialize(rows.groupBy(kind).agg(F.min(F.struct(*what)).alias("f"), F.count("*").alias("n")).select(kind, F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"), "f.*"), "kinds")
+        cut = spread_join(rows.select(kind, "path"), each.select(kind, "parts"), [kind]).groupBy(kind, F.pmod(F.xxhash64("path"), F.col("parts")).alias("part"))
+        return each.select(kind, *what), materialize(cut.agg(F.collect_list("path").alias(members)).select(kind, members), "members")
+
+    (x, mine), (y, theirs) = kinds(left, "x_kind", "mine"), kinds(right, "y_kind", "theirs")
+    y = materialize(y.withColumnRenamed("name", "y_name"), "kinds").alias("y")
     score = function_score(*(F.col(f"{s}.{c}") for c in ("hash", "args", "lines") for s in ("x", "y")))
-    both = x.join(y, F.col("x.name") == F.col("y.name")).select(F.col("x.name").alias("name"), F.col("x.path").alias("a"), F.col("y.path").alias("b"), F.round(score, 4).alias("score"))
-    return both.filter(F.col("score") >= threshold)
+    scored = dealt(x).alias("x").join(bounded(y), F.col("x.name") == F.col("y.y_name")).select("name", "x_kind", "y_kind", F.round(score, 4).alias("score"))
+    likely = materialize(scored.filter(F.col("score") >= threshold), "likely")
+    parts = dealt(likely.join(mine, "x_kind").join(theirs, "y_kind").select("name", "mine", "theirs", "score"))
+    return parts.select("name", F.explode("mine").alias("a"), "theirs", "score").select("name", "a", F.explode("theirs").alias("b"), "score")

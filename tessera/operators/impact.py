@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.joins import spread_join
+from tessera.sources.storage import materialize
+
 #: Fixed value: import changes from which a group isn't merged without review.
 MANY_CHANGES = 10
 
@@ -61,9 +64,12 @@ def first_path_match(imports: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace("path", r"\.[^./]*$", ""), "/")
     n = F.size("parts")
     runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice("parts", i, j - i + 1), "/"))))
-    index = files.select("id", F.col("path").alias("dst"), parts.alias("parts")).select("id", "dst", F.explode(F.array_distinct(runs)).alias("run"))
-    first = index.groupBy("run").agg(F.min_by("dst", "id").alias("dst"))
-    return imports.withColumn("run", F.translate("module", ".", "/")).join(first, "run").select("path", "module", "dst")
+    # Least ids are kept in hash tables, which texts can't be; each path stands in the index once.
+    once = materialize(files.groupBy("path").agg(F.min("id").alias("id")), "paths")
+    index = once.select("id", F.col("path").alias("dst"), parts.alias("parts")).select("id", "dst", F.explode(F.array_distinct(runs)).alias("run"))
+    least = index.groupBy("run").agg(F.min("id").alias("id"))
+    first = materialize(index.join(least, ["run", "id"]).groupBy("run").agg(F.min("dst").alias("dst")), "first")
+    return spread_join(imports.withColumn("run", F.translate("module", ".", "/")), first, ["run"]).select("path", "module", "dst")
 
 
 def folded(path: Column) -> Column:

@@ -2,7 +2,9 @@
 
 import random
 
-from tessera.operators import compare
+from pyspark.sql import functions as F
+
+from tessera.operators import compare, impact
 
 
 def test_function_kinds_unfold_to_all_pairs(spark, monkeypatch):
@@ -23,3 +25,11 @@ def test_function_kinds_unfold_to_all_pairs(spark, monkeypatch):
     got = compare.function_matches(frame(x), frame(y), 0.7)
     assert sorted(map(tuple, got.collect())) == want and want
     assert got.rdd.getNumPartitions() > 4
+
+
+def test_first_path_keeps_no_text_per_file(spark):
+    """Files of one path stand in the index once; the least id of all paths that hold the module wins."""
+    files = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "lib/a/m.py").otherwise("app/lib/a/m.py").alias("path")).filter("id > 0")
+    found = impact.first_path_match(spark.createDataFrame([("x", "lib.a.m"), ("y", "a"), ("z", "b")], "path string, module string"), files)
+    assert sorted(map(tuple, found.collect())) == [("x", "lib.a.m", "app/lib/a/m.py"), ("y", "a", "app/lib/a/m.py")]
+    assert "SortAggregate" not in impact.first_path_match(files.select("path", F.lit("a").alias("module")), files)._jdf.queryExecution().executedPlan().toString()

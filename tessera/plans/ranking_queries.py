@@ -83,11 +83,8 @@ def jaccard_to_master(spark, d):
     round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 5""")
 def cosine_search(spark, d):
     """The five nearest vectors of the same label for the query vectors, the ids divisible by 20."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("l"), F.col("embedding").alias("e"))
-    both = rows.join(queries, (F.col("label") == F.col("l")) & (F.col("q") != F.col("vec_id")))
-    scored = both.select("q", F.col("vec_id").alias("id"), F.round(fn.cosine(F.col("embedding"), F.col("e")), 6).alias("cosine"))
-    return catalog.top_per_group(scored, ["q"], [F.col("cosine").desc(), F.col("id")], 5)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("e"), "label")
+    return search.nearest(rows, rows.filter("id % 20 = 0").withColumnRenamed("id", "q"), 5, by="label")
 
 
 @query("""SELECT q, id, cosine, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY cosine DESC, id) AS rank FROM (SELECT a.vec_id AS q, b.vec_id AS id,

@@ -2,9 +2,43 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import compare, impact
+from tessera.operators import compare, impact, search
+
+
+def test_nearest_within_groups_equals_all_pairs(spark, monkeypatch):
+    """Repeated vectors (ties by id), repeated ids, one without length, groups of one; blocks and tiles of any size."""
+    rnd = random.Random(4)
+    base = [[float(rnd.randrange(-2, 3)) for _ in range(3)] for _ in range(12)] + [[0.0] * 3]
+    rows = [(rnd.randrange(110), rnd.choice("abc") if i else "alone", rnd.choice(base)) for i in range(150)] + [(500, None, base[0]), (501, "a", None)]
+    frame = spark.createDataFrame(rows, "id long, g string, e array<double>")
+    given = [(i, g, e) for i, g, e in {r[0]: r for r in rows if r[0] % 5 == 0}.values()]
+    queries = spark.createDataFrame(given, "q long, g string, e array<double>")
+
+    def plain(by):
+        out = []
+        for q, g, e in given:
+            near = []
+            for i, h, v in rows:
+                if i != q and e and v and (not by or g is not None and g == h):
+                    size = np.linalg.norm(e) * np.linalg.norm(v)
+                    near.append((-(round(float(np.dot(e, v) / size), 6) if size else 0.0), i))
+            out += [(q, r, i, -c) for r, (c, i) in enumerate(sorted(near)[:4], 1)]
+        return sorted(out)
+
+    for tiles, block, by in ((512, 4096, None), (7, 9, None), (7, 9, "g"), (512, 4096, "g")):
+        monkeypatch.setattr(search, "QUERIES", tiles)
+        monkeypatch.setattr(search, "ROWS", tiles)
+        got = search.nearest(frame, queries, 4, block, by).collect()
+        assert sorted((r["q"], r["rank"], r["id"], r["cosine"] + 0.0) for r in got) == plain(by)
+
+
+def test_best_columns_are_no_more_than_asked():
+    """A row of equal values keeps k of them, the least ids first, not all."""
+    ids, cos = search._first(np.arange(100), np.ones((3, 100)), 5)
+    assert ids.tolist() == [[0, 1, 2, 3, 4]] * 3 and cos.shape == (3, 5)
 
 
 def test_function_kinds_unfold_to_all_pairs(spark, monkeypatch):

@@ -58,3 +58,14 @@ def test_copies_below_the_threshold_meet_through_others(spark):
     told = spark.createDataFrame([("function", f"{p}.py", 1, "load_x", ["k"], ["If", "Return"], [], d) for p, d in (("a", ""), ("b", ""), ("c", None))], schema)
     links = {(r.a, r.b, r.score) for r in code.semantic_pairs(told, 0.87).collect()}
     assert links == {("a.py:1:load_x", "c.py:1:load_x", 0.895), ("b.py:1:load_x", "c.py:1:load_x", 0.895)}
+
+
+def test_counts_are_made_where_files_are_parsed(spark):
+    """One row per file and kind leaves the parsing tasks; figures of files are those of all rows, a path given twice included."""
+    files = spark.createDataFrame([("a.py", SOURCE), ("a.py", "import os"), ("b.py", "def ("), ("c.py", None), ("d.py", "x = y")], "path string, text string")
+    counted = python_source.counted(files, kinds=code.READS["file_metrics"][1])
+    every = python_source.parse(files)
+    want = every.filter("kind in ('function', 'class', 'import', 'read', 'write', 'error')").groupBy("path", "kind").count()
+    assert {tuple(r) for r in counted.groupBy("path", "kind").agg({"n": "sum"}).collect()} == {tuple(r) for r in want.collect()}
+    assert counted.filter("path = 'a.py'").count() == 5 < every.filter("path = 'a.py'").count()
+    assert sorted(map(tuple, code.file_metrics(counted).collect())) == sorted(map(tuple, code.file_metrics(every).collect()))

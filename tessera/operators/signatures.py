@@ -27,9 +27,8 @@ def signatures(entities: DataFrame) -> DataFrame:
     variables (both sorted, distinct), flow (in order), operations (sorted, repeats stay), words, parts, digest.
 
     A body holds what stands between a function's first and last line, nested functions included. Rows of a file meet their
-    functions on (path, scope), once for each scope around them; rows are counted by (function, kind, name) before they are
-    gathered, so that a function's arrays grow with its own text only. A name that a file defines twice in one scope
-    is told apart by lines. Functions without a body of that kind have empty arrays; error rows give none."""
+    functions on (path, scope), once for each scope around them, and are gathered by one shuffle, so that a function's arrays
+    grow with the text of its name's definitions only. A name that a file defines twice in one scope is told apart by lines. Functions without a body of that kind have empty arrays; error rows give none."""
     none = F.array().cast("array<string>")
     qualified = F.when(F.coalesce("scope", F.lit("")) == "", F.col("name")).otherwise(F.concat_ws(".", "scope", "name"))
     plain = F.filter(F.transform(F.coalesce("details", none), lambda d: F.regexp_extract(d, r"^([A-Za-z_]\w*)(\([\s\S]*)?$", 1)), lambda d: d != "")
@@ -41,20 +40,17 @@ def signatures(entities: DataFrame) -> DataFrame:
     steps = F.split("scope", r"\.")
     around = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "."))
     kind = F.when(F.col("kind").isin("read", "write"), "variable").otherwise(F.col("kind"))
-    inner = held.select(F.col("path").alias("_path"), kind.alias("kind"), F.col("name").alias("held"), F.col("lineno").alias("line"), F.explode(around).alias("_q"))
-    body = inner.join(functions.select("path", "lineno", "end_lineno", "q"), (F.col("_path") == F.col("path")) & (F.col("_q") == F.col("q")) & F.col("line").between(F.col("lineno"), F.col("end_lineno")))
-    # Flow keeps its lines; of the other kinds only the number matters.
-    counted = body.groupBy("path", "lineno", "q", "kind", "held", F.when(F.col("kind") == "flow", F.col("line")).alias("line")).agg(F.count("*").cast("int").alias("n"))
-    of = lambda k, *what: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.struct(*what))))
-    grouped = counted.groupBy("path", "lineno", "q").agg(of("call", "held").alias("c"), of("variable", "held").alias("v"), of("flow", "line", "held", "n").alias("f"), of("operation", "held", "n").alias("o"))
-    repeated = lambda x: F.array_repeat(x["held"], x["n"])
-    lists = grouped.select(
-        "path", "lineno", "q", F.transform("c", lambda x: x["held"]).alias("calls"), F.transform("v", lambda x: x["held"]).alias("variables"),
-        F.flatten(F.transform("f", repeated)).alias("flow"), F.flatten(F.transform("o", repeated)).alias("operations"),
-    )
-    filled = functions.join(lists, ["path", "lineno", "q"], "left")
-    for c in ("calls", "variables", "flow", "operations"):
-        filled = filled.withColumn(c, F.coalesce(c, none))
+    # Functions and what their bodies hold meet in one grouping; those of one name in one scope don't overlap.
+    given = functions.select("path", "q", F.struct(*[c for c in functions.columns if c not in ("path", "q")]).alias("f"), F.lit(None).cast("struct<kind:string,line:int,held:string>").alias("b"))
+    inner = held.select("path", F.explode(around).alias("q"), F.lit(None).cast(given.schema["f"].dataType).alias("f"), F.struct(kind.alias("kind"), F.col("lineno").alias("line"), F.col("name").alias("held")).alias("b"))
+    grouped = given.unionByName(inner).groupBy("path", "q").agg(F.collect_list("f").alias("f"), F.collect_list("b").alias("b")).filter(F.size("f") > 0)
+    single = grouped.select("path", "q", "b", F.explode("f").alias("f")).select("path", "f.*", F.filter("b", lambda x: x["line"].between(F.col("f.lineno"), F.col("f.end_lineno"))).alias("b"))
+    of = lambda k: F.filter("b", lambda x: x["kind"] == k)
+    names = lambda rows: F.transform(rows, lambda x: x["held"])
+    filled = single.withColumns({
+        "calls": F.array_sort(F.array_distinct(names(of("call")))), "variables": F.array_sort(F.array_distinct(names(of("variable")))),
+        "flow": names(F.array_sort(of("flow"))), "operations": F.array_sort(names(of("operation"))),
+    })
     listed = [F.array_join(F.array_sort(c), ",") for c in ("args", "decorators", "calls", "flow")]
     digest = F.substring(F.md5(F.concat_ws("|", F.lit("function"), *listed)), 1, 16)
     return filled.select("path", "lineno", "name", "args", "decorators", "returns", "calls", "variables", "flow", "operations", "words", "parts", digest.alias("digest"))

@@ -18,14 +18,18 @@ WEIGHTS = {"content": 0.4, "structure": 0.3, "dna": 0.3}
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts as `difflib` computes it; it depends on the order of the two.
-    Both empty: 1, one empty: 0, null: null. Arrow batches; whole-text matching has no JVM form."""
+    Both empty: 1, one empty: 0, null: null; equal texts (1) aren't matched, and a pair that a batch repeats is matched once.
+    Arrow batches; whole-text matching has no JVM form."""
+    known: dict[tuple[str, str], float] = {}
 
     def one(x: str | None, y: str | None) -> float | None:
         if x is None or y is None:
             return None
-        if not x or not y:
+        if not x or not y or x == y:
             return float(x == y)
-        return SequenceMatcher(None, x, y).ratio()
+        if (x, y) not in known:
+            known[x, y] = SequenceMatcher(None, x, y).ratio()
+        return known[x, y]
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -133,6 +133,29 @@ def test_matches_by_definition(found):
         assert ("behaviour" in r.evidence) == (want[1] > 0.8)
 
 
+def test_signatures_meet_in_one_shuffle(spark, found):
+    """Functions and their bodies are grouped once, however many they are; bodies of one name stay apart."""
+    rows = spark.createDataFrame([], python_source.ENTITY)
+    plan = signatures.signatures(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    twice = found.filter("name = 'saveUser'").orderBy("lineno").collect()
+    assert [r.calls for r in twice] == [["open", "write"], []] and [r.operations for r in twice] == [["pow"], []]
+
+
+def test_repeated_pairs_are_matched_once(monkeypatch):
+    import pandas as pd
+
+    from tessera.operators import similarity
+
+    made = []
+    monkeypatch.setattr(similarity, "SequenceMatcher", lambda *a: made.append(a) or SequenceMatcher(*a))
+    long = "ab" * 300  # difflib takes both letters for popular ones
+    a, b = ["ifi", "ifi", "x", "", "", None, long, "fi"] * 5, ["fi", "fi", "x", "", "y", "z", long, "ifi"] * 5
+    got = similarity.sequence_ratio.func(pd.Series(a), pd.Series(b)).tolist()
+    assert [None if g != g else g for g in got] == [0.8, 0.8, 1.0, 1.0, 0.0, None, 1.0, 0.8] * 5
+    assert len(made) == 2 and SequenceMatcher(None, long, long).ratio() == 1.0
+
+
 def test_dependency_report(spark):
     rows = [("a", "os", None, "builtin"), ("a", "b", "b", "local"), ("a", "b.x", "b", "local"), ("a", "req", None, "third_party"), ("b", "a", "a", "local"), ("c", "c", "c", "local"), ("c", "b", "b", "local")]
     got = {r.src: tuple(r)[1:] for r in graph.dependency_report(spark.createDataFrame([*rows, ("e", "d", "d", "local")], "src string, module string, dst string, kind string")).collect()}

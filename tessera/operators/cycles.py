@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tessera.operators.graph import HOPS
 from tessera.sources.storage import materialize
 
+#: Steps of a colour between two writes.
+HOPS = 8
+
 
 def _degrees(edges: DataFrame) -> DataFrame:
     """(v, ins, outs, u, w): each node's numbers of edges, and one neighbour on each side."""
@@ -24,8 +26,8 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return out
 
 
-def _shrunk(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One round of (edges, trivial nodes v, bypassed nodes v with u and w). Nodes without an edge in or out are on no
+def _shrunk(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame]:
+    """One round of (edges, bypassed nodes v with u and w). Nodes without an edge in or out are on no
     cycle; those with one edge on both sides are bypassed where no neighbour is in the same round."""
     known = materialize(_degrees(edges), "degrees")
     trivial = known.filter("ins = 0 or outs = 0").select("v")
@@ -36,21 +38,27 @@ def _shrunk(edges: DataFrame, salt: int) -> tuple[DataFrame, DataFrame, DataFram
     kept_ends = thin.join(trivial.select(F.col("v").alias("u")), "u", "left_anti").join(trivial.select(F.col("v").alias("w")), "w", "left_anti")
     passed = materialize(kept_ends.join(near("u"), "u", "left").join(near("w"), "w", "left").filter(free("u") & free("w")).select("v", "u", "w"), "bypassed")
     left = _without(edges, trivial.unionByName(passed.select("v"))).unionByName(passed.select(F.col("u").alias("src"), F.col("w").alias("dst")).filter("src <> dst"))
-    return materialize(left.distinct(), "shrunk"), materialize(trivial, "trivial"), passed
+    return materialize(left.distinct(), "shrunk"), passed
 
 
 def _spread(start: DataFrame, step: DataFrame) -> DataFrame:
-    """(v, c): the largest `c` of `start` (v, c) among all nodes that reach v along `step` (src, dst, within)."""
-    now, total = start, None
+    """(v, c): the largest `c` of `start` (v, c) among all nodes that reach v along `step` (src, dst, within).
+
+    Every node has a step to itself, so that a step of all is one join and one grouping and plans grow with the steps, not with their powers.
+    Only nodes whose colour the last step raised go on to others, and a write counts them as it runs: no job asks whether all is done."""
+    ends = step.select(F.col("src").alias("v")).union(step.select("dst")).union(start.select("v")).distinct()
+    loops = ends.select(F.col("v").alias("src"), F.col("v").alias("dst"), F.lit(None).cast(step.schema["within"].dataType).alias("within"), F.lit(True).alias("own"))
+    ways = materialize(step.withColumn("own", F.lit(False)).unionByName(loops), "ways")
+    now = start.select("v", "c", F.lit(True).alias("moved"))
     while True:
         for _ in range(HOPS):
-            along = now.join(step, F.col("v") == F.col("src")).filter(F.col("within").isNull() | (F.col("within") == F.col("c"))).select(F.col("dst").alias("v"), "c")
-            now = now.unionByName(along).groupBy("v").agg(F.max("c").alias("c"))
-        now = materialize(now, "colours")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("v", "c").cast("decimal(38,0)"))).first()
-        if state == total:
-            return now
-        total = state
+            going = now.join(ways, F.col("v") == F.col("src")).filter(F.col("own") | (F.col("moved") & (F.col("within").isNull() | (F.col("within") == F.col("c")))))
+            raised = going.groupBy(F.col("dst").alias("v")).agg(F.max("c").alias("c"), F.max(F.when(F.col("own"), F.col("c"))).alias("old"))
+            now = raised.select("v", "c", F.coalesce(F.col("c") > F.col("old"), F.lit(True)).alias("moved"))
+        seen = Observation()
+        now = materialize(now.observe(seen, F.count_if("moved").alias("n")), "colours")
+        if not seen.get["n"]:
+            return now.select("v", "c")
 
 
 def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -66,7 +74,7 @@ def strong_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> D
     found = current.select(F.col("src").alias("v"), F.col("src").alias("c")).filter("false")
     salt = 0
     while before:
-        current, _, bypassed = _shrunk(current, salt)
+        current, bypassed = _shrunk(current, salt)
         salt += 1
         passed.append(bypassed)
         now = current.count()

@@ -150,6 +150,23 @@ def test_strong_components(spark):
     assert cycles.strong_components(frame.filter("src < 0")).count() == 0
 
 
+def test_colours_take_one_join_a_step(spark, monkeypatch):
+    """Plans grow with the steps, and a write tells whether all is done: no step after the last one that raised a colour's node."""
+    frame = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(40, 0)], "src long, dst long")
+    step = frame.selectExpr("src", "dst", "cast(null as long) AS within")
+    write, joins = cycles.materialize, []
+
+    def counted(df, name, **more):
+        if name == "colours":
+            joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return write(df, name, **more)
+
+    monkeypatch.setattr(cycles, "materialize", counted)
+    got = {tuple(r) for r in cycles._spread(frame.selectExpr("src AS v", "src AS c"), step).collect()}
+    assert got == {(i, 40) for i in range(41)}
+    assert set(joins) == {cycles.HOPS} and len(joins) <= 41 // cycles.HOPS + 1
+
+
 def applied(a, hunks):
     out, at = [], 0
     for start, old, begin, new, lines in hunks:

@@ -6,8 +6,8 @@ sequence and of its reverse in wavelet matrices, sorted as deep as the longest p
 each of them. Extending all intervals of a depth by every word to the left (or right) at once, down the wavelet
 levels, enumerates the phrases one word longer with their counts and both intervals.
 
-Counts are summed across shards twice. The first pass sums words and pairs by a 64-bit hash; the hashes that reach
-the least count make a bitmap of fixed size (`HOT_BITS`), which goes to all tasks. In the second pass, words and pairs that the
+Counts are summed across shards twice. The first pass sums words and pairs by a 64-bit hash, a chunk of hashes at a time; the hashes
+that reach the least count make a bitmap of fixed size (`HOT_BITS`), which goes to all tasks. In the second pass, words and pairs that the
 bitmap doesn't hold can't be in any candidate, so the shards shrink to the stretches of the others; pairs are made by
 extending words to the left, longer phrases by extending pairs to the right, and all are summed by their text. Collisions
 only let more phrases pass to this exact count. Shards needn't be alike in both passes.
@@ -38,6 +38,7 @@ WORDS, LEAST, TOP, CONTAINED = 3, 10, 2000, 50
 SHARD_WORDS, BATCH_BYTES = 1 << 21, 1 << 20
 #: Bits of the bitmap of hashes; parts of a language's candidates that are ranked apart first.
 HOT_BITS, PARTS = 27, 64
+#: A chunk of the bitmap is 2 ** CHUNK bits; of a corpus' hashes a 4096th falls into each.
 CHUNK = 15
 #: Lower-cases A-Z; bytes that end a piece become 0xFF, which no UTF-8 text has.
 PIECES = bytes(255 if chr(b) in ".,;:!?\n\x0b\x0c\r" else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -171,8 +172,20 @@ def shards(batches: Iterator[pa.RecordBatch], words: int = SHARD_WORDS) -> Itera
     yield from ((x, Shard(texts)) for x, texts in held.items())
 
 
-def hot_hashes(rows: DataFrame, least: int, shard_words: int) -> DataFrame:
-    """The hashes `h` of words and pairs whose counts reach `least` (and of those that collide with such)."""
+def _parted(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """(chunk, h, n): hashes and their counts as bytes, by the chunk of the bitmap that the hashes fall into."""
+    chunk = (h >> np.uint64(64 - HOT_BITS + CHUNK)).astype(np.uint16)
+    order = np.argsort(chunk, kind="stable")
+    sizes = np.bincount(chunk, minlength=1 << HOT_BITS - CHUNK)
+    found = np.flatnonzero(sizes)
+    ends = np.append(0, np.cumsum(sizes[found]))
+    blobs = lambda x: pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer((ends * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+    return pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), blobs(h[order]), blobs(n[order].astype(np.int32))], ["chunk", "h", "n"])
+
+
+def hot_bits(rows: DataFrame, least: int, shard_words: int) -> np.ndarray:
+    """`HOT_BITS` as bytes: bit h >> (64 - HOT_BITS) is set for the hashes h of words and pairs whose counts reach `least` (and of
+    those that collide with such). A shard's hashes go out as one row for each chunk of the bitmap; the chunks are summed apart."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, shard in shards(batches, shard_words):
@@ -183,23 +196,20 @@ def hot_hashes(rows: DataFrame, least: int, shard_words: int) -> DataFrame:
             source, number, low, high = side.extend(side.first[word], side.first[word + 1])
             pair = number > 0
             h = np.concatenate([own[word], pair_hash(own[number[pair]], own[word[source[pair]]])])
-            n = np.concatenate([shard.counts[word], (high - low)[pair]])
-            for i in range(0, len(h), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 17)].view(np.int64)), pa.array(n[i : i + (1 << 17)].astype(np.int64))], ["h", "n"])
-
-    return rows.mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("h")
-
-
-def bitmap(hot: DataFrame) -> np.ndarray:
-    """`HOT_BITS` as bytes: bit h >> (64 - HOT_BITS) of each hash is set. Parts of 4 kB are made in tasks."""
-    bucket = F.shiftrightunsigned("h", 64 - HOT_BITS).cast("int")
+            yield _parted(h, np.concatenate([shard.counts[word], (high - low)[pair]]))
 
     def part(key, table):
+        h = np.frombuffer(b"".join(table.column("h").to_pylist()), np.uint64)
+        n = np.frombuffer(b"".join(table.column("n").to_pylist()), np.int32)
+        order = np.argsort(h)
+        h = h[order]
+        starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        hot = h[starts][np.add.reduceat(n[order], starts, dtype=np.int64) >= least]
         bits = np.zeros(1 << CHUNK, bool)
-        bits[table.column("bucket").to_numpy() & ((1 << CHUNK) - 1)] = True
+        bits[(hot >> np.uint64(64 - HOT_BITS)).astype(np.int64) & ((1 << CHUNK) - 1)] = True
         return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    chunks = hot.select(bucket.alias("bucket")).distinct().withColumn("chunk", F.shiftright("bucket", CHUNK)).groupBy("chunk").applyInArrow(part, "chunk int, bits binary").toArrow()
+    chunks = materialize(rows.mapInArrow(work, "chunk int, h binary, n binary").groupBy("chunk").applyInArrow(part, "chunk int, bits binary"), "hot").toArrow()
     out = np.zeros((1 << HOT_BITS - CHUNK, 1 << CHUNK - 3), np.uint8)
     for c, b in zip(chunks.column("chunk").to_pylist(), chunks.column("bits").to_pylist(), strict=True):
         out[c] = np.frombuffer(b, np.uint8)
@@ -231,7 +241,7 @@ def phrase_counts(docs: DataFrame, words: int = WORDS, least: int = LEAST, text:
     """(lang, words, phrase, n): all phrases of 2 to `words` words with `least` occurrences, the words in them, and under
     `words` 0 how many words a language has."""
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(materialize(hot_hashes(rows, least, shard_words), "hot")))
+    shared = docs.sparkSession.sparkContext.broadcast(hot_bits(rows, least, shard_words))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value

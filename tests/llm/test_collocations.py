@@ -95,3 +95,29 @@ def test_cases(spark):
     got = found(collocations.collocations(spark.createDataFrame([("en", long_text, "x", 1), (None, None, None, None), (None, "alone", "y", 2)], kind)))
     assert got == brute([("en", long_text)]) and ("en", 1, "is big", 60_000, 60_000, 60_000, 240_000, 1_000_000) not in got
     assert queries.QUERIES["op11_collocations"]
+
+
+def test_shards_send_a_row_for_each_chunk_of_hashes():
+    """A shard's hashes leave their task in at most as many rows as the bitmap has chunks, none lost."""
+    import numpy as np
+
+    from tessera.llm import collocations
+
+    rnd = np.random.default_rng(3)
+    h, n = rnd.integers(0, 1 << 64, 50_000, np.uint64), rnd.integers(1, 1000, 50_000)
+    for size in (0, 1, 50_000):
+        rows = collocations._parted(h[:size], n[:size]).to_pylist()
+        assert len(rows) == len({r["chunk"] for r in rows}) <= 1 << collocations.HOT_BITS - collocations.CHUNK
+        got = [(x, y, r["chunk"]) for r in rows for x, y in zip(np.frombuffer(r["h"], np.uint64), np.frombuffer(r["n"], np.int32), strict=True)]
+        assert sorted(got) == sorted((x, y, x >> np.uint64(52)) for x, y in zip(h[:size], n[:size], strict=True))
+
+
+def test_hot_bits_are_those_of_all_sums(spark):
+    from tessera.llm import collocations
+
+    texts = [("a b c", "x")] * 6 + [("a b", "x")] * 4 + [("a b", "y")] * 9 + [(f"w{i}", "y") for i in range(50)]
+    bits = collocations.hot_bits(spark.createDataFrame(texts, "text string, lang string").repartition(7), 10, 4)
+    own = lambda lang, w: collocations.hashes(lang, [w])
+    pair = collocations.pair_hash(own("x", b"a"), own("x", b"b"))
+    at = {int(x[0] >> collocations.np.uint64(64 - collocations.HOT_BITS)) for x in (own("x", b"a"), own("x", b"b"), pair)}
+    assert set(collocations.np.flatnonzero(collocations.np.unpackbits(bits, bitorder="little")).tolist()) == at

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.sources.storage import materialize
 
 #: Steps of a colour between two writes.
-HOPS = 8
+HOPS = 4
 
 
 def _degrees(edges: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ already.
 
 `near_texts` takes its first pairs from that index too: texts whose fingerprints are equal or linked are compared by
 their sets and contracted. A similarity of sets guarantees no shared bytes of fingerprints, so what the index can't
-find is found exactly by a prefix filter over the shingles, which compares only texts that are still apart.
+find is found exactly by a prefix filter over the shingles, which compares only texts that are still apart. Of those pairs most
+aren't similar; sketches of a bit for each shingle, which never rule out a similar pair, tell that before sets are moved.
 
 Cases: a text without words has fingerprint zero and is linked like any other; null is empty;
 rows with equal ids are each fingerprinted; a null id takes part and is never chosen as the
@@ -229,6 +230,20 @@ def _seen(keys: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def parities(members: np.ndarray) -> bytes:
+    """Whether each of 2**k bins (64 at least, else as many as members or up to twice that) holds an odd number of the set's 64-bit members."""
+    width = 1 << max(6, (len(members) - 1).bit_length())
+    return np.packbits(np.bincount((members % np.uint64(width)).astype(np.int64), minlength=width) & 1, bitorder="little").tobytes()
+
+
+def surely_apart(x: bytes, y: bytes) -> int:
+    """How many members at least stand in one only of the two sets of these `parities`. The wider is folded to the other's bins."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def _judged(slim: DataFrame, size: int, similarity: float) -> DataFrame:
     """(doc_id, t, n, stays): which of the rows `slim` (doc_id, text, t: a hash of the text) stay; n are equal in both."""
     least = lambda n: F.ceil(similarity * n - 1e-9)
@@ -253,7 +268,7 @@ def _judged(slim: DataFrame, size: int, similarity: float) -> DataFrame:
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text", BATCH_BYTES):
-            ids, ns, starts, ks = [], [], [], []
+            ids, ns, starts, ks, marks = [], [], [], [], []
             for i, t in zip(batch.column("node_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 h = np.unique(shingle_hashes(space_words(t), size))
                 n = len(h)
@@ -263,11 +278,12 @@ def _judged(slim: DataFrame, size: int, similarity: float) -> DataFrame:
                     ns.append(n)
                     starts.append(start)
                     ks.append(own[start : start + CHUNK].view(np.int64))
+                    marks.append(None if start else parities(h))
             if ids:
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ks)], dtype=np.int32), np.concatenate(ks))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(starts, pa.int32()), lists], ["id", "n", "start", "ks"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(starts, pa.int32()), lists, pa.array(marks, pa.binary())], ["id", "n", "start", "ks", "mark"])
 
-    held = materialize(texts(nodes).mapInArrow(prefixes, "id long, n int, start int, ks array<long>"), "prefixes")
+    held = materialize(texts(nodes).mapInArrow(prefixes, "id long, n int, start int, ks array<long>, mark binary"), "prefixes")
     order.destroy()
     # Most shingles of the prefixes stand in one only; rows are made of the others.
     seen = slim.sparkSession.sparkContext.broadcast(_seen(held.select(F.explode("ks").alias("k"))))
@@ -283,7 +299,7 @@ def _judged(slim: DataFrame, size: int, similarity: float) -> DataFrame:
             own = [batch.column("id").to_numpy()[row], k[keep], batch.column("n").to_numpy()[row], place.astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in own], ["id", "k", "n", "place"])
 
-    index = materialize(held.mapInArrow(shared, "id long, k long, n int, place int"), "shared")
+    index = materialize(held.drop("mark").mapInArrow(shared, "id long, k long, n int, place int"), "shared")
     seen.destroy()
     # The hub of a list is the text with the fewest shingles rarer than the list's.
     lists = index.groupBy("k").agg(F.count("*").alias("members"), F.min(F.struct("place", "id", "n")).alias("hub")).filter("members > 1")
@@ -294,6 +310,12 @@ def _judged(slim: DataFrame, size: int, similarity: float) -> DataFrame:
             s = [np.unique(shingle_hashes(space_words(t), size)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node_id"), pa.array(s, pa.binary())], ["id", "s"])
 
+    def may_be_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = (1 - similarity) / (1 + similarity)
+        for batch in batches:
+            ends = zip(*(batch.column(c).to_pylist() for c in ("na", "nb", "ma", "mb")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([surely_apart(x, y) <= most * (n + m) + 1e-6 for n, m, x, y in ends], pa.bool_()))
+
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -306,9 +328,15 @@ def _judged(slim: DataFrame, size: int, similarity: float) -> DataFrame:
     def verified(likely: DataFrame) -> DataFrame:
         """The pairs (a, b) of `likely` that have the similarity."""
         likely = materialize(likely, "candidates")
-        wanted = likely.select(F.explode(F.array("a", "b")).alias("node_id")).distinct().join(nodes, "node_id")
-        held = materialize(texts(wanted).mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.min("s").alias("s")), "sets")
-        of_set = lambda side: held.select(F.col("id").alias(side), F.col("s").alias(f"s{side}"))
+        ends = lambda: likely.select(F.explode(F.array("a", "b")).alias("node_id")).distinct()
+        # A text without words has no sketch and is similar to no other.
+        marks = held.filter("start = 0").select("id", "n", "mark").join(bounded(ends()).withColumnRenamed("node_id", "id"), "id", "left_semi")
+        marks = materialize(marks.groupBy("id").agg(F.min("n").alias("n"), F.min("mark").alias("m")), "marks")
+        of_mark = lambda side: marks.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("m").alias(f"m{side}"))
+        likely = materialize(likely.join(of_mark("a"), "a").join(of_mark("b"), "b").mapInArrow(may_be_alike, "a long, b long"), "likely")
+        wanted = ends().join(nodes, "node_id")
+        kept = materialize(texts(wanted).mapInArrow(sets, "id long, s binary").groupBy("id").agg(F.min("s").alias("s")), "sets")
+        of_set = lambda side: kept.select(F.col("id").alias(side), F.col("s").alias(f"s{side}"))
         return materialize(likely.join(of_set("a"), "a").join(of_set("b"), "b").mapInArrow(alike, "a long, b long"), "links")
 
     # What two sets of n and m shingles must share, and can share at most if their first shared ones stand at i and j.
@@ -321,8 +349,8 @@ def _judged(slim: DataFrame, size: int, similarity: float) -> DataFrame:
     apart = spokes.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct().join(within("a"), "a", "left").join(within("b"), "b", "left")
     links = close.union(verified(apart.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")))
     found = components(links)
-    # What the stars left open, by bands of sizes: a row looks only into those it can be similar to.
-    split = unsettled(listed.drop("hub"), found, "id", ["k"])
+    # What the stars left open, by bands of sizes: a row looks only into those it can be similar to. Hubs have met all of their lists.
+    split = unsettled(listed.filter(F.col("id") != F.col("hub.id")).drop("hub"), found, "id", ["k"])
     band = lambda n: F.floor(F.log(n.cast("double")) / math.log(1 + BAND))
     n, i = F.col("n"), F.col("place")
     low, high = F.greatest(least(n), F.lit(1)), F.least(F.floor(n / similarity + 1e-9), F.floor((n - i) * ((1 + similarity) / similarity) - n + 1e-6))

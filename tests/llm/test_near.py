@@ -73,3 +73,46 @@ def test_near_texts_write_rows_of_shared_shingles_only(spark, monkeypatch, tmp_p
     # Prefixes of some 80 shingles each; none stands in two texts. One table is left for the result to read.
     assert rows["shared"] == 0 and rows["prefixes"] == len(texts)
     assert [p.name[:14] for p in Path(tmp_path).iterdir()] == ["tessera-judged"]
+
+
+def test_sketches_bound_the_difference_of_sets():
+    rnd = np.random.default_rng(8)
+    for n, m, both in ((0, 0, 0), (0, 3, 0), (1, 1, 1), (64, 65, 60), (100, 130, 90), (1000, 1100, 0), (1000, 1300, 950), (5000, 4100, 4000)):
+        members = rnd.integers(0, 1 << 63, n + m - both, dtype=np.uint64)
+        x, y = members[:n], members[n - both :]
+        bound = simhash.surely_apart(simhash.parities(x), simhash.parities(y))
+        assert bound == simhash.surely_apart(simhash.parities(y), simhash.parities(x)) <= n + m - 2 * both
+        assert bound % 2 == (n + m) % 2
+        assert both or not n or bound > (n + m) / 9
+        assert simhash.surely_apart(simhash.parities(x), simhash.parities(x[::-1])) == 0
+
+
+def test_near_texts_move_sets_of_likely_pairs_only(spark, monkeypatch):
+    """Texts that share every other passage meet in the prefix filter, and aren't similar: their sets aren't written. Lists of two
+    are settled by their hub."""
+    rnd = random.Random(9)
+    rows, open_rows = {}, []
+    write, given = simhash.materialize, simhash.unsettled
+
+    def seen(df, name, **more):
+        out = write(df, name, **more)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    def unsettled(listed, found, node, key):
+        out = given(listed, found, node, key)
+        if key == ["k"]:
+            open_rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", seen)
+    monkeypatch.setattr(simhash, "unsettled", unsettled)
+    texts = []
+    for a, b, c in zip(texts_of(rnd, 200), texts_of(rnd, 200), texts_of(rnd, 200), strict=True):
+        texts += [f"{a} {b}", f"{a} {c}"]
+    near = texts_of(rnd, 200)[0]
+    texts += [near, near + " " + near.split()[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.near_texts(docs).collect()} == brute_kept(texts) == set(range(13))
+    assert sum(rows["candidates"]) > 2 and sum(rows["sets"]) == 2
+    assert open_rows == [0]

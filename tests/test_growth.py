@@ -1,6 +1,7 @@
 """Operators whose cost grew faster than their rows, held against plain versions and against what they keep."""
 
 import random
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -61,6 +62,36 @@ def test_function_kinds_unfold_to_all_pairs(spark, monkeypatch):
     assert got.rdd.getNumPartitions() > 4
 
 
+def test_function_matches_writes_functions_and_no_pairs(spark, monkeypatch):
+    """Unlike functions of few names, one of most functions, and of names that one side lacks: cells of a few functions give each pair once."""
+    monkeypatch.setattr(compare, "MEMBERS", 3)
+    monkeypatch.setattr(compare, "SIDE", 7, raising=False)
+    written, write = [], compare.materialize
+
+    def noted(df, *args, **kept):
+        out = write(df, *args, **kept)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(compare, "materialize", noted)
+    rnd = random.Random(6)
+    side = lambda at, only: [(rnd.choice(["f"] * 6 + ["g", "h", only]), at + i, f"h{rnd.randrange(40)}", ["a", "b", "c"][: rnd.randrange(4)], rnd.randrange(1, 50)) for i in range(120)]
+    x, y = side(0, "x") + [("f", 400 + i, "same", ["a"], 5) for i in range(20)], side(1000, "y")
+    frame = lambda rows: spark.createDataFrame(rows, "name string, path long, hash string, args array<string>, lines int")
+
+    def score(p, q):
+        if p[2] == q[2]:
+            return 1.0
+        a, b = set(p[3]), set(q[3])
+        args = (1.0 if len(a) == len(b) else 0.5) if not a or not b else len(a & b) / len(a | b)
+        return float(Decimal(repr((args + (1 - abs(p[4] - q[4]) / max(p[4], q[4]))) / 2)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+
+    want = sorted((p[0], p[1], q[1], score(p, q)) for p in x for q in y if p[0] == q[0] and score(p, q) >= 0.3)
+    assert sorted(map(tuple, compare.function_matches(frame(x), frame(y), 0.3).collect())) == want
+    assert len(want) > 10 * len(x) and max(written) <= len(x)
+    assert not compare.function_matches(frame(x), frame(y).filter("name = 'y'"), 0.3).collect()
+
+
 def test_first_path_keeps_no_text_per_file(spark):
     """Files of one path stand in the index once; the least id of all paths that hold the module wins."""
     files = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, "lib/a/m.py").otherwise("app/lib/a/m.py").alias("path")).filter("id > 0")
